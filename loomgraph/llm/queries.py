@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomgraph.llm.common import documents
 from loomgraph.llm.exact_dedup import exact_groups
+from loomgraph.llm.near_dedup import near_groups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -29,3 +30,8 @@ def query(sql: str | None = None):
     FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""")
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir), keep="largest")
+
+
+@query()
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(documents(spark, sf_dir), percent=85)
