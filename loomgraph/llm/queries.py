@@ -13,6 +13,7 @@ from loomgraph.llm.exact_dedup import exact_groups
 from loomgraph.llm.near_dedup import near_groups
 from loomgraph.llm.packing import pack_documents
 from loomgraph.llm.quality import fit_quality, quality_scores
+from loomgraph.llm.repeats import without_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -52,3 +53,16 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = quality_scores(docs, model)
     return scored.select("doc_id", held_out().alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query()
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = without_repeats(documents(spark, sf_dir).select("doc_id", "text"), 100)
+    removed = F.aggregate("__spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return left.select(
+        "doc_id",
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        removed.alias("n_removed"),
+        F.size("__spans").cast("long").alias("n_spans"),
+        F.sha2("__kept", 256).alias("kept_sha256"),
+    )
