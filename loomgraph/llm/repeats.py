@@ -8,6 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -253,7 +254,7 @@ def spans_among(contexts: DataFrame, length: int) -> DataFrame:
             rows = pa.Table.from_batches(held)
             h = rows["h"].to_numpy()
             edges = np.flatnonzero(h[1:] != h[:-1]) + 1  # whole groups; the last may go on
-            taken = np.cumsum(rows["bytes"].combine_chunks().value_lengths().to_numpy())
+            taken = np.cumsum(pc.binary_length(rows["bytes"]).to_numpy())
             done = 0
             for edge in edges.tolist():
                 if taken[edge - 1] - (taken[done - 1] if done else 0) >= BLOCK or edge == edges[-1]:
