@@ -15,6 +15,7 @@ from loomgraph.llm.near_dedup import near_groups
 from loomgraph.llm.packing import pack_documents
 from loomgraph.llm.quality import fit_quality, quality_scores
 from loomgraph.llm.repeats import without_repeats
+from loomgraph.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"pipeline": corpus_pipeline.run}
 SQL: dict[str, str] = {}
@@ -67,3 +68,8 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("__spans").cast("long").alias("n_spans"),
         F.sha2("__kept", 256).alias("kept_sha256"),
     )
+
+
+@query()
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
