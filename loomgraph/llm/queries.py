@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.common import documents, held_out
 from loomgraph.llm.exact_dedup import exact_groups
+from loomgraph.llm.language import fit_languages, predicted_languages
 from loomgraph.llm.near_dedup import near_groups
 from loomgraph.llm.packing import pack_documents
 from loomgraph.llm.quality import fit_quality, quality_scores
@@ -73,3 +74,9 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
+
+
+@query()
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return predicted_languages(docs, fit_languages(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
