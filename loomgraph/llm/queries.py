@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import documents, held_out
 from loomgraph.llm.exact_dedup import exact_groups
 from loomgraph.llm.language import fit_languages, predicted_languages
+from loomgraph.llm.lm_score import language_scores
 from loomgraph.llm.near_dedup import near_groups
 from loomgraph.llm.packing import pack_documents
 from loomgraph.llm.quality import fit_quality, quality_scores
@@ -94,3 +95,8 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10""")
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0, k=10)
+
+
+@query()
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_scores(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), parts=7)
