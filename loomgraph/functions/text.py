@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from loomgraph.schema import PII_KEYS
 
@@ -17,7 +18,7 @@ SEARCH_SIGNS = r"[.*^$()\-+:\";\\'/]"
 SEARCH_WORDS = r"(?i)\b(AND|OR|NOT|NEAR)\b"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _without_marks(values: pd.Series) -> pd.Series:
     def plain(s):
         return None if s is None else "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))

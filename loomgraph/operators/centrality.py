@@ -96,7 +96,7 @@ def pagerank(store: GraphStore, damping: float = 0.85, rounds: int = 100, tolera
             return pd.DataFrame({"id": ids, "score": score})
 
         rows = ids.select("id", F.lit(None).cast("long").alias("other")).unionAll(walk.select("src", "dst"))
-        ranked = rows.groupBy(F.lit(1)).applyInPandas(rank, "id long, score double")
+        ranked = rows.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(rank, "id long, score double")
         return ranked.select("id", F.round("score", 6).alias("score"))
     n = ids.count()
     out = walk.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("out"))

@@ -53,7 +53,7 @@ def errors(spans: DataFrame, as_of: dt.datetime, minutes: int = 60) -> DataFrame
 def health(spans: DataFrame, as_of: dt.datetime, seconds: int = 60, intact: bool = True) -> DataFrame:
     """One row: n, p50, error_percent, status of the last seconds."""
     now = settled(recent(spans, as_of, seconds / 60, closed=False).select("duration_ms", "error"), "window")
-    bad = now.agg(F.count(F.lit(1)).alias("all"), F.count_if("error is not null and error != ''").alias("bad"))
+    bad = now.agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("error") != "").alias("bad"))
     joined = picks(now, 0.5).drop("n").join(bad)
     percent = F.round(F.when(F.col("all") > 0, 100.0 * F.col("bad") / F.col("all")).otherwise(F.lit(0.0)), 1)
     status = F.when((percent > 50) | F.lit(not intact), "critical").when((percent > 10) | (F.col("p50") > 1000), "degraded").otherwise("healthy")
@@ -70,7 +70,7 @@ def replay(spans: DataFrame, trace_id: str, limit: int | None = 100) -> DataFram
 
 def replay_summary(spans: DataFrame, trace_id: str) -> DataFrame:
     """One row: spans, total_ms (2 places), errors of the trace."""
-    return spans.where(F.col("trace_id") == trace_id).agg(F.count(F.lit(1)).alias("spans"), F.round(F.sum("duration_ms"), 2).alias("total_ms"), F.count_if("error is not null and error != ''").alias("errors"))
+    return spans.where(F.col("trace_id") == trace_id).agg(F.count(F.lit(1)).alias("spans"), F.round(F.sum("duration_ms"), 2).alias("total_ms"), F.count_if(F.col("error") != "").alias("errors"))
 
 
 def replay_tree(spans: DataFrame, trace_id: str) -> DataFrame:

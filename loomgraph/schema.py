@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
 # The labels, edge types and provenance tags that a graph may have.
 LABELS = (
@@ -27,12 +27,20 @@ PII_KEYS = ("email", "phone", "cpf", "cnpj", "password", "token", "secret", "api
 # Limits on input.
 NAME_CHARS, PROPERTY_CHARS, BATCH_ITEMS, QUERY_CHARS, QUERY_ROWS = 512, 65_536, 10_000, 10_000, 10_000
 
-NODES = StructType.fromDDL("id long, label string, name string, qualified_name string, properties string, provenance string, source string, created_at timestamp, updated_at timestamp")
-EDGES = StructType.fromDDL("id long, source_id long, target_id long, type string, properties string, provenance string, weight double, created_at timestamp")
-COMMUNITIES = StructType.fromDDL("node_id long, community_id long, algorithm string, created_at timestamp")
-METADATA = StructType.fromDDL("key string, value string, updated_at timestamp")
-AUDIT = StructType.fromDDL("event string, entity_type string, entity_id long, label string, qualified_name string, source string, timestamp timestamp")
-SPANS = StructType.fromDDL(
+
+
+def struct(columns: str) -> StructType:
+    """`name type, ...` as a schema; needs no session."""
+    types = {"long": LongType(), "string": StringType(), "double": DoubleType(), "timestamp": TimestampType(), "int": IntegerType(), "boolean": BooleanType()}
+    return StructType([StructField(name, types[kind]) for name, kind in (c.split() for c in columns.split(", "))])
+
+
+NODES = struct("id long, label string, name string, qualified_name string, properties string, provenance string, source string, created_at timestamp, updated_at timestamp")
+EDGES = struct("id long, source_id long, target_id long, type string, properties string, provenance string, weight double, created_at timestamp")
+COMMUNITIES = struct("node_id long, community_id long, algorithm string, created_at timestamp")
+METADATA = struct("key string, value string, updated_at timestamp")
+AUDIT = struct("event string, entity_type string, entity_id long, label string, qualified_name string, source string, timestamp timestamp")
+SPANS = struct(
     "id long, trace_id string, span_id string, parent_id string, tool string, duration_ms double, error string, args_summary string, result_size long, timestamp timestamp, agent_id string, cost_usd double, checkpoint string"
 )
 TABLES = {"nodes": NODES, "edges": EDGES, "communities": COMMUNITIES, "metadata": METADATA, "audit_log": AUDIT, "telemetry_spans": SPANS}

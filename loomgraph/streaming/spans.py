@@ -74,5 +74,5 @@ def breaker(spans: DataFrame) -> DataFrame:
 def latency_stream(spans: DataFrame, window: str = "60 minutes", late: str = "10 minutes") -> DataFrame:
     """start, tool, n, avg_ms, max_ms, errors of tumbling windows, closed when the watermark has passed them."""
     by = spans.withWatermark("timestamp", late).groupBy(F.window("timestamp", window), "tool")
-    out = by.agg(F.count(F.lit(1)).alias("n"), F.avg("duration_ms").alias("avg_ms"), F.max("duration_ms").alias("max_ms"), F.count_if("error is not null").alias("errors"))
+    out = by.agg(F.count(F.lit(1)).alias("n"), F.avg("duration_ms").alias("avg_ms"), F.max("duration_ms").alias("max_ms"), F.count("error").alias("errors"))
     return out.select(F.col("window.start").alias("start"), "tool", "n", "avg_ms", "max_ms", "errors")
