@@ -15,6 +15,7 @@ from loomgraph.llm.language import fit_languages, predicted_languages
 from loomgraph.llm.lm_score import language_scores
 from loomgraph.llm.near_dedup import near_groups
 from loomgraph.llm.packing import pack_documents
+from loomgraph.llm.pieces import codec_summary
 from loomgraph.llm.quality import fit_quality, quality_scores
 from loomgraph.llm.repeats import without_repeats
 from loomgraph.llm.token_counts import token_counts
@@ -100,3 +101,8 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_scores(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), parts=7)
+
+
+@query()
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codec_summary(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
