@@ -22,7 +22,7 @@ def tree(spark: SparkSession, root: str, project: str, max_depth: int = 3, ignor
     label = F.create_map(*(F.lit(x) for kv in LABEL_OF.items() for x in kv))[F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))]
     files = files.withColumn("label", label).where("label is not null")
     slug = f"{project.lower()}:"
-    folders = files.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("path")).where(F.col("path") != "").distinct()
+    folders = files.where(F.size(parts) > 1).select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("path")).where(F.col("path") != "").distinct()
     named = lambda df, kind: df.withColumn("name", F.element_at(F.split("path", "/"), -1)).withColumn("qualified_name", F.concat(F.lit(kind + ":" + slug), F.replace("path", F.lit("/"), F.lit(":"))))
     first = spark.createDataFrame([("Project", project, f"project:{project.lower()}", "{}")], "label string, name string, qualified_name string, properties string")
     about = F.concat(F.lit('{"size":'), "size", F.lit(',"lines":'), "lines", F.lit("}"))
