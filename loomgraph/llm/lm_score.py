@@ -155,7 +155,7 @@ def language_scores(docs: DataFrame, path: str, parts: int = 7, id_col: str = "d
                     batch.column("held_out"),
                     pa.array(np.diff(before) + 1),
                     pa.array(np.bincount(doc[frequent], minlength=many)),
-                    pa.array(np.bincount(doc[frequent], head_log[at[frequent]], many)),
+                    pa.array(np.bincount(doc[frequent], head_log[at[frequent]], many).astype(float)),  # of nothing, bincount makes integers
                     pa.array((np.bincount(doc, value, many) + end_p) / np.log(10)),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(as_long(h[tail]))),
                 ],

@@ -239,6 +239,9 @@ def spans_among(contexts: DataFrame, length: int) -> DataFrame:
 
     def spans(rows: pa.Table) -> pa.RecordBatch:
         out = []
+        h, doc, at = (rows[c].to_numpy() for c in ("h", "doc_id", "start"))
+        again = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1]) & (at[1:] == at[:-1])  # of rows that repeat an id
+        rows = rows.filter(pa.array(np.concatenate([[True], ~again])))
         for doc_id, start, again in zip(rows["doc_id"].to_pylist(), rows["start"].to_pylist(), repeated_in(rows["bytes"].to_pylist(), length)):
             out.extend((doc_id, a, b) for a, b in spans_of(again, start, length))
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(3)], ["doc_id", "start", "end"])
