@@ -13,13 +13,36 @@ from loomgraph.llm.common import blocks, held_out
 #: Labelled documents that the network learns from, half of each label (in expectation).
 SAMPLE = 3000
 CHUNK, OVERLAP = 512, 64
-PAD = 256
+#: A byte that begins a string of eight which also begins up to LAGS bytes before has a symbol of its own.
+LAGS = 32
+PAD = 512
+
+
+def symbols(data: np.ndarray, places: np.ndarray, at_once: int = 1 << 15) -> np.ndarray:
+    """Every byte, plus 256 where it begins a string that repeats one close before, in the same document."""
+    n = len(data)
+    out = data.astype(np.int16)
+    inside = np.arange(n) - np.repeat(places[:-1], np.diff(places))
+    left = np.repeat(places[1:], np.diff(places)) - np.arange(n)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    strings = np.lib.stride_tricks.as_strided(padded, (n, 8), (1, 1)).copy().view(np.uint64).reshape(n) if n else np.zeros(0, np.uint64)
+    for low in range(0, n, at_once):
+        here, depth = strings[low : low + at_once], inside[low : low + at_once]
+        again = np.zeros(len(here), bool)
+        for lag in range(1, LAGS + 1):
+            skip = max(0, lag - low)
+            if skip >= len(here):
+                break
+            again[skip:] |= (here[skip:] == strings[low + skip - lag : low + len(here) - lag]) & (depth[skip:] >= lag)
+        out[low : low + at_once] += 256 * (again & (left[low : low + at_once] >= 8))
+    return out
 
 
 class ByteConvNet:
-    """Bytes are embedded; filters of eight bytes, four apart, run over chunks of CHUNK bytes that overlap
-    by OVERLAP; each filter's highest value in a chunk is kept; a document's features are the highest and
-    the mean of these over all its chunks; one weighted sum of them makes the logit."""
+    """Bytes, told apart by whether they repeat what is close before, are embedded; filters of eight bytes, four
+    apart, run over chunks of CHUNK bytes that overlap by OVERLAP; each filter's highest value in a chunk
+    is kept; a document's features are the highest and the mean of these over all its chunks and the
+    logarithm of its length; one weighted sum of them makes the logit."""
 
     DIMS, STRIDE = 8, 4
 
@@ -28,10 +51,10 @@ class ByteConvNet:
         f32 = np.float32
         self.filters = filters
         self.p = {
-            "embed": r.normal(0, 0.5, (257, self.DIMS)).astype(f32),
+            "embed": r.normal(0, 0.5, (PAD + 1, self.DIMS)).astype(f32),
             "conv": r.normal(0, 0.18, (2 * self.STRIDE * self.DIMS, filters)).astype(f32),
             "bias": np.zeros(filters, f32),
-            "out": r.normal(0, 0.1, 2 * filters).astype(f32),
+            "out": r.normal(0, 0.1, 2 * filters + 1).astype(f32),
             "c": np.zeros(1, f32),
         }
         self.p["embed"][PAD] = 0
@@ -70,27 +93,28 @@ class ByteConvNet:
         return out
 
     @staticmethod
-    def features(pooled: np.ndarray, first: np.ndarray) -> np.ndarray:
-        many = np.diff(first)[:, None]
-        return np.hstack([np.maximum.reduceat(pooled, first[:-1]), np.add.reduceat(pooled, first[:-1]) / many])
+    def features(pooled: np.ndarray, first: np.ndarray, places: np.ndarray) -> np.ndarray:
+        many, size = np.diff(first)[:, None], np.log1p(np.diff(places))[:, None] / 5
+        return np.hstack([np.maximum.reduceat(pooled, first[:-1]), np.add.reduceat(pooled, first[:-1]) / many, size])
 
     def scores(self, data: np.ndarray, places: np.ndarray) -> np.ndarray:
         start, size, first = self.chunks(data, places)
-        logit = self.features(self.pooled(data, start, size), first).astype(np.float64) @ self.p["out"] + self.p["c"][0]
+        logit = self.features(self.pooled(symbols(data, places), start, size), first, places).astype(np.float64) @ self.p["out"] + self.p["c"][0]
         return 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
 
     def fit(self, texts: list[bytes], labels: np.ndarray, weights: np.ndarray, steps: int = 500, batch: int = 32, rate: float = 4e-3, decay: float = 1e-4) -> ByteConvNet:
         """Adam on the weighted cross-entropy; each step runs over all chunks of its documents."""
         r = np.random.default_rng(11)
         p, half = self.p, self.STRIDE * self.DIMS
+        coded = [symbols(np.frombuffer(t, np.uint8), np.array([0, len(t)])) for t in texts]
         moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in p.items()}
         order = np.zeros(0, np.int64)
         for step in range(1, steps + 1):
             if len(order) < min(batch, len(texts)):
                 order = r.permutation(len(texts))
             now, order = order[:batch], order[batch:]
-            data = np.frombuffer(b"".join(texts[k] for k in now), np.uint8)
-            places = np.concatenate([[0], np.cumsum([len(texts[k]) for k in now])])
+            data = np.concatenate([coded[k] for k in now])
+            places = np.concatenate([[0], np.cumsum([len(coded[k]) for k in now])])
             start, size, first = self.chunks(data, places)
             pooled, where, windows = [], [], []
             for k in range(0, len(start), 128):
@@ -101,12 +125,12 @@ class ByteConvNet:
                 pooled.append(np.maximum(np.take_along_axis(out, top[:, None], 1)[:, 0], 0))
                 windows.append(codes[np.arange(len(codes))[:, None, None], top[:, :, None] * self.STRIDE + np.arange(2 * self.STRIDE)])
             pooled, windows = np.concatenate(pooled), np.concatenate(windows)
-            z = self.features(pooled, first)
+            z = self.features(pooled, first, places).astype(np.float32)
             logit = z @ p["out"] + p["c"]
             slope = ((1 / (1 + np.exp(-np.clip(logit, -60, 60))) - labels[now]) * weights[now] / weights[now].sum()).astype(np.float32)
             dz = slope[:, None] * p["out"]
             doc = np.repeat(np.arange(len(now)), np.diff(first))
-            dpool = dz[doc, self.filters :] / np.diff(first)[doc][:, None]
+            dpool = dz[doc, self.filters : 2 * self.filters] / np.diff(first)[doc][:, None]
             is_top = pooled == z[doc, : self.filters]
             dpool += dz[doc, : self.filters] * is_top / np.maximum(1, np.add.reduceat(is_top.astype(np.float32), first[:-1]))[doc]
             dpool *= pooled > 0
