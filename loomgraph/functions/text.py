@@ -26,9 +26,38 @@ def _without_marks(values: pd.Series) -> pd.Series:
     return values.map(plain, na_action="ignore")
 
 
+def _single_letters() -> tuple[str, str]:
+    """The letters up to U+017F that decompose to one other letter and marks, and those letters."""
+    pairs = []
+    for k in range(0xC0, 0x180):
+        plain = "".join(x for x in unicodedata.normalize("NFKD", chr(k)) if not unicodedata.combining(x))
+        if len(plain) == 1 and plain != chr(k):
+            pairs.append((chr(k), plain))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+MARKED, PLAIN = _single_letters()
+
+
+def _latin_pattern() -> str:
+    """Text of ASCII, MARKED and letters up to U+017F that stand for themselves, as a class of few ranges."""
+    same = [k for k in range(0xC0, 0x180) if chr(k) in MARKED or unicodedata.normalize("NFKD", chr(k)) == chr(k)]
+    ranges = "".join(rf"\x{{{k:x}}}-" if k - 1 not in same else rf"\x{{{k:x}}}" if k + 1 not in same else "" for k in same if k - 1 not in same or k + 1 not in same)
+    return rf"^[\x00-\x7f{ranges}]*+$"
+
+
+LATIN = _latin_pattern()
+
+
+def is_ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.char_length(c)
+
+
 def without_marks(c: Column) -> Column:
-    """Compatibility decomposition without combining marks. ASCII text never leaves the JVM's side."""
-    return F.when(c.rlike(r"^[\x00-\x7f]*$"), c).otherwise(_without_marks(c))
+    """Compatibility decomposition without combining marks. Text of ASCII and European Latin letters never leaves the
+    JVM; only other text goes to Python, in Arrow batches."""
+    latin = c.rlike(LATIN)
+    return F.when(is_ascii(c), c).when(latin, F.translate(c, MARKED, PLAIN)).otherwise(_without_marks(F.when(~latin, c)))
 
 
 def normalize_name(c: Column, ascii_only: bool = False) -> Column:
@@ -58,6 +87,16 @@ def tokens(c: Column) -> Column:
     return F.array_distinct(F.filter(parts, lambda t: t != ""))
 
 
+def has_tokens(c: Column, terms: list[str]) -> Column:
+    """Whether all the terms, folded letters and digits as search_terms gives them, are tokens of the text: a search
+    that ends at the first place, where tokens() would make all of them."""
+    low, found = F.lower(c), F.lit(True)
+    for t in terms:
+        found = found & low.rlike(rf"(?<![a-z0-9]){t}(?![a-z0-9])")
+    every = "".join(rf"(?=.*(?<![\p{{L}}\p{{N}}]){t}(?![\p{{L}}\p{{N}}]))" for t in terms)
+    return F.when(is_ascii(c), found).otherwise(without_marks(low).rlike(f"(?s)^{every}"))
+
+
 def redact_text(c: Column, most: int = 500) -> Column:
     """Values of personal keys and e-mail addresses replaced, then cut; null and empty give an empty text."""
     return F.substring(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), PII_PAIR, '"$1":"[REDACTED]"'), EMAIL, "[EMAIL]"), 1, most)

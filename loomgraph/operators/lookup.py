@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph import schema
-from loomgraph.functions.text import redact_properties, search_terms, tokens
+from loomgraph.functions.text import has_tokens, redact_properties, search_terms, tokens
 from loomgraph.store import GraphStore
 
 
@@ -91,8 +91,7 @@ def search(store: GraphStore, pattern: str = "", label: str | None = None, limit
     found = store.nodes if label is None else store.nodes.where(F.col("label") == label)
     terms = search_terms(pattern)
     if terms:
-        have = tokens(F.concat_ws(" ", "name", "qualified_name", "properties"))
-        found = found.where(F.size(F.array_except(F.array(*map(F.lit, terms)), have)) == 0)
+        found = found.where(has_tokens(F.concat_ws(" ", "name", "qualified_name", "properties"), terms))
     return found if limit is None else found.orderBy("id").limit(limited(limit, 1000))
 
 
@@ -101,11 +100,7 @@ def text_search(docs: DataFrame, pattern: str, text_col: str = "text") -> DataFr
     terms = search_terms(pattern)
     if not terms:
         return docs
-    # a cheap test on the raw text first, where a term is plain ASCII letters
-    for t in terms:
-        if t.isascii():
-            docs = docs.where(F.contains(F.lower(text_col), F.lit(t)) | ~F.col(text_col).rlike(r"^[\x00-\x7f]*$"))
-    return docs.where(F.size(F.array_except(F.array(*map(F.lit, terms)), tokens(F.col(text_col)))) == 0)
+    return docs.where(has_tokens(F.col(text_col), terms))
 
 
 def inverted_index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
