@@ -58,7 +58,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def work(batches):
         hashes = ByteSums(3)
-        for _, data, places in blocks(batches, "text", 8 << 20):
+        for _, data, places in blocks(batches, "text", 2 << 20):
             data = LOWER[data]
             start, end, _ = words(data, places)
             h, first, n = np.unique(hashes.runs(hashes.sums(data), start, end), return_index=True, return_counts=True)

@@ -20,7 +20,7 @@ ANCHOR = 32
 #: No byte of UTF-8 text: parts the contexts of a block.
 SEPARATOR = 0xFF
 #: Bytes of contexts that one transform is made of, and distinct contexts of an anchor that go to one.
-BLOCK, GROUP = 1 << 20, 20_000
+BLOCK, GROUP = 1 << 19, 20_000
 #: Anchors are salted if a sample of one document in SAMPLED has them this often; at most HOT of them.
 SAMPLED, HOT_COUNT, HOT, SALTS = 64, 50, 4096, 64
 
