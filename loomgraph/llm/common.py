@@ -1,10 +1,7 @@
-"""What the text operators share: input, shared scratch tables, byte views and hashes."""
+"""What the text operators share: input, tables in the shared folder, byte views and hashes."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.store import settled as stored
+
+__all__ = ["ByteSums", "IS_SPACE", "LOWER", "as_long", "blocks", "documents", "held_out", "mixed", "stored", "text_bytes", "words"]
+
 #: Bytes of text that a task works on at once; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 20
 
@@ -20,27 +21,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or one in /tmp where that is unset."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = os.path.join(tempfile.gettempdir(), "checkpoints")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends here, and a lost
-    executor costs no recomputation. The table goes when the session ends."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(schema).parquet(path)
-
-
 def held_out(doc_id: str = "doc_id", parts: int = 4) -> Column:
     """The rows that no model learns from: crc32 of the id as text leaves 2."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % parts == 2, F.lit(False))

@@ -43,7 +43,23 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir), keep="largest")
 
 
-@query()
+@query(r"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+    ), s AS (
+        SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+            ELSE list_distinct([array_to_string(w[i : i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s FROM w
+    ), sets AS (SELECT doc_id, len(s) AS n, hash(list_sort(s)) AS same, s FROM s
+    ), reps AS (SELECT min(doc_id) AS rep, any_value(n) AS n, any_value(s) AS s FROM sets WHERE n > 0 GROUP BY same
+    ), shingles AS (SELECT rep, n, unnest(s) AS x FROM reps
+    ), links AS (
+        SELECT a.rep AS a, b.rep AS b FROM shingles a JOIN shingles b ON a.x = b.x AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+        GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+    ), steps AS (SELECT a, b FROM links UNION SELECT b, a FROM links
+    ), reach(id, least) USING KEY (id) AS (
+        SELECT rep, rep FROM reps UNION SELECT b, min(r.least) FROM reach r JOIN steps ON a = r.id JOIN recurring.reach k ON k.id = b WHERE r.least < k.least GROUP BY b
+    ), named AS (SELECT sets.doc_id, sets.n, CASE WHEN sets.n = 0 THEN sets.doc_id ELSE (min(doc_id) OVER (PARTITION BY same)) END AS rep FROM sets)
+    SELECT doc_id, n AS n_shingles, coalesce(least, doc_id) AS component_id, doc_id = coalesce(least, doc_id) AS kept FROM named LEFT JOIN reach ON named.n > 0 AND reach.id = named.rep""")
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(documents(spark, sf_dir), percent=85)
 
