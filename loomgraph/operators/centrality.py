@@ -17,8 +17,8 @@ KERNEL_STEPS = 2_000_000
 
 def degree_centrality(store: GraphStore) -> DataFrame:
     """id, score: distinct undirected neighbours (a loop makes a node its own) over the other nodes, to 4 places."""
-    e = store.edges
-    both = e.select(F.col("source_id").alias("id"), F.col("target_id").alias("other")).union(e.select("target_id", "source_id")).distinct()
+    out = F.struct(F.col("source_id").alias("id"), F.col("target_id").alias("other"))
+    both = store.edges.select(F.inline(F.array(out, F.struct(F.col("target_id").alias("id"), F.col("source_id").alias("other"))))).distinct()
     near = both.groupBy("id").agg(F.count(F.lit(1)).alias("near"))
     others = store.nodes.agg(F.greatest(F.lit(1), F.count(F.lit(1)) - 1).alias("others"))
     joined = store.nodes.select("id").join(near, "id", "left").join(F.broadcast(others))  # a row

@@ -36,14 +36,14 @@ def ends(edges: DataFrame, nodes: DataFrame, *columns: str) -> DataFrame:
 
 def degrees(edges: DataFrame) -> DataFrame:
     """id, degree: edge ends at each node; a loop counts twice."""
-    out = edges.groupBy(F.col("source_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    into = edges.groupBy(F.col("target_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    return out.unionAll(into).groupBy("id").agg(F.sum("n").alias("degree"))
+    return edges.select(F.explode(F.array("source_id", "target_id")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
 
 
 def node_degrees(store: GraphStore) -> DataFrame:
     """id, out_degree, in_degree, degree of every node."""
-    ends_ = store.edges.select(F.col("source_id").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionAll(store.edges.select(F.col("target_id").alias("id"), F.lit(0), F.lit(1)))
+    one, zero = F.lit(1), F.lit(0)
+    out = F.struct(F.col("source_id").alias("id"), one.alias("o"), zero.alias("i"))
+    ends_ = store.edges.select(F.inline(F.array(out, F.struct(F.col("target_id").alias("id"), zero.alias("o"), one.alias("i")))))
     sums = ends_.groupBy("id").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
     zero = F.lit(0).cast("long")
     joined = store.nodes.select("id").join(sums, "id", "left")
@@ -189,7 +189,7 @@ def impact_summary_nodes(store: GraphStore, edge_type: str) -> DataFrame:
 def orphan_nodes(store: GraphStore, edges: DataFrame | None = None) -> DataFrame:
     """Nodes that no edge touches."""
     e = store.edges if edges is None else edges
-    touched = e.select(F.col("source_id").alias("id")).unionAll(e.select("target_id"))
+    touched = e.select(F.explode(F.array("source_id", "target_id")).alias("id"))
     return store.nodes.join(touched, "id", "left_anti").select("id", "label", "name", "qualified_name", "provenance")
 
 

@@ -13,10 +13,10 @@ def steps(edges: DataFrame, direction: str = "both") -> DataFrame:
     """src, dst: the distinct steps that a walk may take, no loops."""
     if direction not in ("both", "out", "in"):
         raise ValueError("direction is both, out or in")
-    out = edges.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"))
-    into = edges.select(F.col("target_id").alias("src"), F.col("source_id").alias("dst"))
-    both = {"out": out, "in": into, "both": out.unionAll(into)}[direction]
-    return both.where("src != dst").distinct()
+    out = F.struct(F.col("source_id").alias("src"), F.col("target_id").alias("dst"))
+    into = F.struct(F.col("target_id").alias("src"), F.col("source_id").alias("dst"))
+    ways = {"out": [out], "in": [into], "both": [out, into]}[direction]  # one pass over the edges for both
+    return edges.where("source_id != target_id").select(F.inline(F.array(*ways))).distinct()
 
 
 def layers(walk: DataFrame, start: DataFrame, max_depth: int, until: int | None = None) -> DataFrame:
