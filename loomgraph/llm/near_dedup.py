@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -73,9 +72,11 @@ class CirculantMinHash:
 
 #: Larger buckets are first compared with their hubs.
 SMALL = 16
-#: Buckets of up to so many sets are compared pair by pair, by outlines; larger ones are split by further
-#: bands, up to so many bands in a key.
-GROUP, DEPTH = 2000, 3
+#: Buckets of up to so many sets are compared pair by pair, by outlines; the sets of larger ones meet by their
+#: rarest shingles, in blocks of about so many.
+GROUP = 2000
+#: Bits of a shingle's hash that name the class in which its rarity is counted.
+RARITY_BITS = 18
 #: Classes of an outline, which counts a set's shingles by hash.
 CLASSES = 128
 
@@ -140,9 +141,16 @@ def within_buckets(rows: DataFrame, percent: int) -> DataFrame:
                     b.append(np.maximum(rep[low + k], rep[others]))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
+    rows = rows.select("key", "rep", "n", "joined", "outline")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(whole_buckets(pairs), "a long, b long").distinct()
+
+
+def whole_buckets(pairs: Callable[[pa.Table], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """pairs for batches sorted by key: it gets whole buckets; a batch's last one may go on in the next."""
+
     def work(batches):
         held: list[pa.RecordBatch] = []
-        for batch in batches:  # whole buckets; a batch's last one may go on in the next
+        for batch in batches:
             table = pa.Table.from_batches([*held, batch])
             key = table["key"].to_numpy()
             edges = np.flatnonzero(key[1:] != key[:-1]) + 1
@@ -153,8 +161,82 @@ def within_buckets(rows: DataFrame, percent: int) -> DataFrame:
         if held:
             yield pairs(pa.Table.from_batches(held))
 
-    rows = rows.select("key", "rep", "n", "joined", "outline")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(work, "a long, b long").distinct()
+    return work
+
+
+def rarities(texts: DataFrame, size: int) -> np.ndarray:
+    """How many shingles of the texts (text) fall in each class of hashes."""
+
+    def work(batches):
+        shingles, counts = Shingles(size), np.zeros(1 << RARITY_BITS, np.int64)
+        for _, data, places in blocks(batches, "text"):
+            counts += np.bincount((np.concatenate(shingles.sets(data, places)) >> np.uint64(64 - RARITY_BITS)).astype(np.int64), minlength=len(counts))
+        seen = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], ["class", "n"])
+
+    found = texts.select("text").mapInArrow(work, "class long, n long").groupBy("class").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << RARITY_BITS, np.int64)
+    counts[found["class"].to_numpy()] = found["n"].to_numpy()
+    return counts
+
+
+def within_crowd(crowd: DataFrame, docs: DataFrame, percent: int, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
+    """a, b: all pairs of the sets (rep, joined) that no link joins yet and that may be similar enough, whatever bands they share.
+
+    A set's shingles are put in one order for all, rarest classes first. Two sets x, y that are similar
+    enough share at least o = percent * (|x| + |y|) / (100 + percent) shingles, so one of the first
+    |x| - o + 1 of x is one of the first |y| - o + 1 of y; as o is percent of the larger and
+    2 * percent / (100 + percent) of the smaller at least, each set is keyed by a short prefix, and of a
+    shingle's sets only those that have it in the still shorter prefix of a smaller set (low) ask
+    the others. Boilerplate is in no such prefix. A shingle of many sets is cut into blocks of about GROUP
+    that ask and GROUP that are asked, each pair of blocks a bucket of its own.
+    """
+    ids = crowd.select(F.col("rep").alias("id")).distinct()
+    texts = stored(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi"), "crowd-texts")
+    counts = texts.sparkSession.sparkContext.broadcast(rarities(texts, size))
+
+    def prefixes(batches):
+        shingles = Shingles(size)
+        for rows, data, places in blocks(batches, "text"):
+            sets = shingles.sets(data, places)
+            n = np.array([len(s) for s in sets], np.int64)
+            kept = n + percent * n // -100 + (n > 0)
+            first = [s[np.argsort(counts.value[(s >> np.uint64(64 - RARITY_BITS)).astype(np.int64)], kind="stable")[:k]] for s, k in zip(sets, kept.tolist())]
+            starts = np.concatenate([[0], np.cumsum(kept)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [rows.column(0), pa.array(n), pa.array([outline(s).tobytes() for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(starts), pa.array(as_long(np.concatenate(first))))],
+                ["rep", "n", "outline", "first"],
+            )
+
+    def pairs(rows: pa.Table) -> pa.RecordBatch:
+        key, rep, n, at, joined = (rows[c].to_numpy() for c in ("key", "rep", "n", "at", "joined"))
+        asks = rows["asks"].to_numpy(zero_copy_only=False)
+        outlines = np.frombuffer(b"".join(rows["outline"].to_pylist()), np.uint8).reshape(-1, CLASSES)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+        for low, high in zip(edges[:-1], edges[1:]):
+            asked = low + np.flatnonzero(~asks[low:high])
+            for k in (low + np.flatnonzero(asks[low:high])).tolist():
+                common = -(percent * (n[k] + n[asked]) // -(100 + percent))
+                others = asked[(n[k] <= n[asked]) & (at[k] <= n[k] - common) & (at[asked] <= n[asked] - common) & (joined[asked] != joined[k])]
+                most = np.minimum(outlines[k], outlines[others]).sum(axis=1, dtype=np.int64)
+                fits = (100 * most >= percent * (n[k] + n[others] - most)) | ((outlines[k] == 255) & (outlines[others] == 255)).any(axis=1)
+                a.append(np.minimum(rep[k], rep[others[fits]]))
+                b.append(np.maximum(rep[k], rep[others[fits]]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    sets = stored(texts.mapInArrow(prefixes, "rep long, n long, outline binary, first array<long>").join(crowd.select("rep", "joined").distinct(), "rep"), "prefixes")
+    rows = sets.select("rep", "n", "joined", F.posexplode("first").alias("at", "shingle"))
+    rows = rows.withColumn("low", F.expr(f"at <= n - ceil({2 * percent} * n / {100 + percent}D)"))
+    groups = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("size"), F.count_if("low").alias("lows"), F.min("joined").alias("least"), F.max("joined").alias("most"))
+    groups = groups.where("lows > 0 and least != most").select("shingle", F.ceil(F.col("size") / GROUP).alias("blocks"), F.ceil(F.col("lows") / GROUP).alias("low_blocks"))
+    rows = stored(rows.join(groups, "shingle"), "prefix-buckets")
+    mine = F.xxhash64("rep")
+    asking = rows.where("low").withColumn("i", F.pmod(mine, "low_blocks")).withColumn("k", F.explode(F.expr("sequence(0L, blocks - 1)"))).withColumn("asks", F.lit(True))
+    asked = rows.withColumn("k", F.pmod(mine, "blocks")).withColumn("i", F.explode(F.expr("sequence(0L, low_blocks - 1)"))).withColumn("asks", F.lit(False))
+    rows = asking.unionByName(asked).join(sets.select("rep", "n", "outline"), ["rep", "n"])
+    rows = rows.select(F.xxhash64("shingle", "i", "k").alias("key"), "rep", "n", "at", "joined", "asks", "outline")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(whole_buckets(pairs), "a long, b long").distinct()
 
 
 def links(sets: DataFrame, docs: DataFrame, percent: int, **how) -> DataFrame:
@@ -163,9 +245,8 @@ def links(sets: DataFrame, docs: DataFrame, percent: int, **how) -> DataFrame:
     First every set of a bucket of more than SMALL is compared with the bucket's hub, the set that shares
     buckets with most others: of copies that were each changed in their own way the least changed one. From
     then on only sets that no link joins yet are compared: all those of a bucket of up to GROUP sets, by
-    outlines, and in full where these leave it possible. The sets of a larger bucket are dealt again to
-    buckets of two bands and of DEPTH, each with a hub of its own; copies that share changes, the only
-    ones that hubs miss, agree in more bands.
+    outlines, and in full where these leave it possible. The sets of all larger buckets are compared by
+    within_crowd, which misses no link.
     """
     keyed = sets.select("rep", "n", F.explode("bands").alias("key"))
 
@@ -181,27 +262,16 @@ def links(sets: DataFrame, docs: DataFrame, percent: int, **how) -> DataFrame:
         return met.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
 
     rows = shared(keyed)
-    score = rows.groupBy("rep").agg(F.sum("size").alias("score"), F.array_sort(F.collect_set(F.when(F.col("size") > GROUP, F.col("key")))).alias("keys"))
+    score = rows.groupBy("rep").agg(F.sum("size").alias("score"))
     rows = stored(rows.join(score, "rep").join(sets.select("rep", "outline"), "rep"), "buckets")
     first = stored(confirmed(stars(rows.where(F.col("size") > SMALL).withColumn("joined", F.col("rep"))), docs, percent, **how), "hub-links")
     joined = components(first).select(F.col("node").alias("rep"), "component")
-    rows = rows.join(joined, "rep", "left").withColumn("joined", F.coalesce("component", "rep"))
-    rows = rows.withColumn("rest", F.expr("filter(keys, x -> x > key)")).drop("component", "keys")
-    pairs, level = [], 1
-    while True:
-        rows = stored(rows, "buckets")
-        pairs.append(within_buckets(rows.where(F.col("size") <= GROUP), percent))
-        large = rows.where(F.col("size") > GROUP)
-        if large.isEmpty():
-            break
-        if level > 1:
-            pairs.append(stars(large))
-        level += 1
-        if level > DEPTH:
-            break
-        deeper = large.select("rep", "n", "outline", "score", "joined", "key", "rest", F.posexplode("rest").alias("i", "next"))
-        rows = shared(deeper.select("rep", "n", "outline", "score", "joined", F.xxhash64("key", "next").alias("key"), F.expr("slice(rest, i + 2, size(rest))").alias("rest")))
-    return first.unionAll(confirmed(reduce(DataFrame.unionAll, pairs).distinct(), docs, percent, **how))
+    rows = stored(rows.join(joined, "rep", "left").withColumn("joined", F.coalesce("component", "rep")).drop("component"), "buckets")
+    pairs = within_buckets(rows.where(F.col("size") <= GROUP), percent)
+    crowd = rows.where(F.col("size") > GROUP)
+    if not crowd.isEmpty():
+        pairs = pairs.unionAll(within_crowd(stored(crowd.select("rep", "joined").distinct(), "crowd"), docs, percent, **how)).distinct()
+    return first.unionAll(confirmed(pairs, docs, percent, **how))
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:

@@ -83,6 +83,23 @@ def test_near_large_groups(spark, monkeypatch):
     assert {tuple(r) for r in near_groups(frame(spark, rows), percent=85).collect()} == expected
 
 
+def crowded() -> list[tuple]:
+    """Texts that share so much that all fall in the same buckets, too far apart for a link; two by two they share two
+    more shingles, which make the link."""
+    shared, rows = prose(6, 204), []
+    for k in range(60):
+        rows.append((200 + k, f"{shared} {prose(300 + k // 2, 2)} {prose(400 + k, 16)}"))
+    return rows
+
+
+def test_near_crowd(spark, monkeypatch):
+    rows = crowded()
+    expected = linked(rows, 85)
+    assert len({c for _, _, c, _ in expected}) == 28
+    monkeypatch.setattr(near_dedup, "GROUP", 4)
+    assert {tuple(r) for r in near_groups(frame(spark, rows), percent=85).collect()} == expected
+
+
 def test_near_filter(spark):
     kept = without_near_copies(frame(spark), percent=80)
     assert kept.columns == frame(spark).columns
