@@ -446,3 +446,6 @@ register(
     lambda s, d: table(s, d, "pages").select("page_id", html_escape(F.col("html")).alias("escaped")),
     "SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS escaped FROM pages",
 )
+# the same over all rows and whole texts: DuckDB does not fold all letters alike, so without SQL
+register("normalize_names_all", lambda s, d: table(s, d, "documents").select("doc_id", normalize_name(F.col("text")).alias("name")))
+register("fts_tokens_all", lambda s, d: table(s, d, "documents").select("doc_id", tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("n"), F.array_min("t").alias("first")))
