@@ -18,11 +18,15 @@ FIRST = 2
 
 
 def grid(vector: str, scale: int = 1024) -> Column:
-    """floor(scale * x) of every component; null if the vector is null, or a component is null, not finite or so
-    large that this leaves the 32-bit range."""
-    x = F.transform(F.col(vector), lambda v: F.floor(F.lit(float(scale)) * v.cast("double")))
-    wide = F.forall(F.col(vector), lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) < 2.0**31 / scale))
-    return F.when(F.coalesce(wide, F.lit(False)), x)
+    """floor(scale * x) of every component; null if the vector is null, or a component is null or not finite. An
+    error if a finite component leaves the 64-bit range."""
+
+    def whole(v: Column) -> Column:
+        x = F.lit(float(scale)) * v.cast("double")
+        return F.when(F.abs(x) < 2.0**63, F.floor(x)).otherwise(F.raise_error(F.lit("a component leaves the 64-bit range")).cast("long"))
+
+    finite = F.forall(F.col(vector), lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) < float("inf")))
+    return F.when(F.coalesce(finite, F.lit(False)), F.transform(F.col(vector), whole))
 
 
 class Lifted:
@@ -45,6 +49,11 @@ class Lifted:
         return np.sqrt(np.maximum(0, (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2 * a @ b.T))
 
 
+def stored_kind(most: int) -> type:
+    """What holds every component of vectors of a squared length of at most most."""
+    return np.int32 if most < 2**62 else np.int64
+
+
 def stacked(column: pa.Array, rows: np.ndarray, dim: int) -> np.ndarray:
     """The lists of those rows of a column, all of dim numbers, as a matrix."""
     return column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), dim)
@@ -79,7 +88,7 @@ def pivot_index(vectors: DataFrame, pivots: dict[int, np.ndarray], most: dict[in
                         "low": min(r[2] for r in held),
                         "high": max(r[2] for r in held),
                         "ids": np.array([r[3] for r in part], np.int64).tobytes(),
-                        "matrix": np.array([r[4] for r in part], np.int32).tobytes(),
+                        "matrix": np.array([r[4] for r in part], stored_kind(most[dim])).tobytes(),
                     }
                 ],
                 pa.schema([("dim", pa.int32()), ("pivot", pa.int32()), ("low", pa.float64()), ("high", pa.float64()), ("ids", pa.binary()), ("matrix", pa.binary())]),
@@ -87,7 +96,7 @@ def pivot_index(vectors: DataFrame, pivots: dict[int, np.ndarray], most: dict[in
 
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("dim", "pivot", "distance", "id", "v"))):
-                if held and (held[0][:2] != row[:2] or len(held) * max(1, row[0]) * 4 >= ANNULUS_BYTES):
+                if held and (held[0][:2] != row[:2] or len(held) * max(1, row[0]) * np.dtype(stored_kind(most[row[0]])).itemsize >= ANNULUS_BYTES):
                     yield annulus()
                     held = []
                 held.append(row)
@@ -108,7 +117,7 @@ def best_of(pairs: DataFrame, annuli: DataFrame, queries: DataFrame, n_queries:
             for row in batch.to_pylist():
                 dim, ids = row["dim"], np.frombuffer(row["ids"], np.int64)
                 kind = np.float64 if most[dim] < 2**52 else np.int64 if most[dim] < 2**62 else object  # sums stay exact
-                matrix = np.frombuffer(row["matrix"], np.int32).reshape(len(ids), dim).astype(kind)
+                matrix = np.frombuffer(row["matrix"], stored_kind(most[dim])).reshape(len(ids), dim).astype(kind)
                 asked = np.array([q["query_id"] for q in row["asked"]])
                 vectors = np.array([q["v"] for q in row["asked"]], kind).reshape(len(asked), dim)
                 scores = vectors @ matrix.T
@@ -136,8 +145,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     there bounds the distance of anything better; by the triangle inequality such a vector lies, for
     every pivot, in annuli whose distance differs from the query's by no more. Those are visited, no others.
 
-    Null vectors, ones with null, non-finite or out-of-range components and null ids take no part; an
-    empty table gives an empty one. Vectors of different dimensions are not compared. Rows that repeat
+    Null vectors, ones with null or non-finite components and null ids take no part; an empty table gives
+    an empty one. Numbers or scores beyond 64 bits are an error. Vectors of different dimensions are not compared. Rows that repeat
     an id and its vector are one; of an id with several vectors each is searched and found. Other columns
     play no part.
     """
@@ -177,8 +186,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     found = stored(best_of(near, annuli, queries, n_queries, most, k), "first-found")
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     bound = found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
-    # a vector at this distance or more scores (reach - gap**2) / 2 at most; half a point for rounding
-    reached = sides.join(bound, "query_id", "left").join(keys, ["dim", "pivot"]).where(F.col("bound").isNull() | ((F.col("reach") - gap * gap) / 2 + 0.5 >= F.col("bound")))
+    # a vector at this distance or more scores (reach - gap**2) / 2 at most; half a point for rounding, and what the
+    # distances' own rounding can make of it: up to the root of their squares' where they are near 0
+    slack = 0.5 + 10 * F.col("reach") * F.sqrt((F.col("dim") + 4) * 2.0**-53)
+    reached = sides.join(bound, "query_id", "left").join(keys, ["dim", "pivot"]).where(F.col("bound").isNull() | ((F.col("reach") - gap * gap) / 2 + slack >= F.col("bound")))
     rest = reached.select("query_id", "annulus").distinct().join(near, ["query_id", "annulus"], "left_anti")
     found = found.unionAll(best_of(rest, annuli, queries, n_queries, most, k)).distinct()
     found = found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)

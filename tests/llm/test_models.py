@@ -135,6 +135,14 @@ def test_top_k_prunes(spark):
         assert [(x["vec_id"], x["score"]) for x in sorted(got, key=lambda x: x["rank"]) if x["query_id"] == q] == [(i, -s) for s, i in best]
 
 
+def test_top_k_wide(spark):
+    """Components beyond 32 bits after scaling, and ones whose squares leave the doubles' whole numbers."""
+    r = random.Random(6)
+    rows = [(i, [r.uniform(-4e5, 4e5) for _ in range(3)]) for i in range(60)] + [(60, [2.5e6, 1.0, 2.0]), (61, [-2.2e6, 0.0, 1.0]), (62, [2.5e6, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, top_k(df, F.col("vec_id") % 5 == 0, k=4).collect())) == brute_top(rows, 4)
+
+
 def test_lattice_sums_all_segmentations():
     r = random.Random(4)
     spelled = [b"a", b"b", b"ab", b"ba", b"aba", b" a", b" ", b"a", b"b"]
