@@ -46,7 +46,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def without_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
-    """docs without the rows that exact_groups drops; the columns stay as they are."""
-    dropped = exact_groups(docs, id_col, text_col, keep).where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id")
-    dropped = stored(dropped.distinct(), "exact-copies").withColumnRenamed("doc_id", "__dropped")
-    return docs.join(dropped, docs[id_col] == dropped["__dropped"], "left_anti")
+    """docs without the rows that exact_groups drops; the columns stay as they are. The decision holds for an id
+    together with its text, and of rows that repeat both one stays."""
+    decided = exact_groups(docs, id_col, text_col, keep).where("doc_id is not null").groupBy("doc_id", "text_sha256").agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    decided = stored(decided.where("not kept or n > 1").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), "kept"), "exact-copies")
+    sha = F.sha2(F.encode(F.coalesce(docs[text_col], F.lit("")), "UTF-8"), 256)
+
+    def same(some: DataFrame) -> Column:
+        return (docs[id_col] == some["__id"]) & (sha == some["__sha"])
+
+    out = docs.join(decided, same(decided), "left_anti")
+    repeated = decided.where("kept")
+    once = docs.withColumn("__sha", sha).join(repeated.select(F.col("__id"), F.col("__sha").alias("__same")), (F.col(id_col) == F.col("__id")) & (F.col("__sha") == F.col("__same")), "left_semi")
+    return out.unionAll(once.dropDuplicates([id_col, "__sha"]).select(*docs.columns))

@@ -33,6 +33,12 @@ def test_exact_filter(spark):
     assert exact_groups(empty(spark)).count() == 0 and without_exact_copies(empty(spark)).count() == 0
 
 
+def test_exact_filter_ids_of_two_texts(spark):
+    rows = [(1, "a"), (2, "a"), (2, "b"), (3, "c"), (3, "c"), (4, None), (4, None), (5, ""), (None, "a"), (None, "a")]
+    kept = [(r["doc_id"], r["text"]) for r in without_exact_copies(frame(spark, rows)).collect()]
+    assert sorted(kept, key=str) == sorted([(1, "a"), (2, "b"), (3, "c"), (4, None), (None, "a"), (None, "a")], key=str)
+
+
 def shingle_set(text: str) -> frozenset:
     w = text.encode().lower().split()
     return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
