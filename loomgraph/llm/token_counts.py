@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -11,12 +12,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import ByteSums, blocks, mixed
+from loomgraph.llm.common import blocks
 
 #: Characters of a chunk; all chunks of a block are run at once, from every state.
 CHUNK = 256
-#: Words whose counts a worker remembers, as a power of two.
-MEMO_BITS = 20
+#: Words whose counts a worker remembers, and the bytes of the longest of them.
+MEMO, LONGEST_KNOWN = 400_000, 64
+#: Compiled states that a worker holds, and pairs of tokens that it has compared.
+STATES, PAIRS = 1 << 16, 1 << 18
+#: Tokens beyond a node of the trie up to which each is compared with the one before the node.
+FEW = 100
+#: Characters of a text that are split into words at once.
+PART = 1 << 20
 
 # Classes of characters for the split of text into words: the letters that contractions end in apart.
 LETTER, ONE, R_OR_V, L, E, NUMBER, SPACE, WHITE, APOSTROPHE, OTHER, EDGE = range(11)
@@ -114,87 +121,215 @@ def word_starts(classes: np.ndarray, goto: np.ndarray, begins: np.ndarray) -> np
 
 
 class WordTransducer:
-    """The merges as a transducer over the bytes of a word. What stands before each byte is one token, the last of
-    the encoding of the bytes so far: of the vocabulary's tokens that end there it is the only one that the
-    encoding before it can stand next to, that is, no merge of lower rank would have crossed between the
-    two. So each transition changes the count to that before the token, and one. Words run in step."""
-
-    def __init__(self, merges: list[tuple[int, int]], spelled: list[bytes]):
-        self.left = np.arange(len(spelled), dtype=np.int64)
-        self.right = self.left.copy()
-        self.left[256:], self.right[256:] = np.array(merges, np.int64).T
-        pairs = self.left[256:] * len(spelled) + self.right[256:]
-        self.size = len(spelled)
-        order = np.argsort(pairs)
-        self.pairs, self.merged = np.append(pairs[order], np.iinfo(np.int64).max), np.append(256 + order, -1)
-        self.sums = ByteSums(3)
-        data = np.frombuffer(b"".join(spelled), np.uint8)
-        ends = np.cumsum([len(s) for s in spelled])
-        names = self.sums.runs(self.sums.sums(data), np.concatenate([[0], ends[:-1]]), ends)
-        order = np.argsort(names)
-        self.names, self.ids = np.append(names[order], np.uint64(2**64 - 1)), np.append(order, -1)
-        self.longest = max(map(len, spelled))
-
-    def token(self, names: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.names, names)
-        return np.where(self.names[at] == names, self.ids[at], -1)
-
-    def may_meet(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The merges as a deterministic transducer over the bytes of a word, whose transitions say by how much the number
+    of emitted tokens changes.
+
+    What stands before each byte is one token, the last of the encoding of the bytes so far: of the vocabulary's
+    tokens that end there it is the only one that the encoding before it can stand next to, that is, no
+    merge of lower rank would have crossed between the two. So a state holds, for every earlier place from
+    which the bytes may still grow to a token: the node of the vocabulary's trie that they lead to, the last token
+    before that place, and how many tokens more there are now than there. Such states are finitely many;
+    they are compiled when first met, into tables of next states and count changes, so that all words of a
+    block then step at once. A full table begins anew with the states in use.
+    """
+
+    START = ((0, -1, 0),)
+
+    def __init__(self, merges: list[tuple[int, int]], spelled: list[bytes], most: int = STATES):
+        self.size, self.most = len(spelled), most
+        self.left, self.right = [[*range(256), *(m[k] for m in merges)] for k in (0, 1)]
+        self.merged = {a * self.size + b: 256 + k for k, (a, b) in enumerate(merges)}
+        self.met: dict[int, bool] = {}
+        self.trie: dict[int, int] = {}
+        self.final = [-1]
+        for token, letters in enumerate(spelled):
+            node = 0
+            for x in letters:
+                node = self.trie.setdefault(node << 8 | x, len(self.final))
+                if node == len(self.final):
+                    self.final.append(-1)
+            if letters:
+                self.final[node] = token
+        #: The tokens that go on from each node, where they are few; None: many.
+        self.below: list[list[int] | None] = [[] for _ in self.final]
+        up = {child: key >> 8 for key, child in self.trie.items()}
+        for node in range(len(self.final) - 1, 0, -1):  # children come after their parents
+            mine, rest = self.below[up[node]], self.below[node]
+            if mine is not None:
+                if rest is not None:
+                    mine += rest + [self.final[node]] * (self.final[node] >= 0)
+                if rest is None or len(mine) > FEW:
+                    self.below[up[node]] = None
+        self.open: dict[int, int] = {}
+        self.classes: dict[tuple, int] = {}
+        self.goto, self.gain = np.empty((most, 256), np.int32), np.empty((most, 256), np.int16)
+        self.clear()
+
+    def clear(self) -> None:
+        self.states: list[tuple] = []
+        self.ids: dict[tuple, int] = {}
+
+    def state(self, s: tuple) -> int:
+        k = self.ids.get(s)
+        if k is None:
+            k = self.ids[s] = len(self.states)
+            self.states.append(s)
+            self.goto[k] = -1
+        return k
+
+    def may_meet(self, a: int, b: int) -> bool:
         """Whether the encoding of a's and b's bytes is a, b: the merges that made them are undone, the latest first,
         and at no time does a merge across the middle come before the one undone last."""
-        answer = np.ones(len(a), bool)
-        rows, bound = np.arange(len(a)), np.full(len(a), np.iinfo(np.int64).max)
-        while len(rows):
-            key = a * self.size + b
-            at = np.searchsorted(self.pairs, key)
-            crossed = (self.pairs[at] == key) & (self.merged[at] < bound)
-            answer[rows[crossed]] = False
-            # undo the later of the two merges; equal ranks: the left one was made first, so the right one is undone
-            undo_a = a > b
-            whole = np.where(undo_a, a, b) < 256
-            go = ~crossed & ~whole
-            rows, a, b, undo_a = rows[go], a[go], b[go], undo_a[go]
-            bound = np.where(undo_a, a, b + 1)
-            a, b = np.where(undo_a, self.right[a], a), np.where(undo_a, b, self.left[b])
+        key = a * self.size + b
+        answer = self.met.get(key)
+        if answer is None:
+            bound, answer = len(self.merged) + 256, True
+            while True:
+                across = self.merged.get(a * self.size + b)
+                if across is not None and across < bound:
+                    answer = False
+                    break
+                # equal ranks: the left one was made first, so the right one is undone
+                if max(a, b) < 256:
+                    break
+                if a > b:
+                    bound, a = a, self.right[a]
+                else:
+                    bound, b = b + 1, self.left[b]
+            if len(self.met) >= PAIRS:
+                self.met.clear()
+            self.met[key] = answer
+        return answer
+
+    def alike(self, node: int, before: int) -> int:
+        """A token that may stand before the same tokens beyond the node as `before` may; -1 if all may follow, -2 if
+        none. So places that differ in nothing that can still matter make no states of their own."""
+        below = self.below[node]
+        if below is None:
+            return before
+        key = node * self.size + before
+        answer = self.open.get(key)
+        if answer is None:
+            fits = [self.may_meet(before, t) for t in below]
+            answer = -1 if all(fits) else -2 if not any(fits) else self.classes.setdefault((node, *fits), before)
+            if len(self.open) >= PAIRS:
+                self.open.clear()
+                self.classes.clear()
+            self.open[key] = answer
         return answer
 
-    def counts(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, cells: int = 2_000_000) -> np.ndarray:
+    def compile(self, k: int, x: int) -> None:
+        """The transition of state k at byte x."""
+        alive, last, gain = [], -1, 0
+        trie, final, below = self.trie, self.final, self.below
+        for node, before, back in self.states[k]:
+            to = trie.get(node << 8 | x)
+            if to is None:
+                continue
+            token = final[to]
+            if token >= 0 and (before < 0 or self.may_meet(before, token)):
+                last, gain = token, 1 - back
+            if below[to] != []:
+                if before >= 0:
+                    before = self.alike(to, before)
+                if before > -2:
+                    alive.append((to, before, back))
+        new = (*[(to, before, back + gain) for to, before, back in alive], (0, last, 0))
+        self.goto[k, x], self.gain[k, x] = self.state(new), gain
+
+    def run(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray, entry: list[tuple] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The state after each run of data, and by how much its count has grown; from START or each run's own state. Runs
+        of falling size; no more than a quarter of the table's rows."""
+        state = np.full(len(begin), self.state(self.START)) if entry is None else np.array([self.state(s) for s in entry])
+        count = np.zeros(len(begin), np.int64)
+        goto, gain = self.goto.reshape(-1), self.gain.reshape(-1)
+        open_at = np.searchsorted(-size, -np.arange(int(size.max(initial=0))))
+        for i, n in enumerate(open_at.tolist()):
+            at = state[:n] * 256 + data[begin[:n] + i]
+            to = goto[at]
+            new = np.unique(at[to < 0])
+            if len(new):
+                if len(self.states) + len(new) > self.most:
+                    state = self.renewed(state)
+                    at = state[:n] * 256 + data[begin[:n] + i]
+                    new = np.unique(at)
+                for k in new.tolist():
+                    if goto[k] < 0:
+                        self.compile(k >> 8, k & 255)
+                to = goto[at]
+            count[:n] += gain[at]
+            state[:n] = to
+        return state, count
+
+    def renewed(self, state: np.ndarray) -> np.ndarray:
+        used, back = np.unique(state, return_inverse=True)
+        kept = [self.states[k] for k in used.tolist()]
+        self.clear()
+        return np.array([self.state(s) for s in kept])[back]
+
+    def counts(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
         """How many tokens each word (a run of data) has."""
-        out = np.zeros(len(start), np.int64)
-        sums = self.sums.sums(data)
-        order = np.argsort(size, kind="stable")
-        k = 0
-        while k < len(order):  # words of like lengths, as many as fit
-            width = np.maximum.accumulate(size[order[k:]])
-            many = max(1, int(np.searchsorted(width * np.arange(1, len(width) + 1), cells, "right")))
-            rows = order[k : k + many]
-            out[rows] = self.run(sums, start[rows], size[rows])
-            k += many
+        out = np.zeros(len(begin), np.int64)
+        order = np.argsort(-size, kind="stable")
+        long = int(np.searchsorted(-size[order], -4 * CHUNK))
+        for k in order[:long].tolist():
+            out[k] = self.long_count(data[begin[k] : begin[k] + size[k]])
+        at_once = self.most // 4
+        for low in range(long, len(order), at_once):
+            rows = order[low : low + at_once]
+            if len(self.states) > self.most // 2:
+                self.clear()
+            out[rows] = self.run(data, begin[rows], size[rows])[1]
         return out
 
-    def run(self, sums: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        width = int(size.max())
-        last = np.zeros((width + 1, len(start)), np.int32)
-        count = np.zeros((width + 1, len(start)), np.int32)
-        begin = np.searchsorted(size, np.arange(1, width + 1))  # size rises
-        for i in range(1, width + 1):
-            open_rows = np.arange(begin[i - 1], len(start))
-            for n in range(min(i, self.longest), 0, -1):
-                if not len(open_rows):
-                    break
-                at = start[open_rows] + i
-                token = self.token(self.sums.runs(sums, at - n, at))
-                there = token >= 0
-                rows, token = open_rows[there], token[there]
-                if n < i:
-                    fits = self.may_meet(last[i - n, rows].astype(np.int64), token)
-                    rows, token = rows[fits], token[fits]
-                last[i, rows], count[i, rows] = token, count[i - n, rows] + 1
-                open_rows = open_rows[count[i, open_rows] == 0]
-        return count[size, np.arange(len(start))]
+    def long_count(self, word: np.ndarray) -> int:
+        """The count of a long word by chunks, all of them run in step, in pieces of as many chunks as the table bears.
+
+        A chunk's map (state before to state after, and the count's change) is needed for few states: first
+        for START, then for what the chunk before it may end in. Links between the maps of neighbours compose
+        by a prefix scan, doubling its reach each time, to the state before every chunk; where a chunk's map
+        does not have that state yet, it is run from it, until no link is missing.
+        """
+        total, state, reach = 0, self.START, CHUNK * (self.most // 4)
+        for low in range(0, len(word), reach):
+            n, state = self.chunk_scan(word[low : low + reach], state)
+            total += n
+        return total
+
+    def chunk_scan(self, part: np.ndarray, first: tuple) -> tuple[int, tuple]:
+        begin = np.arange(0, len(part), CHUNK)
+        size = np.minimum(CHUNK, len(part) - begin)
+        m = len(begin)
+        names: dict[tuple, int] = {}
+        columns: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # state before, state after, count, of every chunk
+        entry = [first] + [self.START] * (m - 1)
+        while True:
+            if len(self.states) > self.most // 2:
+                self.clear()
+            after, n = self.run(part, begin, size, entry)
+            left = [self.states[k] for k in after.tolist()]
+            columns.append((np.array([names.setdefault(s, len(names)) for s in entry]), np.array([names.setdefault(s, len(names)) for s in left]), n))
+            into, out, counts = (np.stack(x, axis=1) for x in zip(*columns))
+            same = out[:-1, :, None] == into[1:, None, :]
+            known = same.any(axis=2)
+            link = np.where(known, same.argmax(axis=2), len(columns) - 1)
+            maps, reach = link.copy(), 1  # from the first of `reach` chunks to the one after them
+            while reach < len(maps):
+                maps[reach:] = np.take_along_axis(maps[reach:], maps[:-reach], axis=1)
+                reach *= 2
+            at = np.concatenate([[0], maps[:, 0]]) if m > 1 else np.zeros(1, np.int64)
+            rows = np.arange(m)
+            if known[rows[:-1], at[:-1]].all():
+                spelled = {k: s for s, k in names.items()}
+                return int(counts[rows, at].sum()), spelled[int(out[m - 1, at[m - 1]])]
+            spelled = {k: s for s, k in names.items()}
+            entry = [first, *(spelled[k] for k in out[rows[:-1], at[:-1]].tolist())]
 
 
 class TokenCounter:
+    #: Between a small letter and a blank before another a word always ends; longer texts are cut there.
+    CUT = re.compile("(?<=[a-z]) (?=[a-z])")
+
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
@@ -209,12 +344,11 @@ class TokenCounter:
         self.words = WordTransducer([(vocabulary[a], vocabulary[b]) for a, b in merges], spelled)
         self.special = [x["content"] for x in file["added_tokens"]]
         self.classes, (self.goto, self.begins) = character_classes(), split_transducer()
-        self.keys = np.zeros(1 << MEMO_BITS, np.uint64)
-        self.known = np.zeros(1 << MEMO_BITS, np.int32)
+        self.known: dict[bytes, int] = {}
 
     def count(self, texts: list[str]) -> np.ndarray:
         """The number of tokens of each text; a special token's string in a text is one token."""
-        extra = np.zeros(len(texts), np.int64)
+        out = np.zeros(len(texts), np.int64)
         parts: list[str] = []
         owner: list[int] = []
         for k, text in enumerate(texts):
@@ -222,41 +356,50 @@ class TokenCounter:
             for s in self.special:
                 if s in text:
                     pieces = [x for p in pieces for x in p.split(s)]
-            extra[k] = len(pieces) - 1
-            parts += pieces
-            owner += [k] * len(pieces)
+            out[k] = len(pieces) - 1
+            for p in pieces:
+                while len(p) > PART:
+                    cut = self.CUT.search(p, PART)
+                    if not cut:
+                        break
+                    out[k] += int(self.words_of([p[: cut.start()]], np.zeros(1, np.int64), 1)[0])
+                    p = p[cut.start() :]
+                parts.append(p)
+                owner.append(k)
+        return out + self.words_of(parts, np.array(owner), len(texts))
+
+    def words_of(self, parts: list[str], owner: np.ndarray, many: int) -> np.ndarray:
         joined = "\n".join(parts) + "\n"
-        codes = np.frombuffer(joined.encode("utf-32-le"), "<u4").copy()
+        codes = np.frombuffer(joined.encode("utf-32-le"), "<u4")
         edges = np.cumsum([len(p) + 1 for p in parts]) - 1
         kinds = self.classes[codes]
         kinds[edges] = EDGE
         starts = word_starts(kinds, self.goto, self.begins)
         starts[edges] = True  # an edge is a "word" of its own, which does not count
         first = np.flatnonzero(starts)
-        width = 1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000)
-        at = np.concatenate([[0], np.cumsum(width)])
+        at = np.zeros(len(codes) + 1, np.int64)
+        np.cumsum(1 + (codes >= 0x80).astype(np.int8) + (codes >= 0x800) + (codes >= 0x10000), out=at[1:])
         begin = at[first]
         size = np.diff(np.append(begin, at[-1]))
-        text_of = np.asarray(owner)[np.searchsorted(edges, first)]
-        real = ~np.isin(first, edges, assume_unique=True)
+        text_of = owner[np.searchsorted(edges, first)]
+        real = kinds[first] != EDGE
         begin, size, text_of = begin[real], size[real], text_of[real]
-        data = np.frombuffer(joined.encode(), np.uint8)
-        counts = self.lookup(data, begin, size)
-        return extra + np.bincount(text_of, counts, len(texts)).astype(np.int64)
-
-    def lookup(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-        names = self.words.sums.runs(self.words.sums.sums(data), begin, begin + size)
-        slot = (mixed(names) >> np.uint64(64 - MEMO_BITS)).astype(np.int64)
-        counts = self.known[slot]
-        missed = np.flatnonzero(self.keys[slot] != names)
+        return np.bincount(text_of, self.lookup(joined.encode(), begin, size), many).astype(np.int64)
+
+    def lookup(self, raw: bytes, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The count of each word: remembered, or by the transducer."""
+        known = self.known
+        words = [raw[a:b] for a, b in zip(begin.tolist(), (begin + size).tolist())]
+        counts = np.array([known.get(w, -1) for w in words], np.int64)
+        missed = np.flatnonzero(counts < 0)
         if len(missed):
-            _, one, back = np.unique(names[missed], return_index=True, return_inverse=True)
-            rows = missed[one]
-            new = self.words.counts(data, begin[rows], size[rows])
-            counts[missed] = new[back]
-            self.keys[slot[rows]], self.known[slot[rows]] = names[rows], new
-            torn = slot[rows][self.keys[slot[rows]] != names[rows]]  # two words of one slot: keep neither
-            self.keys[torn] = 0
+            place = {words[k]: k for k in missed.tolist()}
+            rows = np.array(list(place.values()))
+            new = dict(zip(place, self.words.counts(np.frombuffer(raw, np.uint8), begin[rows], size[rows]).tolist()))
+            counts[missed] = [new[words[k]] for k in missed.tolist()]
+            room = MEMO - len(known)
+            if room > 0:
+                known.update((w, n) for w, n in list(new.items())[:room] if len(w) <= LONGEST_KNOWN)
         return counts
 
 
@@ -268,7 +411,8 @@ def token_counter(path: str) -> TokenCounter:
 
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row of docs, whole texts; a null text is an empty one and has
-    no tokens. Ids may be null or repeat: each row is counted by itself. Other columns play no part."""
+    no tokens. Ids may be null or repeat: each row is counted by itself. Texts may be of any length, with or without
+    blanks. An empty table gives an empty one. Other columns, of any name, play no part."""
 
     def work(batches):
         counter = token_counter(vocabulary)
