@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -10,13 +12,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import LOWER, ByteSums, as_long, blocks, held_out, mixed, stored, words
+from loomgraph.llm.common import blocks, held_out, stored
 from loomgraph.llm.lattice import Pieces, WordLattice, read_pieces
 
 #: Words of at least one HEAD-th of all training tokens, so HEAD at most, have their counts sent to every task.
 HEAD = 500_000
 ROUNDS = 2
-MEMO_BITS = 20
+#: Words whose scores a task remembers, and the bytes of the longest of them.
+MEMO, LONGEST_KNOWN = 300_000, 64
 
 
 @lru_cache(maxsize=1)
@@ -42,31 +45,29 @@ def first_weights(path: str) -> np.ndarray:
         return np.log(p / p.sum())
 
 
-def marked(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def marked(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words end to end, each after a blank: the bytes, where each starts, its size with the blank."""
-    size = end - start + 1
-    at = np.cumsum(size) - size
-    out = np.full(int(size.sum()), 32, np.uint8)
-    inside = np.ones(len(out), bool)
-    inside[at] = False
-    out[inside] = data[np.repeat(start - at - 1, size)[inside] + np.flatnonzero(inside)]
-    return out, at, size
+    size = np.array([len(w) for w in words], np.int64) + 1
+    return np.frombuffer(b"".join([b" " + w for w in words]), np.uint8), np.cumsum(size) - size, size
+
+
+def words_of(data: np.ndarray, places: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The words of a block's texts (splitting bytes at white space is splitting at 0x20 and 0x09 to 0x0D), letters A to Z
+    in lower case; and how many each text has."""
+    raw = data.tobytes().lower()
+    by_text = [raw[a:b].split() for a, b in zip(places[:-1].tolist(), places[1:].tolist())]
+    return list(chain.from_iterable(by_text)), np.array([len(w) for w in by_text], np.int64)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """h, word, n: how often each word of docs (text) is there."""
+    """word, n: how often each word of docs (text) is there."""
 
     def work(batches):
-        hashes = ByteSums(3)
         for _, data, places in blocks(batches, "text", 2 << 20):
-            data = LOWER[data]
-            start, end, _ = words(data, places)
-            h, first, n = np.unique(hashes.runs(hashes.sums(data), start, end), return_index=True, return_counts=True)
-            raw = data.tobytes()
-            spelled = [raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(as_long(h)), pa.array(spelled, pa.binary()), pa.array(n)], ["h", "word", "n"])
+            counts = Counter(words_of(data, places)[0])
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
-    return docs.select("text").mapInArrow(work, "h long, word binary, n long").groupBy("h", "word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(work, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def fit_pieces(counts: DataFrame, texts: int, path: str, rounds: int = ROUNDS) -> np.ndarray:
@@ -81,8 +82,8 @@ def fit_pieces(counts: DataFrame, texts: int, path: str, rounds: int = ROUNDS) -
             pieces = vocabulary(path)[0]
             total = np.zeros(len(log_p))
             lattice = WordLattice(pieces, log_p)
-            for rows, data, places in blocks(batches, "word", 1 << 20):
-                out, at, size = marked(data, places[:-1], places[1:])
+            for rows, _, _ in blocks(batches, "word", 1 << 20):
+                out, at, size = marked(rows.column("word").to_pylist())
                 total += lattice.expected(out, at, size, rows.column("n").to_numpy().astype(float))
             ids = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], ["piece", "n"])
@@ -104,11 +105,12 @@ def language_scores(docs: DataFrame, path: str, parts: int = 7, id_col: str = "d
     and, over all distinct words, the pieces' probabilities. base_score adds one to every count. score is
     log10 of the text's marginal probability: each word, after a word mark, is summed over all its
     segmentations by forward recursion, and the end follows. Counts of frequent words go to every task; the
-    others meet their texts in a join on the word's hash, where no key is frequent.
+    others meet their texts in a join on the word itself, where no key is frequent. The pieces' weights are
+    learned: the file's scores are the first weights, which `rounds` of expectation and maximization refine.
 
     A null text is an empty one, of an end alone. A null id is not held out. Rows that repeat an id are scored
-    one by one. Without training rows all counts are 0 and the pieces keep the file's weights. Other columns
-    play no part.
+    one by one. Without training rows all counts are 0 and the pieces keep the file's weights; an empty table
+    gives an empty one. Other columns, of any name, play no part.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), held_out(id_col, parts).alias("held_out"))
     training = rows.where(~F.col("held_out"))
@@ -117,56 +119,51 @@ def language_scores(docs: DataFrame, path: str, parts: int = 7, id_col: str = "d
     n, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     n, distinct = n + texts, distinct + (texts > 0)
     log_p = fit_pieces(counts, texts, path, rounds) if texts else first_weights(path)
-    head = counts.where(F.col("n") * HEAD >= n).select("h", "n").toArrow()
-    order = np.argsort(head["h"].to_numpy().view(np.uint64))
-    names, head_n = head["h"].to_numpy().view(np.uint64)[order], head["n"].to_numpy()[order]
-    head_log = np.log10(head_n + 1.0)
+    head = counts.where(F.col("n") * HEAD >= n).toArrow()
+    frequent = dict(zip(head["word"].to_pylist(), np.log10(head["n"].to_numpy() + 1.0).tolist()))
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent)  # HEAD words at most
     end_p = log_p[vocabulary(path)[2] == 2].max(initial=-np.inf)
 
     def work(batches):
-        pieces = vocabulary(path)[0]
-        lattice, task, row = WordLattice(pieces, log_p), TaskContext.get().partitionId(), 0
-        keys, known = np.zeros(1 << MEMO_BITS, np.uint64), np.zeros(1 << MEMO_BITS)
+        lattice, task, row = WordLattice(vocabulary(path)[0], log_p), TaskContext.get().partitionId(), 0
+        known: dict[bytes, float] = {}
+        head = frequent.value
         for batch, data, places in blocks(batches, "text"):
-            data = LOWER[data]
-            start, end, before = words(data, places)
-            doc = np.repeat(np.arange(batch.num_rows), np.diff(before))
-            h = pieces.sums.runs(pieces.sums.sums(data), start, end)
-            slot = (mixed(h) >> np.uint64(64 - MEMO_BITS)).astype(np.int64)
-            value = known[slot]
-            missed = np.flatnonzero(keys[slot] != h)
-            if len(missed):
-                _, one, back = np.unique(h[missed], return_index=True, return_inverse=True)
-                one = missed[one]
-                new = lattice.forward(*marked(data, start[one], end[one]))
-                value[missed] = new[back]
-                keys[slot[one]], known[slot[one]] = h[one], new
-                keys[slot[one][keys[slot[one]] != h[one]]] = 0
-            at = np.searchsorted(names, h)
-            frequent = np.append(names, np.uint64(0))[at] == h if len(names) else np.zeros(len(h), bool)
-            frequent &= at < len(names)
+            words, size = words_of(data, places)
             many = batch.num_rows
-            tail = np.flatnonzero(~frequent)
-            offsets = np.searchsorted(doc[tail], np.arange(many + 1)).astype(np.int32)
+            doc = np.repeat(np.arange(many), size)
+            new = list({w for w in words if w not in known})
+            found = dict(zip(new, lattice.forward(*marked(new)).tolist())) if new else {}
+            value = np.array([found[w] if w in found else known[w] for w in words], float)
+            if len(known) < MEMO:
+                known.update((w, p) for w, p in found.items() if len(w) <= LONGEST_KNOWN)
+            logs = np.array([head.get(w, np.nan) for w in words], float)
+            there = ~np.isnan(logs)
+            tail = [Counter() for _ in range(many)]
+            for k in np.flatnonzero(~there).tolist():
+                tail[doc[k]][words[k]] += 1
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(t) for t in tail])]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array((task << 40) + row + np.arange(many)),
                     batch.column("doc_id"),
                     batch.column("held_out"),
-                    pa.array(np.diff(before) + 1),
-                    pa.array(np.bincount(doc[frequent], minlength=many)),
-                    pa.array(np.bincount(doc[frequent], head_log[at[frequent]], many).astype(float)),  # of nothing, bincount makes integers
+                    pa.array(size + 1),
+                    pa.array(np.bincount(doc[there], minlength=many)),
+                    pa.array(np.bincount(doc[there], logs[there], many).astype(float)),  # of nothing, bincount makes integers
                     pa.array((np.bincount(doc, value, many) + end_p) / np.log(10)),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(as_long(h[tail]))),
+                    pa.ListArray.from_arrays(offsets, pa.array([w for t in tail for w in t], pa.binary())),
+                    pa.ListArray.from_arrays(offsets, pa.array([n for t in tail for n in t.values()], pa.int32())),
                 ],
-                ["row", "doc_id", "held_out", "n_tokens", "known", "logs", "score", "tail"],
+                ["row", "doc_id", "held_out", "n_tokens", "known", "logs", "score", "tail", "times"],
             )
             row += many
 
-    scored = rows.mapInArrow(work, "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, score double, tail array<long>")
+    scored = rows.mapInArrow(work, "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, score double, tail array<binary>, times array<int>")
     scored = stored(scored, "scored")
-    tail = scored.select("row", F.explode("tail").alias("h")).join(counts.where(F.col("n") * HEAD < n).select("h", "n"), "h")
-    tail = tail.groupBy("row").agg(F.count(F.lit(1)).alias("tail_known"), F.sum(F.log10(F.col("n") + 1.0)).alias("tail_logs"))
+    tail = scored.select("row", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("row", F.col("t.tail").alias("word"), F.col("t.times").alias("times"))
+    tail = tail.join(counts.where(F.col("n") * HEAD < n), "word")
+    tail = tail.groupBy("row").agg(F.sum("times").alias("tail_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("tail_logs"))
     ends = float(np.log10(texts + 1.0))
     each = float(np.log10(n + distinct + 1.0))
     return scored.join(tail, "row", "left").select(
