@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.store import settled as stored
 
-__all__ = ["ByteSums", "IS_SPACE", "LOWER", "as_long", "blocks", "documents", "held_out", "mixed", "stored", "text_bytes", "words"]
+__all__ = ["ByteSums", "IS_SPACE", "LOWER", "as_long", "blocks", "documents", "held_out", "mixed", "run_hashes", "stored", "text_bytes", "words"]
 
 #: Bytes of text that a task works on at once; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 20
@@ -94,6 +95,28 @@ class ByteSums:
         return mixed((sums[end] - sums[start]) * self.down[start] + (end - start).astype(np.uint64))
 
 
+#: The low bytes of eight that a run still has.
+LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def run_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every run of bytes of data: eight bytes at a time through the finalizer, so that runs of one
+    length of up to eight bytes never collide; runs of more than 64 bytes by BLAKE2b."""
+    size = end - start
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    h = mixed(size.astype(np.uint64) + np.uint64(1))
+    rows = np.flatnonzero((size > 0) & (size <= 64))
+    for k in range(0, 64, 8):
+        if not len(rows):
+            break
+        h[rows] = mixed((h[rows] + np.uint64(0x9E3779B97F4A7C15)) ^ (eight[start[rows] + k] & LOW[np.minimum(size[rows] - k, 8)]))
+        rows = rows[size[rows] > k + 8]
+    for k in np.flatnonzero(size > 64).tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(data[start[k] : end[k]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
 #: A to Z as a to z; space and 0x09 to 0x0D part words.
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 IS_SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import LOWER, ByteSums, as_long, blocks, mixed, stored, text_bytes, words
+from loomgraph.llm.common import LOWER, as_long, blocks, mixed, run_hashes, stored, words
 from loomgraph.operators.components import components
 
 SHINGLE = 5
@@ -22,13 +23,12 @@ class Shingles:
     """Sorted distinct 64-bit hashes of a text's word shingles."""
 
     def __init__(self, size: int = SHINGLE):
-        self.size, self.sums = size, ByteSums()
-        self.table = self.sums.table[LOWER]
+        self.size = size
         self.factors = np.random.default_rng(2).integers(1, 1 << 63, size, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def sets(self, data: np.ndarray, places: np.ndarray) -> list[np.ndarray]:
         start, end, before = words(data, places)
-        h = self.sums.runs(self.sums.sums(data, self.table), start, end)
+        h = run_hashes(LOWER[data], start, end)
         n = max(0, len(h) - self.size + 1)
         joint = np.zeros(n, np.uint64)
         for k in range(self.size):
@@ -45,6 +45,29 @@ class Shingles:
         return out
 
 
+def shingle_words(text: bytes, size: int) -> Iterator[bytes]:
+    """The shingles of a text as bytes."""
+    found = text.lower().split()
+    if found:
+        for k in range(max(1, len(found) - size + 1)):
+            yield b" ".join(found[k : k + size])
+
+
+def shared_shingles(one: list[bytes], other: list[bytes], size: int) -> tuple[int, int, int]:
+    """Of two texts' words: how many distinct shingles each has and how many they share, words compared as they are.
+    Words become numbers; runs of k words are ranked, then those of k + 1, so equal numbers are equal runs."""
+    if min(len(one), len(other)) < size:
+        return max(1, len(one) - size + 1), max(1, len(other) - size + 1), int(one == other)
+    numbers: dict[bytes, int] = {}
+    a, b = (np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int64) for words in (one, other))
+    windows = np.concatenate([np.lib.stride_tricks.sliding_window_view(x, size) for x in (a, b)])
+    rank = windows[:, 0]
+    for k in range(1, size):
+        rank = np.unique(rank * len(numbers) + windows[:, k], return_inverse=True)[1]
+    a, b = np.unique(rank[: len(a) - size + 1]), np.unique(rank[len(a) - size + 1 :])
+    return len(a), len(b), len(np.intersect1d(a, b, assume_unique=True))
+
+
 class CirculantMinHash:
     """Two permutations make all coordinates: the first (a seeded hash to UNIVERSE places) scatters the
     shingles, the second, shifted by k, gives coordinate k. The values of a place under all shifts
@@ -75,6 +98,8 @@ SMALL = 16
 #: Buckets of up to so many sets are compared pair by pair, by outlines; the sets of larger ones meet by their
 #: rarest shingles, in blocks of about so many.
 GROUP = 2000
+#: Pairs of one hub that are confirmed together.
+PART = 500
 #: Bits of a shingle's hash that name the class in which its rarity is counted.
 RARITY_BITS = 18
 #: Classes of an outline, which counts a set's shingles by hash.
@@ -109,6 +134,9 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             keys = minhash.band_keys(np.array([minhash.signature(s) for s in full])) if full else np.zeros((0, BANDS), np.uint64)
             n = np.array([len(s) for s in sets], np.int64)
             names = np.array([[mixed(s).sum(dtype=np.uint64), mixed(~s).sum(dtype=np.uint64)] for s in sets], np.uint64)
+            for k in np.flatnonzero(n == 1).tolist():  # nothing but one shingle's hash would name these sets
+                text = b" ".join(dict.fromkeys(shingle_words(data[places[k] : places[k + 1]].tobytes(), size)))
+                names[k] = np.frombuffer(hashlib.blake2b(text, digest_size=16).digest(), np.uint64)
             starts = np.concatenate([[0], np.cumsum((n > 0) * BANDS)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -275,30 +303,38 @@ def links(sets: DataFrame, docs: DataFrame, percent: int, **how) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """The pairs a, b whose full shingle sets have 100 * intersection >= percent * union."""
+    """The pairs a, b whose full shingle sets, words compared as they are, have 100 * intersection >= percent * union.
+
+    Of each pair the id that more pairs have is the hub. Pairs meet by hub, cut to parts of about PART pairs:
+    a hub's text comes once to each part, before those of its others.
+    """
 
     def work(batches):
-        shingles = Shingles(size)
+        hub, words = None, []
         for batch in batches:
-            for rows, data, places in blocks(iter([batch]), "text_b"):
-                a = rows.column("a").to_pylist()
-                once = {x: k for k, x in enumerate(a)}
-                left = rows.take(pa.array(list(once.values()))).column("text_a")
-                left = dict(zip(once, shingles.sets(*text_bytes(left))))
-                linked = []
-                for x, other in zip(a, shingles.sets(data, places)):
-                    mine = left[x]
-                    both = len(np.intersect1d(mine, other, assume_unique=True))
-                    linked.append(both > 0 and 100 * both >= percent * (len(mine) + len(other) - both))
-                yield rows.select(["a", "b"]).filter(pa.array(linked))
+            linked: list[tuple[int, int]] = []
+            for at, part, other, text in zip(*(batch.column(c).to_pylist() for c in ("hub", "part", "other", "text"))):
+                mine = (text or "").encode().lower().split()
+                if other is None:
+                    hub, words = (at, part), mine
+                elif hub == (at, part) and mine and words:
+                    n, m, both = shared_shingles(words, mine, size)
+                    if both and 100 * both >= percent * (n + m - both):
+                        linked.append((min(at, other), max(at, other)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in linked], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     pairs = stored(pairs, "pairs")
-    needed = stored(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct(), "compared")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(needed, "id", "left_semi")
+    ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n")), "compared")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ends, "id", "left_semi")
     texts = stored(texts, "compared-texts")
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(work, "a long, b long").distinct()
+    a, b = (ends.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}")) for end in ("a", "b"))
+    first = F.col("n_a") >= F.col("n_b")
+    pairs = pairs.join(a, "a").join(b, "b").select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("other"), F.greatest("n_a", "n_b").alias("n"))
+    pairs = stored(pairs.select("hub", "other", F.pmod(F.xxhash64("other"), F.ceil(F.col("n") / PART)).alias("part")), "hub-pairs")
+    hubs = pairs.select("hub", "part").distinct().join(texts, F.col("hub") == F.col("id")).select("hub", "part", F.lit(None).cast("long").alias("other"), "text")
+    others = pairs.join(texts, F.col("other") == F.col("id")).select("hub", "part", "other", "text")
+    met = hubs.unionAll(others).repartition("hub", "part").sortWithinPartitions("hub", "part", F.asc_nulls_first("other"))
+    return met.mapInArrow(work, "a long, b long").distinct()
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, size: int = SHINGLE) -> DataFrame:
@@ -312,8 +348,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A null or blank text has no shingles, is linked with nothing and is kept; a text of fewer words than
     a shingle is one shingle. A row with a null id is linked with nothing: component_id null, kept true.
-    Rows that repeat an id are one document, and each gets that document's answer. Other columns, of any
-    name, play no part.
+    Rows that repeat an id are one document, and each gets that document's answer (of an id with several
+    texts the nodes of all). An empty table gives an empty one. Other columns, of any name, play no part.
     """
     rows = stored(signatures(docs, id_col, text_col, size), "signatures")
     full = rows.where("n > 0 and doc_id is not null")
