@@ -99,20 +99,20 @@ class ByteSums:
 LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
-def run_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def run_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, most: int = 64) -> np.ndarray:
     """A 64-bit hash of every run of bytes of data: eight bytes at a time through the finalizer, so that runs of one
-    length of up to eight bytes never collide; runs of more than 64 bytes by BLAKE2b."""
+    length of up to eight bytes never collide; runs of more than `most` bytes by BLAKE2b."""
     size = end - start
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
     h = mixed(size.astype(np.uint64) + np.uint64(1))
-    rows = np.flatnonzero((size > 0) & (size <= 64))
-    for k in range(0, 64, 8):
+    rows = np.flatnonzero((size > 0) & (size <= most))
+    for k in range(0, most, 8):
         if not len(rows):
             break
         h[rows] = mixed((h[rows] + np.uint64(0x9E3779B97F4A7C15)) ^ (eight[start[rows] + k] & LOW[np.minimum(size[rows] - k, 8)]))
         rows = rows[size[rows] > k + 8]
-    for k in np.flatnonzero(size > 64).tolist():
+    for k in np.flatnonzero(size > most).tolist():
         h[k] = int.from_bytes(hashlib.blake2b(data[start[k] : end[k]].tobytes(), digest_size=8).digest(), "little")
     return h
 

@@ -13,14 +13,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from loomgraph.llm.common import ByteSums, as_long, blocks, stored
+from loomgraph.llm.common import ByteSums, as_long, blocks, run_hashes, stored
 
 #: Bytes of an anchor.
 ANCHOR = 32
 #: No byte of UTF-8 text: parts the contexts of a block.
 SEPARATOR = 0xFF
 #: Bytes of contexts that one transform is made of, and distinct contexts of an anchor that go to one.
-BLOCK, GROUP = 1 << 19, 20_000
+BLOCK, GROUP = 1 << 19, 1000
+#: Bytes of text whose contexts are found at once.
+SEGMENT = 1 << 19
 #: Anchors are salted if a sample of one document in SAMPLED has them this often; at most HOT of them.
 SAMPLED, HOT_COUNT, HOT, SALTS = 64, 50, 4096, 64
 
@@ -96,7 +98,8 @@ class Contexts:
         self.doc = np.searchsorted(places, first, "right") - 1
         self.start, self.size = first - places[self.doc], end - first + length - 1
         self.anchor = least[first]
-        self.content = hashes.runs(sums, first, first + self.size)
+        raw, cut = data.tobytes(), zip(first.tolist(), (first + self.size).tolist())
+        self.content = np.frombuffer(b"".join([hashlib.blake2b(raw[a:b], digest_size=8).digest() for a, b in cut]), np.uint64)
 
 
 def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -208,30 +211,59 @@ def contexts_of(docs: DataFrame, length: int) -> DataFrame:
     """h, c (anchor and content), doc_id, start, size, own: every context; own if it may repeat strings of its own."""
 
     def work(batches):
-        for rows, data, places in blocks(batches, "text"):
-            found = Contexts(data, places, length)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(as_long(found.anchor)), pa.array(as_long(found.content)), rows.column("doc_id").take(pa.array(found.doc)), pa.array(found.start), pa.array(found.size.astype(np.int32)), pa.array(found.self_like)],
-                ["h", "c", "doc_id", "start", "size", "own"],
-            )
+        for rows, data, places in blocks(batches, "text", SEGMENT):
+            # a longer text comes alone, and in parts that share no string
+            for low in range(0, max(1, len(data) - length + 1), SEGMENT if len(places) == 2 else len(data) + 1):
+                part = data[low : low + SEGMENT + length - 1] if len(places) == 2 else data
+                found = Contexts(part, np.array([0, len(part)]) if len(places) == 2 else places, length)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(as_long(found.anchor)),
+                        pa.array(as_long(found.content)),
+                        rows.column("doc_id").take(pa.array(found.doc)),
+                        pa.array(low + found.start),
+                        pa.array(found.size.astype(np.int32)),
+                        pa.array(found.self_like),
+                    ],
+                    ["h", "c", "doc_id", "start", "size", "own"],
+                )
 
     return docs.mapInArrow(work, "h long, c long, doc_id long, start long, size int, own boolean")
 
 
-def wanted_strings(docs: DataFrame, wanted: DataFrame, schema: str, made: Callable) -> DataFrame:
-    """Rows that made(bytes, h, doc_id, start) makes of each wanted context's bytes (h, doc_id, start, size)."""
+def with_wanted(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, text and the list of wanted contexts (h, start, size) of each document that has any."""
     lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("h", "start", "size")).alias("wanted")).withColumnRenamed("doc_id", "id")
-    names = [x.split()[0] for x in schema.split(", ")]
+    return docs.join(lists, docs["doc_id"] == lists["id"]).select("doc_id", "text", "wanted")
+
+
+def bytes_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """h, doc_id, start, bytes of each wanted context."""
 
     def work(batches):
         for rows, data, places in blocks(batches, "text"):
             out: list[tuple] = []
             for doc_id, at, contexts in zip(rows.column("doc_id").to_pylist(), places.tolist(), rows.column("wanted").to_pylist()):
-                for x in contexts:
-                    out.extend(made(data[at + x["start"] : at + x["start"] + x["size"]], x["h"], doc_id, x["start"]))
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in zip(*out)], names) if out else pa.RecordBatch.from_pylist([], pa.schema([]))
+                out.extend((x["h"], doc_id, x["start"], data[at + x["start"] : at + x["start"] + x["size"]].tobytes()) for x in contexts)
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in zip(*out)], ["h", "doc_id", "start", "bytes"])
+
+    return with_wanted(docs, wanted).mapInArrow(work, "h long, doc_id long, start long, bytes binary")
+
+
+def strings_of(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """a, b (a name of 128 bits), doc_id, start of each string of the wanted contexts."""
+
+    def work(batches):
+        for rows, data, places in blocks(batches, "text", SEGMENT):
+            for doc_id, at, contexts in zip(rows.column("doc_id").to_pylist(), places.tolist(), rows.column("wanted").to_pylist()):
+                start, many = np.array([x["start"] for x in contexts]), np.array([x["size"] for x in contexts]) - length + 1
+                start = np.repeat(start - np.cumsum(many) + many, many) + np.arange(many.sum())
+                for low in range(0, len(start), SEGMENT):
+                    part = start[low : low + SEGMENT]
+                    a, b = string_names(data, at + part, length)
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array([doc_id] * len(part), pa.int64()), pa.array(part)], ["a", "b", "doc_id", "start"])
 
-    return docs.join(lists, docs["doc_id"] == lists["id"]).select("doc_id", "text", "wanted").mapInArrow(work, schema)
+    return with_wanted(docs, wanted).mapInArrow(work, "a long, b long, doc_id long, start long")
 
 
 def spans_among(contexts: DataFrame, length: int) -> DataFrame:
@@ -272,6 +304,11 @@ def spans_among(contexts: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(work, "doc_id long, start long, end long")
 
 
+def string_names(data: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for the string of `length` bytes at each start: the hashes of its bytes and of their complements."""
+    return tuple(as_long(run_hashes(x, start, start + length, 1 << 16)) for x in (data, ~data))
+
+
 def spans_by_string(strings: DataFrame, length: int) -> DataFrame:
     """The same for single strings (a, b: their 128-bit hash, doc_id, start), without bringing them together."""
     first = strings.groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
@@ -288,7 +325,8 @@ def repeated_spans(docs: DataFrame, length: int, group: int = GROUP) -> DataFram
     Contexts meet by anchor, an anchor that a sample shows to be frequent in salted groups first. Of equal
     contexts, all but the first are covered whole. What is left are distinct contexts of one anchor;
     their bytes are fetched, and the transform finds the strings that they share. Where an anchor has more
-    than `group` distinct contexts, their strings meet one by one, by hash and pre-aggregated.
+    than `group` distinct contexts, their strings meet one by one, by hash and pre-aggregated, dealt over all
+    tasks. Contexts are held equal if anchor, a BLAKE2b hash of the bytes and size are.
     """
     found = contexts_of(docs, length)
     sample = contexts_of(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0), length)
@@ -296,29 +334,28 @@ def repeated_spans(docs: DataFrame, length: int, group: int = GROUP) -> DataFram
     found = found.join(F.broadcast(hot), "h", "left")  # HOT rows at most
     found = found.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(F.lit(0)))
 
-    def met(rows: DataFrame, *by: str) -> DataFrame:
-        """later: an equal context of the group starts earlier; n: how many distinct ones the group has, counted at the first of each."""
-        equal, anchor = Window.partitionBy("h", *by, "c").orderBy("doc_id", "start"), Window.partitionBy("h", *by)
-        rows = rows.withColumn("later", F.rank().over(equal) > 1).withColumn("one", F.row_number().over(equal) == 1)
-        return rows.withColumn("n", F.sum(F.col("one").cast("long")).over(anchor))
-
-    met_once = stored(met(found, "salt").where("later or hot or n > 1 or own").drop("salt"), "contexts")
-    met_twice = stored(met(met_once.where("hot and not later").drop("later", "one", "n")), "hot-contexts")
+    def first_of_equal(rows: DataFrame, *by: str) -> DataFrame:
+        """later: an equal context starts earlier; one: the row stands for all equal ones."""
+        equal = Window.partitionBy("h", "c", "size", *by).orderBy("doc_id", "start")
+        return rows.withColumn("later", F.rank().over(equal) > 1).withColumn("one", F.row_number().over(equal) == 1)
+
+    in_group = Window.partitionBy("h", "salt")
+    # dealt by group once, which serves both windows
+    met_once = first_of_equal(found.repartition("h", "salt"), "salt").withColumn("n", F.sum(F.col("one").cast("long")).over(in_group))
+    met_once = stored(met_once.where("later or hot or n > 1 or own").drop("salt"), "contexts")
+    # of a hot anchor, each salt has sent one of equal contexts; their numbers are added up, never brought together
+    met_twice = stored(first_of_equal(met_once.where("hot and not later").drop("later", "one", "n")), "hot-contexts")
+    many = met_twice.where("one").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    met_twice = met_twice.join(F.broadcast(many), "h", "left")  # HOT rows at most
     covered = met_once.where("later").unionByName(met_twice.where("later"))
     distinct = met_once.where("hot is null").unionByName(met_twice).where("one and (n > 1 or own)")
     distinct = stored(distinct.select("h", "doc_id", "start", "size", "n"), "distinct-contexts")
     spans = covered.select("doc_id", "start", (F.col("start") + F.col("size")).alias("end"))
-    few = wanted_strings(docs, distinct.where(F.col("n") <= group), "h long, doc_id long, start long, bytes binary", lambda data, h, doc_id, start: [(h, doc_id, start, data.tobytes())])
+    few = bytes_of(docs, distinct.where(F.col("n") <= group))
     spans = spans.unionAll(spans_among(few, length))
     many = distinct.where(F.col("n") > group)
     if not many.isEmpty():
-
-        def strings(data: np.ndarray, h: int, doc_id: int, start: int) -> Iterator[tuple]:
-            for k in range(len(data) - length + 1):
-                name = hashlib.blake2b(data[k : k + length].tobytes(), digest_size=16).digest()
-                yield int.from_bytes(name[:8], "little", signed=True), int.from_bytes(name[8:], "little", signed=True), doc_id, start + k
-
-        one_by_one = stored(wanted_strings(docs, many, "a long, b long, doc_id long, start long", strings), "strings")
+        one_by_one = stored(strings_of(docs, many, length), "strings")
         spans = spans.unionAll(spans_by_string(one_by_one, length))
     return spans
 
@@ -331,7 +368,7 @@ def without_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id",
     Earlier means in a smaller id, or before it in the same text; all is judged on the input. A null text
     is an empty one. A row with a null id is left whole and is no earlier place of anything. Rows that
     repeat an id and its text are one document; under an id with several texts, spans found in any are
-    cut from all. All columns of docs stay, whatever their names.
+    cut from all. An empty table gives an empty one. All columns of docs stay, whatever their names.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
     spans = repeated_spans(rows, length, group)
