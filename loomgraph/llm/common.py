@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.store import settled as stored
 
-__all__ = ["ByteSums", "IS_SPACE", "LOWER", "as_long", "blocks", "documents", "held_out", "mixed", "run_hashes", "stored", "text_bytes", "words"]
+__all__ = ["ByteSums", "IS_SPACE", "LOWER", "as_long", "blocks", "cut_text", "documents", "held_out", "mixed", "run_hashes", "stored", "text_bytes", "words"]
 
 #: Bytes of text that a task works on at once; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 20
@@ -95,6 +96,22 @@ class ByteSums:
         return mixed((sums[end] - sums[start]) * self.down[start] + (end - start).astype(np.uint64))
 
 
+#: Between a small letter and a blank before another every tokenizer at hand ends a word.
+BETWEEN = re.compile("(?<=[a-z]) (?=[a-z])")
+
+
+def cut_text(text: str, most: int = 1 << 20) -> Iterator[str]:
+    """A text in parts of about most characters, cut before blanks between small letters; whole where it has none."""
+    begin = 0
+    while len(text) - begin > most:
+        cut = BETWEEN.search(text, begin + most)
+        if not cut:
+            break
+        yield text[begin : cut.start()]
+        begin = cut.start()
+    yield text[begin:] if begin else text
+
+
 #: The low bytes of eight that a run still has.
 LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 

@@ -6,18 +6,22 @@ import os
 import re
 import zlib
 from bisect import bisect_left, insort
-from collections import defaultdict
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import stored
+from loomgraph.llm.common import cut_text, stored
 
 #: Distinct words whose ids a task keeps; others are encoded when they come.
 MEMO = 450_000
+#: Steps of the search for the fillings of one sum.
+EACH = 400
 #: Pieces of one length that are numbered together.
 SALT_ROWS = 4000
 
@@ -44,6 +48,10 @@ class WordIds:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
+        """A long text in parts, cut where words end for certain."""
+        return b"".join(map(self.part_ids, cut_text(text)))
+
+    def part_ids(self, text: str) -> bytes:
         if not self.PLAIN.fullmatch(text) or "<|" in text:
             return self.encode(text)
         parts = self.PART.findall(text.lower())
@@ -102,69 +110,128 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[tuple[in
     return [x for bins in open_bins.values() for x in bins]
 
 
-def completions(have: np.ndarray, largest: int, capacity: int, most: int) -> list[tuple[int, ...]]:
-    """Undominated ways to fill up a sequence that holds the largest document, the least waste first.
-
-    have: how many documents there are of each length, the largest one taken off. A filling is dominated
-    by one that holds a document at least as long in place of each part of it: of fillings by one
-    document only the longest counts, of those by two only the longest second for a first, and none
-    if one document alone fills the gap. From two documents on, a third is the longest that still fits.
-    """
-    gap = capacity - largest
-    lengths = np.flatnonzero(have[: gap + 1])
-    if not len(lengths):
-        return [()]
-    below = np.zeros(gap + 2, np.int64)  # the longest length that is there up to each
-    below[lengths] = lengths
-    below = np.maximum.accumulate(below)
-    one = int(lengths[-1])
-    if one == gap:
-        return [(one,)]
-    first = lengths[::-1]
-    second = below[np.minimum(gap - first, first)]
-    second = np.where((second == first) & (have[first] < 2), below[np.maximum(second - 1, 0)], second)
-    third = below[np.minimum(gap - first - second, second)]
-    enough = 1 + (third == second).astype(int) + ((third == second) & (second == first))
-    third = np.where((third > 0) & (have[third] < enough), below[np.maximum(third - 1, 0)], third)
-    waste = gap - first - second - third
-    order = np.lexsort((-second, -first, waste))[:most]
-    found = [tuple(x for x in (int(first[i]), int(second[i]), int(third[i])) if x) for i in order]
-    return list(dict.fromkeys(found))
-
-
-def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 20_000, width: int = 4) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+def fewest_sequences(counts: dict[int, int], capacity: int) -> int:
+    """A lower bound: for every size t, documents of more than capacity - t share a sequence with none of t or more, those
+    of more than half with none of their kind; what the others of t and more do not find room for beside them
+    needs sequences of its own."""
+    have = np.zeros(capacity + 1, np.int64)
+    for n, k in counts.items():
+        have[n] = k
+    many, tokens = np.cumsum(have), np.cumsum(have * np.arange(capacity + 1))
+    half = capacity // 2
+    t = np.arange(half + 1)
+    alone, large = many[capacity] - many[capacity - t], many[capacity - t] - many[half]
+    room = large * capacity - (tokens[capacity - t] - tokens[half])
+    small = tokens[half] - np.where(t > 0, tokens[np.maximum(t - 1, 0)], 0)
+    return int((alone + large + np.maximum(0, -((room - small) // capacity))).max())
+
+
+def dominates(one: tuple[int, ...], other: tuple[int, ...]) -> bool:
+    """Whether the other filling's documents fit into places of the sizes of one's."""
+    if not other:
+        return True
+    tried = set()
+    for k, size in enumerate(one):
+        if size >= other[0] and size not in tried:
+            tried.add(size)
+            if dominates((*one[:k], size - other[0], *one[k + 1 :]), other[1:]):
+                return True
+    return False
+
+
+class Completions:
+    """Undominated ways to fill up a sequence that holds the largest document, with any number of others, the least
+    waste first. Which sums the lengths up to each can make is known beforehand as bits of a number, so that
+    the search for a sum goes down only where it may be reached; all searches together take `steps` at most."""
+
+    def __init__(self, lengths: list[int], capacity: int, most: int, steps: int):
+        self.lengths, self.most, self.steps = sorted(lengths, reverse=True), most, steps
+        full = (1 << capacity + 1) - 1
+        sums = [1]
+        for n in reversed(self.lengths):
+            made, by = sums[-1], n
+            while by <= capacity:  # any number of times
+                made |= made << by & full
+                by *= 2
+            sums.append(made)
+        self.sums = sums[::-1]  # of the lengths from each on
+        self.minus = [-n for n in self.lengths]
+
+    def fillings(self, have: np.ndarray, total: int, end: int) -> Iterator[tuple[int, ...]]:
+        """Fillings of exactly that total, the largest documents first, until `end` steps are left."""
+        taken: Counter = Counter()
+        path: list[int] = []
+
+        def down(rest: int, k: int) -> Iterator[tuple[int, ...]]:
+            if not rest:
+                yield tuple(path)
+                return
+            for j in range(max(k, bisect_left(self.minus, -rest)), len(self.lengths)):
+                self.steps -= 1
+                if self.steps < end or not self.sums[j] >> rest & 1:
+                    return
+                n = self.lengths[j]
+                if have[n] > taken[n] and self.sums[j] >> rest - n & 1:
+                    taken[n] += 1
+                    path.append(n)
+                    yield from down(rest - n, j)
+                    path.pop()
+                    taken[n] -= 1
+
+        return down(total, 0)
+
+    def of(self, have: np.ndarray, gap: int, waste: int) -> list[tuple[int, ...]]:
+        """have: documents of each length, the largest one taken off; waste: the most that is allowed."""
+        found: list[tuple[int, ...]] = []
+        for lost in range(min(gap, waste) + 1):
+            self.steps -= 1
+            if self.steps < 0:
+                break
+            for filling in islice(self.fillings(have, gap - lost, max(0, self.steps - EACH)), 2 * self.most):
+                if not any(dominates(f, filling) for f in found):
+                    found.append(filling)
+                if len(found) == self.most:
+                    return found
+        return found
+
+
+def bin_completion(counts: dict[int, int], capacity: int, steps: int = 600_000, width: int = 4) -> list[tuple[tuple[tuple[int, int], ...], int]]:
     """Sequences for counts of documents by length: branch and bound over completions of the largest
     document left, each taken as often as the counts allow. The incumbent is the best-fit solution; a
-    branch ends where its waste, rounded up by what is left, allows no fewer sequences. Ends at the lower
-    bound, or after so many nodes with the best found; work does not grow with the number of documents."""
+    branch ends where its sequences waste more than a solution of one sequence less than the incumbent may.
+    Ends at the lower bound, or after so many steps with the best found; work does not grow with the number
+    of documents."""
     best = best_fit(counts, capacity)
     total = sum(n * k for n, k in counts.items())
-    fewest = -(-total // capacity)
+    fewest = fewest_sequences(counts, capacity)
     used = sum(k for _, k in best)
+    if used <= fewest:
+        return best
     have = np.zeros(capacity + 1, np.int64)
     for n, k in counts.items():
         have[n] = k
+    each = np.arange(capacity + 1)
+    ways_to = Completions(list(counts), capacity, width, steps)
     path: list[tuple[dict[int, int], int, int]] = []
     choices: list[list[dict[int, int]]] = []
+    waste = 0
+
+    def allowed() -> int:
+        return (used - 1) * capacity - total - waste
 
     def branch() -> None:
         largest = int(np.flatnonzero(have)[-1])
         have[largest] -= 1
-        found = completions(have, largest, capacity, width)
+        if int((have * each).sum()) + largest <= capacity:  # all that is left is one sequence
+            found = [tuple(n for n in np.flatnonzero(have).tolist() for _ in range(have[n]))]
+        else:
+            found = ways_to.of(have, capacity - largest, allowed())
         have[largest] += 1
-        ways = []
-        for more in found[::-1]:
-            way: dict[int, int] = defaultdict(int)
-            for n in (largest, *more):
-                way[n] += 1
-            ways.append(dict(way))
-        choices.append(ways)
+        choices.append([dict(Counter((largest, *more))) for more in found[::-1]])
 
-    waste = 0
-    if used > fewest:
-        branch()
-    while choices and used > fewest and nodes:
-        nodes -= 1
+    branch()
+    while choices and used > fewest and ways_to.steps > 0:
+        ways_to.steps -= 1
         if not choices[-1]:
             choices.pop()
             if path:
@@ -175,17 +242,19 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 20_000, w
             continue
         way = choices[-1].pop()
         k = min(int(have[n]) // m for n, m in way.items())
-        lost = k * (capacity - sum(n * m for n, m in way.items()))
-        rest = int((have * np.arange(capacity + 1)).sum()) - k * sum(n * m for n, m in way.items())
+        size = sum(n * m for n, m in way.items())
+        rest = int((have * each).sum()) - k * size
+        lost = k * (capacity - size) if rest else 0  # what the last sequence leaves open is no waste
         path.append((way, k, lost))
         waste += lost
         for n, m in way.items():
             have[n] -= m * k
         so_far = sum(x for _, x, _ in path)
-        if so_far + -(-rest // capacity) >= used:
+        if not rest:
+            if so_far < used:
+                best, used = [(tuple(sorted(w.items(), reverse=True)), x) for w, x, _ in path], so_far
             choices.append([])
-        elif not rest:
-            best, used = [(tuple(sorted(w.items(), reverse=True)), x) for w, x, _ in path], so_far
+        elif allowed() < 0:
             choices.append([])
         else:
             branch()
@@ -231,8 +300,9 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
             offset += length * each
         sequence += times
     places = spark.createDataFrame(places, "at_length long, low long, high long, each long, first_sequence long, first_offset long")
-    salts = max(1, -(-sum(counts.values()) // SALT_ROWS))
-    rows = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    salts = spark.createDataFrame([(n, -(-k // SALT_ROWS)) for n, k in counts.items()], "of_length long, salts long")
+    rows = pieces.join(F.broadcast(salts), F.col("length") == F.col("of_length"))  # a row for each of capacity lengths at most
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.col("salts"))).drop("of_length", "salts")
     groups = rows.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     groups = groups.select(F.col("length").alias("l"), F.col("salt").alias("s"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
@@ -251,5 +321,6 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. A null text is an empty
     one, of end_id alone; a document longer than capacity is cut into pieces of capacity ids, the last
-    one shorter. Rows that repeat an id are packed one by one. Other columns play no part."""
+    one shorter. Rows of a null id or a repeated one are packed one by one. An empty table gives an empty
+    one. Other columns, of any name, play no part."""
     return pack(stored(token_pieces(docs, vocabulary, capacity, end_id, id_col, text_col), "pieces"), capacity)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 import unicodedata
 from functools import lru_cache
 
@@ -12,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import blocks
+from loomgraph.llm.common import blocks, cut_text
 
 #: Characters of a chunk; all chunks of a block are run at once, from every state.
 CHUNK = 256
@@ -22,8 +21,6 @@ MEMO, LONGEST_KNOWN = 400_000, 64
 STATES, PAIRS = 1 << 16, 1 << 18
 #: Tokens beyond a node of the trie up to which each is compared with the one before the node.
 FEW = 100
-#: Characters of a text that are split into words at once.
-PART = 1 << 20
 
 # Classes of characters for the split of text into words: the letters that contractions end in apart.
 LETTER, ONE, R_OR_V, L, E, NUMBER, SPACE, WHITE, APOSTROPHE, OTHER, EDGE = range(11)
@@ -327,9 +324,6 @@ class WordTransducer:
 
 
 class TokenCounter:
-    #: Between a small letter and a blank before another a word always ends; longer texts are cut there.
-    CUT = re.compile("(?<=[a-z]) (?=[a-z])")
-
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
@@ -358,13 +352,10 @@ class TokenCounter:
                     pieces = [x for p in pieces for x in p.split(s)]
             out[k] = len(pieces) - 1
             for p in pieces:
-                while len(p) > PART:
-                    cut = self.CUT.search(p, PART)
-                    if not cut:
-                        break
-                    out[k] += int(self.words_of([p[: cut.start()]], np.zeros(1, np.int64), 1)[0])
-                    p = p[cut.start() :]
-                parts.append(p)
+                *before, last = cut_text(p)
+                for b in before:
+                    out[k] += int(self.words_of([b], np.zeros(1, np.int64), 1)[0])
+                parts.append(last)
                 owner.append(k)
         return out + self.words_of(parts, np.array(owner), len(texts))
 
