@@ -12,12 +12,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.common import cut_text
 from loomgraph.llm.lattice import MARK, read_pieces
 
-#: Words whose ids a worker remembers, and pairs of pieces that it has compared.
-MEMO, PAIRS = 700_000, 1_000_000
-#: Characters up to which a part is encoded without moving the window.
-WINDOW = 64
+#: Words whose ids a worker remembers, the characters of the longest of them, and pairs of pieces that it has compared.
+MEMO, LONGEST_KNOWN, PAIRS = 700_000, 64, 1_000_000
 
 
 class Vocabulary:
@@ -29,6 +28,7 @@ class Vocabulary:
         self.ids = {spelled[k].decode(): k for k in np.flatnonzero(kinds == 0).tolist()}
         self.bytes = {spelled[k][0]: k for k in np.flatnonzero(kinds == 1).tolist()}
         self.longest = max(map(len, self.ids), default=1)
+        self.least = float(self.scores.min())
         self.unknown = next((k for k, kind in enumerate(kinds) if kind == 3), 0)
         self.trie: dict = {}
         for piece, k in self.ids.items():
@@ -93,53 +93,31 @@ class Encoder:
         return out
 
     def step(self, i: int) -> None:
-        v, here = self.v, self.best[i]
+        v, best, buffer = self.v, self.best, self.buffer
+        here = best[i]
         if here is None:
             return
-        while len(self.best) <= min(len(self.buffer), i + v.longest):
-            self.best.append(None)
+        if len(best) <= i + v.longest:
+            best.extend([None] * (min(len(buffer), i + v.longest) + 1 - len(best)))
         score, _, last = here
-        node, j, whole = v.trie, i, False
-        while j < len(self.buffer) and (node := node.get(self.buffer[j])) is not None:
-            j += 1
+        last = last[-1] if last[-1] in v.text else -1
+        node, whole, unigram, pairs = v.trie, False, v.made == 1, v.pairs
+        for j in range(i + 1, len(buffer) + 1):
+            node = node.get(buffer[j - 1])
+            if node is None:
+                break
             k = node.get("")
             if k is None:
                 continue
             whole = whole or j == i + 1
-            if v.made == 1:
+            if unigram:
                 new = score + v.scores[k]
-                if self.best[j] is None or new > self.best[j][0]:
-                    self.best[j] = (new, i, (k,))
-            elif last[-1] not in v.text or v.may_meet(last[-1], k):
-                self.best[j] = (score, i, (k,))
-        if not whole and (self.best[i + 1] is None or v.made != 1):  # a character without a piece
-            self.best[i + 1] = (score + float(v.scores.min()) - 10, i, (*v.fallback(self.buffer[i]), -1))
-
-    def short(self, text: str) -> list[int]:
-        """The ids of a text that the window holds whole, by the same steps without moving it."""
-        v, n = self.v, len(text)
-        trie, merged, pairs, may_meet = v.trie, v.made != 1, v.pairs, v.may_meet
-        if not merged:
-            return self.feed(text, end=True)
-        begins, ids = [-1] * (n + 1), [-1] * (n + 1)
-        begins[0] = 0
-        for i in range(n):
-            if begins[i] < 0:
-                continue
-            last, node, j = ids[i], trie, i
-            while j < n and (node := node.get(text[j])) is not None:
-                j += 1
-                k = node.get("")
-                if k is not None and (last < 0 or (pairs[last << 32 | k] if last << 32 | k in pairs else may_meet(last, k))):
-                    begins[j], ids[j] = i, k
-            if begins[i + 1] < 0 and text[i] not in v.ids:
-                begins[i + 1] = i
-        out, place = [], n
-        while place:
-            k = ids[place]
-            out.append(k) if k >= 0 else out.extend(reversed(v.fallback(text[begins[place]])))
-            place = begins[place]
-        return out[::-1]
+                if best[j] is None or new > best[j][0]:
+                    best[j] = (new, i, (k,))
+            elif last < 0 or (pairs[last << 32 | k] if last << 32 | k in pairs else v.may_meet(last, k)):
+                best[j] = (score, i, (k,))
+        if not whole and (best[i + 1] is None or not unigram):  # a character without a piece
+            best[i + 1] = (score + v.least - 10, i, (*v.fallback(buffer[i]), -1))
 
     def path(self, place: int) -> list[int]:
         places = [place]
@@ -174,16 +152,15 @@ class Codec:
 
     def __init__(self, path: str):
         self.v = Vocabulary(path)
-        inner = any(" " in p.lstrip(" ") for p in self.v.ids)
+        self.inner = any(" " in p.lstrip(" ") for p in self.v.ids)
         used = {c for p in self.v.ids for c in p}
         alone = "".join(c for c in "\n\t\r" if c not in used)
-        self.part = re.compile(f"[{alone}]| *[^ {alone}]+| +" if alone else " *[^ ]+| +") if not inner else re.compile(r"(?s).+")
+        self.part = re.compile(f"[{alone}]| *[^ {alone}]+| +" if alone else " *[^ ]+| +") if not self.inner else re.compile(r"(?s).+")
         self.memo: dict[str, bytes] = {}
 
     def new(self, part: str) -> bytes:
-        encoder = Encoder(self.v)
-        ids = np.array(encoder.short(part) if len(part) <= WINDOW else encoder.feed(part, end=True), "<u4").tobytes()
-        if len(self.memo) < MEMO:
+        ids = np.array(Encoder(self.v).feed(part, end=True), "<u4").tobytes()
+        if len(self.memo) < MEMO and len(part) <= LONGEST_KNOWN:
             self.memo[part] = ids
         return ids
 
@@ -191,8 +168,11 @@ class Codec:
         """The ids as little-endian unsigned 32-bit numbers; a word mark is put before the text, none in an empty one."""
         if not text:
             return b""
-        memo = self.memo
-        parts = self.part.findall(" " + text.replace(MARK, " "))
+        text = " " + text.replace(MARK, " ")
+        return b"".join(map(self.encode_part, [text] if self.inner else cut_text(text)))
+
+    def encode_part(self, text: str) -> bytes:
+        memo, parts = self.memo, self.part.findall(text)
         try:
             return b"".join(map(memo.__getitem__, parts))
         except KeyError:
@@ -241,7 +221,9 @@ def decoded(rows: DataFrame, path: str) -> DataFrame:
 
 def codec_summary(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_pieces, ids_crc32 (of the ids as encode gives them), round_trip: whether decoding gives the text again
-    (a text with the word mark itself does not, as that becomes a blank)."""
+    (a text with the word mark itself does not, as that becomes a blank). A null text is an empty one, of no pieces.
+    Null and repeated ids: each row is answered by itself. An empty table gives an empty one. Other columns, of any
+    name, play no part."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
