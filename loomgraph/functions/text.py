@@ -102,6 +102,12 @@ def redact_text(c: Column, most: int = 500) -> Column:
     return F.substring(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), PII_PAIR, '"$1":"[REDACTED]"'), EMAIL, "[EMAIL]"), 1, most)
 
 
+def redaction_sql(name: str, most: int = 500) -> str:
+    """redact_text as SQL over a column."""
+    pair, mail = (p.replace("\\", "\\\\") for p in (PII_PAIR, EMAIL))
+    return f"""substr(regexp_replace(regexp_replace(coalesce({name}, ''), '{pair}', '"$1":"[REDACTED]"'), '{mail}', '[EMAIL]'), 1, {most})"""
+
+
 def redact_properties(c: Column) -> Column:
     """A JSON object with the values of personal top-level keys (any case) replaced; others keep their types."""
     kept = F.map_zip_with(F.from_json(c, "map<string,string>"), F.from_json(c, "map<string,string>"), lambda k, a, b: a)

@@ -16,14 +16,16 @@ def limited(limit: int, most: int) -> int:
     return min(limit, most)
 
 
-def node_id(store: GraphStore, node: int | str) -> int | None:
-    """A number is an id as it is; a text is a qualified name, None if no node has it."""
+def node_id(store: GraphStore, node: int | str) -> int:
+    """A number is an id as it is; a text is a qualified name, looked up at once; ValueError if no node has it."""
     if isinstance(node, bool) or not isinstance(node, int | str):
         raise ValueError("a node is an id or a qualified name")
     if isinstance(node, int):
         return node
     row = store.nodes.where(F.col("qualified_name") == node).select("id").first()
-    return row["id"] if row else None
+    if row is None:
+        raise ValueError("no node has this name")
+    return row["id"]
 
 
 def ends(edges: DataFrame, nodes: DataFrame, *columns: str) -> DataFrame:

@@ -4,12 +4,28 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+from loomgraph.functions.text import MARKED, PLAIN, redaction_sql
 from loomgraph.schema import QUERY_CHARS, QUERY_ROWS, TABLES
 from loomgraph.store import GraphStore
 
 ALLOWED = {"Project", "Filter", "Join", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "UnresolvedRelation", "SubqueryAlias", "Distinct", "Intersect", "Except", "UnresolvedHaving", "WithWindowDefinition", "Offset", "UnresolvedInlineTable"}
+#: Functions that a query may call: sums, windows, text, numbers, times, JSON; none that reaches out of the engine.
+FUNCTIONS = set(
+    """
+    count sum min max avg mean count_if any_value first last stddev variance median percentile mode collect_list collect_set max_by min_by bool_and bool_or
+    row_number rank dense_rank percent_rank cume_dist ntile lag lead first_value last_value nth_value
+    coalesce nullif nvl ifnull if greatest least isnull isnotnull
+    lower upper trim ltrim rtrim length char_length substr substring left right replace concat concat_ws split split_part instr locate startswith endswith contains
+    lpad rpad reverse repeat regexp_like regexp_extract regexp_replace regexp_count like ilike
+    abs sign round bround floor ceil ceiling sqrt power pow exp ln log log10 mod pmod
+    array size element_at array_contains array_distinct array_sort array_min array_max array_size array_join
+    get_json_object json_array_length json_object_keys
+    date year month day dayofweek hour minute second date_trunc trunc datediff date_add date_sub to_date to_timestamp unix_timestamp timestamp string int bigint double boolean
+    normalize_name redact
+    """.split()
+)
 # Words that the strict rules refuse anywhere in the text.
 STRICT = ("union", "insert", "update", "delete", "drop", "create", "alter", "replace")
 
@@ -46,6 +62,10 @@ def check(store: GraphStore, query: str, strict: bool = False) -> None:
             raise ValueError("this table is not allowed")
         expressions = node.expressions()
         for k in range(expressions.size()):
+            for part in nodes_of(expressions.apply(k)):
+                called = part.getClass().getSimpleName() == "UnresolvedFunction" and part.nameParts().mkString(".").lower()
+                if called and called not in FUNCTIONS:
+                    raise ValueError(f"the function {called} is not allowed")
             if "SubqueryExpression" in str(expressions.apply(k).getClass().getSuperclass()) or re.search(r"\b(scalar-subquery|exists|list)#|ScalarSubquery|InSubquery|Exists\b", expressions.apply(k).toString()):
                 raise ValueError("subqueries are not allowed")
 
@@ -59,7 +79,23 @@ def query(store: GraphStore, text: str, limit: int = 100, strict: bool = False)
 
 
 def run(store: GraphStore, text: str) -> DataFrame:
+    """The query over the store's tables; views of the session that have their names are there again afterwards."""
     spark = store.nodes.sparkSession
-    for name, df in store.views().items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(text)
+    before = {name: spark.table(name) for name in store.views() if spark.catalog._jcatalog.tableExists(name)}
+    register_functions(spark)
+    try:
+        for name, df in store.views().items():
+            df.createOrReplaceTempView(name)
+        return spark.sql(text)
+    finally:
+        for name in store.views():
+            spark.catalog.dropTempView(name)
+            if name in before:
+                before[name].createOrReplaceTempView(name)
+
+
+def register_functions(spark: SparkSession) -> None:
+    """normalize_name(text) for names of Latin letters and redact(text), as functions of the session's SQL."""
+    spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION normalize_name(name STRING) RETURNS STRING RETURN
+        coalesce(nullif(regexp_replace(regexp_replace(translate(lower(trim(name)), '%s', '%s'), '[^a-z0-9]+', '-'), '^-+|-+$', ''), ''), if(name IS NULL, NULL, 'node'))""" % (MARKED, PLAIN))
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION redact(words STRING) RETURNS STRING RETURN {redaction_sql('words')}")

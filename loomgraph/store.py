@@ -51,10 +51,15 @@ class GraphStore:
 
 
 def settled(df: DataFrame, name: str = "round") -> DataFrame:
-    """df as a table in the folder that spark.checkpoint.dir names (in /tmp where that is unset), read back: the lineage
-    of a loop's rounds ends there, and no executor's loss undoes them. It goes when the session ends."""
+    """df as a table in the folder that spark.checkpoint.dir names, read back: the lineage of a loop's rounds ends there,
+    and no executor's loss undoes them. It goes when the session ends. Where the setting is unset, one machine
+    uses its temporary folder; on a cluster that is an error."""
     spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "checkpoints")
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        folder = os.path.join(tempfile.gettempdir(), "checkpoints")
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
