@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.operators.components import components
+from loomgraph.operators.ordering import numbered_rows
 from loomgraph.operators.traverse import steps
 from loomgraph.store import GraphStore, settled
 
-#: Steps up to which PageRank runs in one task; larger graphs iterate as joins.
-KERNEL_STEPS = 2_000_000
+#: Rounds of PageRank in one job.
+ROUNDS = 5
 
 
 def degree_centrality(store: GraphStore) -> DataFrame:
@@ -30,12 +29,14 @@ def distances(store: GraphStore, sources: DataFrame | None = None) -> DataFrame:
     are and over how many shortest paths. All sources walk at once, a layer a join."""
     walk = settled(steps(store.edges), "steps")
     start = (store.nodes if sources is None else sources).select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(0).alias("d"), F.lit(1.0).alias("sigma"))
-    seen = frontier = settled(start, "layer")
+    seen = frontier = before = settled(start, "layer")
     depth = 0
     while True:
         depth += 1
         next_ = frontier.join(walk, frontier["v"] == walk["src"]).groupBy("s", F.col("dst").alias("v")).agg(F.sum("sigma").alias("sigma"))
-        frontier = settled(next_.join(seen.select("s", "v"), ["s", "v"], "left_anti").select("s", "v", F.lit(depth).alias("d"), "sigma"), "layer")
+        # undirected steps from a layer lead to the layer itself, the one before it or new nodes
+        known = frontier.select("s", "v").unionAll(before.select("s", "v"))
+        before, frontier = frontier, settled(next_.join(known, ["s", "v"], "left_anti").select("s", "v", F.lit(depth).alias("d"), "sigma"), "layer")
         if frontier.isEmpty():
             return seen
         seen = seen.unionAll(frontier)
@@ -75,104 +76,86 @@ def betweenness(store: GraphStore) -> DataFrame:
     return ids.join(sums, "id", "left").select("id", F.round(F.coalesce("sum", F.lit(0.0)) / pairs, 4).alias("score"))
 
 
-def pagerank(store: GraphStore, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6, kernel_steps: int = KERNEL_STEPS) -> DataFrame:
+def pagerank(store: GraphStore, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
     """id, score, to 6 places: undirected, without weights; what nodes without neighbours hold is spread over all. Ends
-    when a round changes less than tolerance in sum. A graph of up to kernel_steps steps is ranked by numpy
-    in one task, where a round costs no job; a larger one in joins and sums, a round at a time."""
-    ids, walk = store.nodes.select("id"), settled(steps(store.edges), "steps")
-    if walk.count() <= kernel_steps and ids.count() <= kernel_steps:
-
-        def rank(pdf: pd.DataFrame) -> pd.DataFrame:
-            ids = np.sort(pdf.id[pdf.other.isna()].unique())
-            links = pdf[pdf.other.notna()]
-            a, b = np.searchsorted(ids, links.id), np.searchsorted(ids, links.other.astype("int64"))
-            n, out = len(ids), np.bincount(a, minlength=len(ids))
-            score = np.full(n, 1 / n)
-            for _ in range(rounds):
-                new = (1 - damping) / n + damping * (np.bincount(b, score[a] / out[a], n) + score[out == 0].sum() / n)
-                change, score = np.abs(new - score).sum(), new
-                if change < tolerance:
-                    break
-            return pd.DataFrame({"id": ids, "score": score})
-
-        rows = ids.select("id", F.lit(None).cast("long").alias("other")).unionAll(walk.select("src", "dst"))
-        ranked = rows.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(rank, "id long, score double")
-        return ranked.select("id", F.round("score", 6).alias("score"))
-    n = ids.count()
+    with the first round that changes less than tolerance in sum. A round is a join and a sum; ROUNDS of them make
+    a job, whose results are kept side by side, so that the right one is taken."""
+    walk = settled(steps(store.edges), "steps")
     out = walk.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("out"))
-    ranks = settled(ids.join(out, "id", "left").select("id", "out", F.lit(1 / n).alias("score")), "ranks")
-    for _ in range(rounds):
-        loose = ranks.where("out is null").agg(F.coalesce(F.sum("score"), F.lit(0.0))).first()[0]
-        given = walk.join(ranks.select(F.col("id").alias("src"), (F.col("score") / F.col("out")).alias("part")), "src")
-        given = given.groupBy(F.col("dst").alias("id")).agg(F.sum("part").alias("given"))
-        new = ranks.join(given, "id", "left").select("id", "out", F.col("score").alias("old"), (F.lit((1 - damping) / n + damping * loose / n) + damping * F.coalesce("given", F.lit(0.0))).alias("score"))
-        ranks = settled(new, "ranks")
-        if ranks.agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0] < tolerance:
-            break
-    return ranks.select("id", F.round("score", 6).alias("score"))
+    ranks = settled(store.nodes.select("id").join(out, "id", "left"), "ranks")
+    n = ranks.count()
+    ranks = ranks.select("id", "out", F.lit(1 / max(1, n)).alias("r0"))
+    done = 0
+    while True:
+        now = min(ROUNDS, rounds - done)
+        for k in range(now):
+            loose = ranks.where("out is null").agg(F.coalesce(F.sum(f"r{k}"), F.lit(0.0)).alias("loose"))
+            given = walk.join(ranks.where("out is not null").select(F.col("id").alias("src"), (F.col(f"r{k}") / F.col("out")).alias("part")), "src")
+            given = given.groupBy(F.col("dst").alias("id")).agg(F.sum("part").alias("given"))
+            score = F.lit((1 - damping) / max(1, n)) + damping * (F.coalesce("given", F.lit(0.0)) + F.col("loose") / n)
+            ranks = ranks.join(given, "id", "left").join(F.broadcast(loose)).withColumn(f"r{k + 1}", score).drop("given", "loose")  # loose is a row
+        ranks = settled(ranks, "ranks")
+        changes = ranks.agg(*(F.coalesce(F.sum(F.abs(F.col(f"r{k + 1}") - F.col(f"r{k}"))), F.lit(0.0)) for k in range(now))).first()
+        done += now
+        last = next((k + 1 for k in range(now) if changes[k] < tolerance), None)
+        if last or done >= rounds:
+            return ranks.select("id", F.round(f"r{last or now}", 6).alias("score"))
+        ranks = ranks.select("id", "out", F.col(f"r{now}").alias("r0"))
+
+
+def numbered_parts(part: DataFrame) -> DataFrame:
+    """part (node_id, least) with the parts numbered from 0 by their smallest ids. Numbers come from the parts, not from all nodes."""
+    numbers = numbered_rows(part.select("least").distinct(), "nth", "least").select("least", (F.col("nth") - 1).alias("community_id"))
+    return part.join(numbers, "least").select("node_id", "community_id")
 
 
 def connected_components(store: GraphStore) -> DataFrame:
     """node_id, community_id: the parts that edges join, numbered by their smallest ids; single nodes are parts."""
     found = components(store.edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")))
     joined = store.nodes.select("id").join(found, F.col("id") == F.col("node"), "left")
-    part = joined.select(F.col("id").alias("node_id"), F.coalesce("component", "id").alias("least"))
-    # numbers come from the parts, not from all nodes
-    numbers = part.select("least").distinct().withColumn("community_id", (F.row_number().over(Window.orderBy("least")) - 1).cast("long"))
-    return part.join(numbers, "least").select("node_id", "community_id")
+    return numbered_parts(settled(joined.select(F.col("id").alias("node_id"), F.coalesce("component", "id").alias("least")), "parts"))
 
 
 def louvain(store: GraphStore, resolution: float = 1.0, passes: int = 100, strict: bool = False) -> DataFrame:
-    """node_id, community_id, numbered by smallest member: one level of moves that raise modularity, nodes in the order of
-    their ids, ties to the smallest community, until a pass moves none or after `passes`. Each component is
-    worked on by itself (no move leaves it), a group of applyInPandas; the number of all edges comes with it.
-    strict: a node only moves where it gains over staying; else over nothing."""
+    """node_id, community_id, numbered by smallest member: one level of moves that raise modularity, in rounds of joins
+    and sums over all nodes.
+
+    In a round, the nodes whose id plus the round's number is even look at the communities of their
+    neighbours, as these were before the round, and move at once to the one of highest gain (ties: the
+    smallest number). So that two nodes do not swap, a node that is alone only joins another that is alone
+    with a smaller number. Ends after two rounds without a move, or after `passes` rounds.
+    strict: a node only moves where it gains over staying; else over nothing.
+    """
     if resolution <= 0:
         raise ValueError("resolution must be over 0")
     walk = settled(steps(store.edges), "steps")
     m = walk.count() / 2
-
-    def move(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, list[int]] = {}
-        for a, b in zip(pdf.src, pdf.dst):
-            near.setdefault(int(a), []).append(int(b))
-        order = sorted(near)
-        home = {v: v for v in order}
-        total = {v: len(near[v]) for v in order}
-        for _ in range(passes):
-            moved = False
-            for v in order:
-                k, old = len(near[v]), home[v]
-                into: dict[int, int] = {}
-                for u in near[v]:
-                    into[home[u]] = into.get(home[u], 0) + 1
-
-                def gain(c: int) -> float:
-                    held = total[c] - (k if strict and c == old else 0)
-                    return into.get(c, 0) - resolution * held * k / (2 * m)
-
-                best, most = old, gain(old) if strict else 0.0
-                for c in sorted(into):
-                    if c != old and gain(c) > most + 1e-12:
-                        best, most = c, gain(c)
-                if best != old:
-                    total[old] -= k
-                    total[best] += k
-                    home[v], moved = best, True
-            if not moved:
-                break
-        least: dict[int, int] = {}
-        for v in order:
-            least.setdefault(home[v], v)
-        return pd.DataFrame({"node_id": order, "least": [least[home[v]] for v in order]})
-
-    parts = components(walk, "src", "dst")
-    grouped = walk.join(parts, walk["src"] == parts["node"]).select("component", "src", "dst")
-    moved = grouped.groupBy("component").applyInPandas(move, "node_id long, least long")
-    every = store.nodes.select(F.col("id").alias("node_id")).join(moved, "node_id", "left").select("node_id", F.coalesce("least", "node_id").alias("least"))
-    every = settled(every, "louvain")
-    numbers = every.select("least").distinct().withColumn("community_id", (F.row_number().over(Window.orderBy("least")) - 1).cast("long"))
-    return every.join(numbers, "least").select("node_id", "community_id")
+    home = settled(walk.groupBy("src").agg(F.count(F.lit(1)).alias("k")).select(F.col("src").alias("v"), "k", F.col("src").alias("c")), "homes")
+    still = 0
+    for round_ in range(passes):
+        totals = settled(home.groupBy("c").agg(F.sum("k").alias("total"), F.count(F.lit(1)).alias("members")), "totals")
+        here = home.where(F.pmod(F.col("v") + round_, F.lit(2)) == 0).join(totals, "c").select("v", "k", F.col("c").alias("old"), F.col("total").alias("old_total"), F.col("members").alias("old_members"))
+        into = walk.join(home.select(F.col("v").alias("dst"), "c"), "dst").groupBy(F.col("src").alias("v"), "c").agg(F.count(F.lit(1)).alias("links"))
+        sides = into.join(here, "v").join(totals, "c")
+        own = F.col("c") == F.col("old")
+        gain = F.col("links") - resolution * (F.col("total") - F.when(own, F.col("k")).otherwise(0)) * F.col("k") / (2 * m)
+        alone = (F.col("members") == 1) & (F.col("old_members") == 1) & (F.col("c") > F.col("old"))
+        best = sides.groupBy("v").agg(
+            F.max(F.when(~own & ~alone, F.struct(gain.alias("gain"), (-F.col("c")).alias("minus")))).alias("best"),
+            F.max(F.when(own, gain)).alias("stay"),
+            F.first("k").alias("k"),
+            F.first("old_total").alias("old_total"),
+        )
+        least = F.coalesce("stay", -resolution * (F.col("old_total") - F.col("k")) * F.col("k") / (2 * m)) if strict else F.lit(0.0)
+        moves = best.where(F.col("best.gain") > least + 1e-12).select("v", (-F.col("best.minus")).alias("to"))
+        home = settled(home.join(moves, "v", "left").select("v", "k", F.coalesce("to", "c").alias("c"), F.col("to").isNotNull().alias("moved")), "homes")
+        still = still + 1 if home.where("moved").isEmpty() else 0
+        if still == 2:
+            break
+    least = home.groupBy("c").agg(F.min("v").alias("least"))
+    moved = home.select("v", "c").join(least, "c").select("v", "least")
+    every = store.nodes.select(F.col("id").alias("node_id")).join(moved, F.col("node_id") == F.col("v"), "left").select("node_id", F.coalesce("least", "node_id").alias("least"))
+    return numbered_parts(settled(every, "louvain"))
 
 
 def community_sizes(parts: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loomgraph import schema
 from loomgraph.functions.text import qualified
 from loomgraph.operators.lookup import allowed
+from loomgraph.operators.ordering import numbered_rows
 from loomgraph.store import GraphStore, settled
 
 
@@ -54,9 +55,9 @@ def audited(store: GraphStore, rows: DataFrame) -> GraphStore:
 
 
 def numbered(rows: DataFrame, table: DataFrame, order: str = "nth") -> DataFrame:
-    """rows with new ids after the table's largest, in their order. Only the rows of the batch share a window."""
+    """rows with new ids after the table's largest, in their order."""
     first = table.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    return rows.withColumn("id", (F.lit(first) + F.row_number().over(Window.orderBy(order))).cast("long"))
+    return numbered_rows(rows.drop("id"), "id", order).withColumn("id", F.lit(first) + F.col("id"))
 
 
 def add_nodes(store: GraphStore, items: DataFrame, as_of: dt.datetime | None = None, most: int | None = schema.BATCH_ITEMS) -> tuple[GraphStore, DataFrame]:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators.lookup import limited
+from loomgraph.operators.ordering import running_sum
 from loomgraph.store import settled
 
 
@@ -27,7 +28,7 @@ def picks(spans: DataFrame, *shares: float) -> DataFrame:
     counts = spans.where("duration_ms is not null").groupBy("duration_ms").agg(F.count(F.lit(1)).alias("c"))
     counts = settled(counts, "durations")
     n = counts.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    upto = counts.select("duration_ms", F.sum("c").over(Window.orderBy("duration_ms")).alias("upto"))
+    upto = running_sum(counts, F.col("c"), "upto", "duration_ms")
     at = [F.coalesce(F.min(F.when(F.col("upto") > int(n * s), F.col("duration_ms"))), F.lit(0.0)).alias(f"p{round(s * 100)}") for s in shares]
     return upto.agg(F.lit(n).cast("long").alias("n"), *at)
 
@@ -74,16 +75,38 @@ def replay_summary(spans: DataFrame, trace_id: str) -> DataFrame:
 
 
 def replay_tree(spans: DataFrame, trace_id: str) -> DataFrame:
-    """span_id, root, depth: a span whose parent is not in the trace is a root. Pointers double their reach each
-    round, so a chain of n spans takes log n joins."""
-    mine = spans.where(F.col("trace_id") == trace_id).select("span_id", "parent_id")
+    """span_id, root, depth: a span whose parent is not in the trace is a root. Of spans that repeat an id the earliest
+    holds. Spans that are each other's parents form a ring: its smallest span_id is its root, as if that had no
+    parent. Pointers double their reach each round, so a chain of n spans takes log n joins."""
+    mine = spans.where((F.col("trace_id") == trace_id) & F.col("span_id").isNotNull())
+    mine = mine.groupBy("span_id").agg(F.min_by("parent_id", F.struct("timestamp", "id")).alias("parent_id"))
     ids = mine.select(F.col("span_id").alias("known"))
-    up = mine.join(ids, mine["parent_id"] == ids["known"], "left").select("span_id", F.coalesce("known", "span_id").alias("up"), F.when(F.col("known").isNull(), 0).otherwise(1).alias("depth"))
+    up = mine.join(ids, mine["parent_id"] == ids["known"], "left").select("span_id", F.coalesce("known", "span_id").alias("up"), F.when(F.col("known").isNull(), 0).otherwise(1).cast("long").alias("depth"))
     up = settled(up, "tree")
-    while True:
-        above = up.select(F.col("span_id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"))
-        new = up.join(above, "up").select("span_id", F.col("up2").alias("up"), (F.col("depth") + F.col("depth2")).alias("depth"), (F.col("up") != F.col("up2")).alias("moved"))
-        new = settled(new, "tree")
-        if new.where("moved").isEmpty():
-            return new.select("span_id", F.col("up").alias("root"), "depth")
-        up = new.drop("moved")
+    up, rest = climbed(up, max(1, up.count()).bit_length() + 1)
+    if not rest.isEmpty():
+        # after more steps than there are spans, what is pointed to lies on a ring, and the least seen is the ring's
+        ring = rest.select(F.col("up").alias("span_id")).distinct()
+        ends = settled(rest.join(ring, "span_id").select(F.col("least").alias("end")).distinct(), "ring-ends")
+        first = mine.join(ids, mine["parent_id"] == ids["known"], "left").join(ends, mine["span_id"] == ends["end"], "left")
+        above = F.when(F.col("end").isNull(), F.coalesce("known", "span_id")).otherwise(F.col("span_id"))
+        cut = first.select("span_id", above.alias("up"), F.when(above == F.col("span_id"), 0).otherwise(1).cast("long").alias("depth"))
+        up, _ = climbed(settled(cut, "tree"), max(1, mine.count()).bit_length() + 1)
+    return up.select("span_id", F.col("up").alias("root"), F.col("depth").cast("int").alias("depth"))
+
+
+def climbed(up: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """span_id, up, depth, least after the pointers doubled their reach until none moved, for so many rounds at most; and
+    the rows that still moved. least: the smallest span on the way up, the span itself not counted."""
+    up = up.withColumn("least", F.col("up"))
+    for _ in range(rounds):
+        above = up.select(F.col("span_id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("least").alias("least2"))
+        # depths on a ring mean nothing and are kept from growing
+        depth = F.least(F.col("depth") + F.col("depth2"), F.lit(1 << 40))
+        new = up.join(above, "up").select("span_id", F.col("up2").alias("up"), depth.alias("depth"), F.least("least", "least2").alias("least"), (F.col("depth2") > 0).alias("moved"))
+        up = settled(new, "tree")
+        moving = up.where("moved")
+        up = up.drop("moved")
+        if moving.isEmpty():
+            break
+    return up, moving

@@ -204,6 +204,22 @@ def integrity_orphan_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.integrity(store.with_(nodes=store.nodes.where("label != 'Customer'"))).where(F.col("check").isin("missing_source", "missing_target"))
 
 
+@query(
+    f"""WITH {CORE}, n AS (SELECT CASE WHEN label = 'Tag' THEN 'Color' ELSE label END AS label, CASE WHEN label = 'Department' THEN 'same' ELSE qualified_name END AS name FROM nodes),
+        e AS (SELECT source_id, target_id, CASE WHEN type = 'part_of' THEN 'inside' ELSE type END AS type FROM edges UNION ALL SELECT source_id, target_id, type FROM edges WHERE type = 'belongs_to')
+        SELECT 'repeated_edge' AS "check", count(*) AS n FROM (SELECT 1 FROM e GROUP BY source_id, target_id, type HAVING count(*) > 1)
+        UNION ALL SELECT 'repeated_name', count(*) FROM (SELECT name FROM n GROUP BY name HAVING count(*) > 1)
+        UNION ALL SELECT 'unknown_label', count(*) FROM n WHERE label = 'Color' UNION ALL SELECT 'unknown_type', count(*) FROM e WHERE type = 'inside'"""
+)
+def integrity_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other checks, on a graph with an unknown label and type, a repeated name and repeated edges."""
+    store = core(spark, sf_dir)
+    nodes = store.nodes.withColumn("qualified_name", F.when(F.col("label") == "Department", "same").otherwise(F.col("qualified_name")))
+    nodes = nodes.withColumn("label", F.when(F.col("label") == "Tag", "Color").otherwise(F.col("label")))
+    edges = store.edges.withColumn("type", F.when(F.col("type") == "part_of", "inside").otherwise(F.col("type"))).unionAll(store.edges.where("type = 'belongs_to'"))
+    return lookup.integrity(store.with_(nodes=nodes, edges=edges)).where(~F.col("check").isin("missing_source", "missing_target"))
+
+
 register("export_nodes", lambda s, d: core(s, d).nodes.select("id", "label", "name", "qualified_name", "properties", "provenance", "source"), with_core("SELECT id, label, name, qualified_name, properties, provenance, source FROM nodes"))
 register("export_edges", lambda s, d: core(s, d).edges.select("id", "source_id", "target_id", "type", "properties", "provenance", "weight"), with_core("SELECT id, source_id, target_id, type, properties, provenance, weight FROM edges"))
 
@@ -214,6 +230,11 @@ _gated = {
     "sql_except": "SELECT id FROM nodes WHERE label = 'Product' EXCEPT SELECT target_id FROM edges WHERE type = 'about' AND weight > 20",
     "sql_window": "SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY id DESC) AS nth FROM nodes WHERE label IN ('Company', 'Tag') ORDER BY id LIMIT 10000",
 }
+_gated |= {
+    "sql_right_join": "SELECT e.type AS type, n.label AS label, count(*) AS n FROM edges e RIGHT JOIN nodes n ON e.source_id = n.id GROUP BY e.type, n.label ORDER BY type, label LIMIT 1000",
+    "sql_full_join": "SELECT e.type AS type, n.label AS label, count(*) AS n FROM edges e FULL JOIN nodes n ON e.target_id = n.id AND e.type = 'about' GROUP BY e.type, n.label ORDER BY type, label LIMIT 1000",
+    "sql_intersect": "SELECT target_id AS id FROM edges WHERE type = 'part_of' INTERSECT SELECT id FROM nodes WHERE provenance <> 'AMBIGUOUS' ORDER BY id LIMIT 1000",
+}
 for _name, _text in _gated.items():
     register(_name, lambda s, d, t=_text: gate.query(core(s, d), t, 10_000), with_core(_text.replace("row_number()", "CAST(row_number()").replace("DESC) AS nth", "DESC) AS INTEGER) AS nth") if "row_number" in _text else _text))
 
@@ -242,9 +263,10 @@ register(
 )
 register(
     "pagerank",
-    lambda s, d: centrality.pagerank(hub(s, d)),
-    with_hub(
-        "SELECT id, round(rank, 6) AS score FROM pr WHERE i = (SELECT max(i) FROM pr)",
+    lambda s, d: centrality.pagerank(core(s, d)),
+    "WITH RECURSIVE "
+    + ", ".join((
+        CORE,
         STEPS,
         "degree AS (SELECT a, count(*) AS k FROM steps GROUP BY a)",
         "total AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM nodes)",
@@ -253,7 +275,8 @@ register(
                 SELECT c.i + 1 AS i, c.id, 0.15 / n + 0.85 * (coalesce(g.given, 0) + c.loose / n) AS rank, c.rank AS old
                 FROM (SELECT pr.*, sum(CASE WHEN k IS NULL THEN rank ELSE 0 END) OVER () AS loose FROM pr LEFT JOIN degree ON a = id WHERE change >= 1e-6 AND i < 100) c
                 CROSS JOIN total LEFT JOIN (SELECT steps.b, sum(pr.rank / k) AS given FROM pr JOIN steps ON steps.a = pr.id JOIN degree ON degree.a = pr.id GROUP BY steps.b) g ON g.b = c.id))""",
-    ).replace("WITH all_nodes", "WITH RECURSIVE all_nodes"),
+    ))
+    + " SELECT id, round(rank, 6) AS score FROM pr WHERE i = (SELECT max(i) FROM pr)",
 )
 _parts = "reach(id, least) USING KEY (id) AS (SELECT id, id FROM nodes UNION SELECT b, min(r.least) FROM reach r JOIN steps ON a = r.id JOIN recurring.reach k ON k.id = b WHERE r.least < k.least GROUP BY b)"
 _numbered = "parts AS (SELECT id AS node_id, dense_rank() OVER (ORDER BY least) - 1 AS community_id FROM reach)"
@@ -309,7 +332,18 @@ register(
     f"""WITH RECURSIVE {SPANS}, mine AS (SELECT * FROM spans WHERE trace_id = '7'), tree AS (SELECT span_id, span_id AS root, 0 AS depth FROM mine WHERE parent_id IS NULL OR parent_id NOT IN (SELECT span_id FROM mine)
         UNION ALL SELECT m.span_id, t.root, t.depth + 1 FROM mine m JOIN tree t ON m.parent_id = t.span_id) SELECT span_id, root, depth FROM tree""",
 )
-register("circuit_breaker", lambda s, d: breaker(spans(s, d)))
+register(
+    "circuit_breaker",
+    lambda s, d: breaker(spans(s, d)).select("tool", "span_id", "failed", "blocked", "errors"),
+    f"""WITH RECURSIVE {SPANS}, calls AS MATERIALIZED (SELECT tool, span_id, epoch_us(timestamp) AS t, coalesce(error <> '', false) AS failed,
+            row_number() OVER (PARTITION BY tool ORDER BY timestamp, span_id) AS k FROM spans),
+        -- what a breaker is before each call: errors and the time of the first, forgotten after 60 seconds
+        run(k, tool, span_id, failed, blocked, errors, began) AS (
+            SELECT k, tool, span_id, failed, false, CAST(failed AS INTEGER), t FROM calls WHERE k = 1 UNION ALL
+            SELECT c.k, c.tool, c.span_id, c.failed, e >= 5, CASE WHEN e >= 5 THEN e WHEN c.failed THEN e + 1 ELSE 0 END, CASE WHEN e = 0 THEN c.t ELSE began END
+            FROM (SELECT c.*, r.began, CASE WHEN r.errors > 0 AND c.t - r.began >= 60000000 THEN 0 ELSE r.errors END AS e FROM run r JOIN calls c ON c.tool = r.tool AND c.k = r.k + 1) c)
+        SELECT tool, span_id, failed, blocked, errors FROM run""",
+)
 
 # walks
 _reach = "reach(id, depth) USING KEY (id) AS (SELECT CAST({0} AS BIGINT), 0 UNION SELECT DISTINCT w.b, r.depth + 1 FROM reach r JOIN walk w ON w.a = r.id LEFT JOIN recurring.reach k ON k.id = w.b WHERE k.id IS NULL AND r.depth < {1})"

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from loomgraph.store import settled
+
 #: Errors that open a breaker, and the seconds after the first of them at which it closes again.
 ERRORS, SECONDS = 5, 60.0
+#: Seconds of a slice, the calls of a tool that are walked by one task.
+SLICE = 6 * 3600
 COLUMNS = "tool string, span_id string, timestamp timestamp, failed boolean, blocked boolean, errors int"
 
 
@@ -55,20 +60,69 @@ def breaker_stream(spans: DataFrame) -> DataFrame:
     return calls(spans).groupBy("tool").applyInPandasWithState(step, COLUMNS, "errors int, first double", "append", GroupStateTimeout.NoTimeout)
 
 
-def breaker(spans: DataFrame) -> DataFrame:
-    """The same for a table, where a tool's calls are walked in sorted batches: rows are dealt by tool and sorted, and a
-    task keeps a tool's two numbers from one batch to the next, never its calls."""
-
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tool, state = None, (0, 0.0)
-        for pdf in frames:
-            for name, rows in pdf.groupby("tool", sort=False, dropna=False):
-                if name != tool:
-                    tool, state = name, (0, 0.0)
-                out, state = run_breaker(rows, state)
-                yield out
-
-    return calls(spans).repartition("tool").sortWithinPartitions("tool", "timestamp", "span_id").mapInPandas(work, COLUMNS)
+def breaker(spans: DataFrame, slice_seconds: int = SLICE) -> DataFrame:
+    """The same for a table. A tool's calls are cut into slices of time, which all run at once.
+
+    A slice takes its breaker as it is before it (two numbers) to what it is after it. At first every slice
+    begins with a closed breaker; then those run again that another one comes to, until what each slice
+    leaves is what the next began with. A slice forgets how it began at the first success or after 60 quiet
+    seconds, so few rounds are needed; only states meet across slices, never calls. Calls without a time are left out.
+    """
+    rows = calls(spans).where("timestamp is not null").withColumn("slice", F.floor(F.unix_micros("timestamp") / (1_000_000 * slice_seconds)).cast("long"))
+    rows = settled(rows, "calls")
+    order = Window.partitionBy("tool").orderBy("slice")  # a row a slice
+    slices = rows.select("tool", "slice").distinct().withColumn("before", F.lag("slice").over(order))
+    state = settled(slices.select("tool", "slice", "before", F.lit(0).alias("e"), F.lit(0.0).alias("first")), "slices")
+
+    def run(begin: DataFrame, schema: str, calls_too: bool) -> DataFrame:
+        """The calls of the slices of begin, or what each slice leaves."""
+
+        def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            at, held = None, (0, 0.0)
+            for pdf in frames:
+                ends = []
+                for key, part in pdf.groupby(["tool", "slice"], sort=False, dropna=False):
+                    key = tuple(None if pd.isna(x) else x for x in key)
+                    if key != at:
+                        if at is not None:
+                            ends.append((*at, *held))
+                        at, held = key, (int(part.e.iloc[0]), float(part["first"].iloc[0]))
+                    out, held = run_breaker(part, held)
+                    if calls_too:
+                        yield out
+                if not calls_too:
+                    yield pd.DataFrame(ends, columns=["tool", "slice", "e", "first"])
+            if not calls_too and at is not None:
+                yield pd.DataFrame([(*at, *held)], columns=["tool", "slice", "e", "first"])
+
+        begin = begin.select(F.col("tool").alias("of"), F.col("slice").alias("at"), "e", "first")
+        joined = rows.join(begin, rows["tool"].eqNullSafe(F.col("of")) & (rows["slice"] == F.col("at"))).drop("of", "at")
+        return joined.repartition("tool", "slice").sortWithinPartitions("tool", "slice", "timestamp", "span_id").mapInPandas(work, schema)
+
+    ends = settled(run(state, "tool string, slice long, e int, first double", False), "slice-ends")
+    while True:
+        left = ends.select(F.col("tool").alias("of"), F.col("slice").alias("at"), F.col("e").alias("e2"), F.col("first").alias("first2"))
+        joined = state.join(left, state["tool"].eqNullSafe(F.col("of")) & (state["before"] == F.col("at")), "left")
+        e, first = F.coalesce("e2", F.lit(0)), F.coalesce("first2", F.lit(0.0))
+        state = settled(joined.select("tool", "slice", "before", e.alias("e"), first.alias("first"), ((e != F.col("e")) | (first != F.col("first"))).alias("other")), "slices")
+        again = state.where("other")
+        if again.isEmpty():
+            return run(state, COLUMNS, True)
+        new = run(again, "tool string, slice long, e int, first double", False)
+        kept = ends.join(again.select(F.col("tool").alias("of"), F.col("slice").alias("at")), ends["tool"].eqNullSafe(F.col("of")) & (ends["slice"] == F.col("at")), "left_anti")
+        ends = settled(kept.unionByName(new), "slice-ends")
+
+
+def breaker_states(spans: DataFrame, as_of: dt.datetime, slice_seconds: int = SLICE) -> DataFrame:
+    """tool, errors, open: the state of each tool's breaker at as_of; open: calls are blocked."""
+    done = breaker(spans.where(F.col("timestamp") <= F.lit(as_of)), slice_seconds)
+    last = done.groupBy("tool").agg(F.max_by(F.struct("errors", "timestamp"), F.struct("timestamp", "span_id")).alias("last"))
+    # the first of the errors in the count is the latest call that made it 1
+    begun = done.where("failed and not blocked and errors = 1").groupBy("tool").agg(F.max("timestamp").alias("begun"))
+    since = F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros("begun")
+    errors = F.when((F.col("last.errors") > 0) & (since < int(SECONDS * 1e6)), F.col("last.errors")).otherwise(F.lit(0))
+    joined = last.join(begun, last["tool"].eqNullSafe(begun["tool"]), "left").select(last["tool"], errors.alias("errors"))
+    return joined.withColumn("open", F.col("errors") >= ERRORS)
 
 
 def latency_stream(spans: DataFrame, window: str = "60 minutes", late: str = "10 minutes") -> DataFrame:

@@ -3,11 +3,13 @@
 import datetime as dt
 import itertools
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text
+from loomgraph.operators.ordering import numbered_rows, running_sum
 from loomgraph.operators import centrality, code_graph, export, lookup, mutate, telemetry, traverse
 from loomgraph.plans import gate
 from loomgraph.sources import code, files
@@ -35,10 +37,15 @@ def test_centrality(small):
     assert pairs(centrality.degree_centrality(small), "id", "score") == {(4, 0.25), (5, 0.25), (2, 0.5), (1, 0.5), (3, 0.5)}
     assert pairs(centrality.closeness(small), "id", "score") == {(4, 0.4), (2, 0.5714), (1, 0.6667), (3, 0.5714), (5, 0.4)}
     assert pairs(centrality.betweenness(small), "id", "score") == {(1, 1.3333), (2, 1.0), (3, 1.0), (4, 0.0), (5, 0.0)}
-    kernel = dict(pairs(centrality.pagerank(small), "id", "score"))
-    joins = dict(pairs(centrality.pagerank(small, kernel_steps=0, rounds=6), "id", "score"))
-    assert abs(sum(kernel.values()) - 1) < 1e-4 and abs(sum(joins.values()) - 1) < 1e-4
-    assert pairs(centrality.pagerank(small, rounds=6), "id", "score") == set(joins.items())
+    near = {1: {2, 3}, 2: {1, 4}, 3: {1, 5}, 4: {2}, 5: {3}}
+    for rounds in (1, 6, 100):
+        rank = {v: 0.2 for v in near}
+        for _ in range(rounds):
+            new = {v: 0.03 + 0.85 * sum(rank[u] / len(near[u]) for u in near[v]) for v in near}
+            change, rank = sum(abs(new[v] - rank[v]) for v in near), new
+            if change < 1e-6:
+                break
+        assert dict(pairs(centrality.pagerank(small, rounds=rounds), "id", "score")) == pytest.approx(rank, abs=1e-6)
 
 
 def test_walks(small):
@@ -87,7 +94,8 @@ def test_text(spark):
     [
         "SELECT * FROM sqlite_master", "INSERT INTO nodes VALUES (1)", "PRAGMA x", "SELECT * FROM other", "SELECT id FROM nodes UNION SELECT id FROM edges", "SELECT id FROM nodes, secret",
         "SELECT id FROM nodes WHERE id IN (SELECT source_id FROM edges)", "SELECT id FROM nodes WHERE EXISTS (SELECT 1 FROM edges)", "SELECT (\n SELECT max(id) FROM edges) FROM nodes", "", "SELECT", "WITH a AS (SELECT 1) SELECT * FROM a",
-        "SELECT * FROM parquet.`/etc`", "SELECT * FROM range(3)", "SELECT /*" + "x" * 10_000 + "*/ 1",
+        "SELECT * FROM parquet.`/etc`", "SELECT * FROM range(3)", "SELECT reflect('java.lang.System', 'getProperty', 'user.dir') FROM nodes", "SELECT id FROM nodes ORDER BY java_method('java.lang.System', 'nanoTime')",
+        "SELECT label, count(*) FROM nodes GROUP BY label HAVING max(try_reflect('a', 'b')) > 1", "SELECT /*" + "x" * 10_000 + "*/ 1",
     ],
 )
 def test_gate_refuses(small, query):
@@ -97,6 +105,11 @@ def test_gate_refuses(small, query):
 
 def test_gate(small):
     assert gate.query(small, "SELECT n.name, e.updated FROM nodes n JOIN (SELECT source_id, count(*) AS updated FROM edges GROUP BY source_id) e ON n.id = e.source_id").count() == 3
+    spark = small.nodes.sparkSession
+    spark.range(3).createOrReplaceTempView("nodes")
+    assert gate.query(small, "SELECT normalize_name(name) AS n, redact('a@b.co') AS r FROM nodes ORDER BY id").first() == ("acme-corp", "[EMAIL]")
+    assert spark.table("nodes").count() == 3 and not spark.catalog.tableExists("edges")
+    spark.catalog.dropTempView("nodes")
     with pytest.raises(ValueError):
         gate.query(small, "SELECT updated_at FROM nodes", strict=True)
     with pytest.raises(ValueError):
@@ -178,6 +191,96 @@ def test_louvain(spark):
     assert len({found[k] for k in range(5)}) == 1 and len({found[k] for k in range(5, 10)}) == 1 and len(set(found.values())) == 3
 
 
+def moved_in_rounds(near: dict[int, set[int]], passes: int, strict: bool) -> dict[int, int]:
+    """The rounds of louvain's docstring in plain Python."""
+    home, m, still = {v: v for v in near}, sum(map(len, near.values())) / 2, 0
+    for r in range(passes):
+        total, members = Counter(), Counter(home.values())
+        for v, c in home.items():
+            total[c] += len(near[v])
+        new = dict(home)
+        for v in near:
+            if (v + r) % 2:
+                continue
+            old, k = home[v], len(near[v])
+            into = Counter(home[u] for u in near[v])
+
+            def gain(c: int) -> float:
+                return into[c] - (total[c] - (k if c == old else 0)) * k / (2 * m)
+
+            options = [(gain(c), -c) for c in into if c != old and not (members[c] == 1 and members[old] == 1 and c > old)]
+            if options and max(options)[0] > (gain(old) if strict else 0) + 1e-12:
+                new[v] = -max(options)[1]
+        still, home = still + 1 if new == home else 0, new
+        if still == 2:
+            break
+    least = {}
+    for v in sorted(home):
+        least.setdefault(home[v], v)
+    return {v: least[home[v]] for v in home}
+
+
+@pytest.mark.parametrize("strict", [True, False])
+def test_louvain_rounds(spark, strict):
+    r = random.Random(3)
+    links = {tuple(sorted(r.sample(range(30), 2))) for _ in range(60)} | {(a, b) for g in (40, 50) for a in range(g, g + 6) for b in range(g, a)} | {(45, 50)}
+    nodes = spark.createDataFrame([(k, "Tag", str(k)) for k in range(60)], "id long, label string, name string")
+    edges = spark.createDataFrame([(k, a, b, "about") for k, (a, b) in enumerate(sorted(links))], "id long, source_id long, target_id long, type string")
+    near = {v: {b if a == v else a for a, b in links if v in (a, b)} for v in sorted({x for e in links for x in e})}
+    least = moved_in_rounds(near, 12, strict) | {v: v for v in range(60) if v not in near}
+    number = {v: k for k, v in enumerate(sorted(set(least.values())))}
+    got = dict(pairs(centrality.louvain(GraphStore.of(spark, nodes=nodes, edges=edges), passes=12, strict=strict), "node_id", "community_id"))
+    assert got == {v: number[c] for v, c in least.items()}
+
+    def modularity(home: dict[int, int]) -> float:
+        m, inside, degree = len(links), Counter(home[a] for a, b in links if home[a] == home[b]), Counter()
+        for v in near:
+            degree[home[v]] += len(near[v])
+        return sum(inside[c] / m - (degree[c] / (2 * m)) ** 2 for c in degree)
+
+    assert modularity(got) > (0.4 if strict else 0.2) > modularity({v: v for v in near})
+
+
+def test_numbers_over_ranges(spark):
+    values = [(k * 37 % 101, k) for k in range(500)]
+    df = spark.createDataFrame(values, "a long, b long").repartition(7)
+    expected = {v: k + 1 for k, v in enumerate(sorted(values))}
+    assert {(r["a"], r["b"]): r["nth"] for r in numbered_rows(df, "nth", "a", "b").collect()} == expected
+    sums = {r["a"]: r["upto"] for r in running_sum(df.groupBy("a").count(), F.col("count"), "upto", "a").collect()}
+    assert sums == {a: sum(x <= a for x, _ in values) for a in {x for x, _ in values}}
+    assert numbered_rows(df.limit(0), "nth", "a").count() == 0
+
+
+def test_replay_rings(spark):
+    """Spans that are each other's parents, and others that hang on them."""
+    rows = [("t", "1", "2"), ("t", "2", "3"), ("t", "3", "1"), ("t", "4", "3"), ("t", "5", "4"), ("t", "6", None), ("t", "7", "6"), ("t", "8", "8"), ("t", "9", "gone"), ("u", "1", None)]
+    rows = [(k, *r, dt.datetime(2024, 1, 1, 0, 0, k)) for k, r in enumerate(rows)] + [(99, "t", "7", "9", dt.datetime(2024, 1, 2))]
+    spans = spark.createDataFrame(rows, "id long, trace_id string, span_id string, parent_id string, timestamp timestamp")
+    got = {r["span_id"]: (r["root"], r["depth"]) for r in telemetry.replay_tree(spans, "t").collect()}
+    assert got == {"1": ("1", 0), "2": ("1", 2), "3": ("1", 1), "4": ("1", 2), "5": ("1", 3), "6": ("6", 0), "7": ("6", 1), "8": ("8", 0), "9": ("9", 0)}
+
+
+def test_breaker_slices(spark):
+    """Slices of a few seconds against one walk over each tool's calls."""
+    r, rows, expected, state = random.Random(5), [], {}, {}
+    for k in range(900):
+        tool, at = r.choice("abc"), k * r.choice([1, 1, 1, 2])
+        rows.append((tool, f"{k:04}", dt.datetime(2024, 1, 1, tzinfo=dt.UTC) + dt.timedelta(seconds=at), r.random() < {"a": 0.95, "b": 0.6, "c": 0.2}[tool]))
+    for tool, name, at, failed in sorted(rows, key=lambda x: (x[0], x[2], x[1])):
+        state[tool], blocked, errors = streams.advance(state.get(tool, (0, 0.0)), at.timestamp(), failed)
+        expected[name] = (blocked, errors)
+    spans = spark.createDataFrame([(t, n, a, "boom" if f else None) for t, n, a, f in rows], "tool string, span_id string, timestamp timestamp, error string")
+    for seconds in (7, 100, 86_400):
+        assert {x["span_id"]: (x["blocked"], x["errors"]) for x in streams.breaker(spans, seconds).collect()} == expected
+    as_of = dt.datetime(2024, 1, 1, 0, 10, tzinfo=dt.UTC)
+    now = {}
+    for tool, _, at, failed in sorted(rows, key=lambda x: (x[0], x[2], x[1])):
+        if at <= as_of:
+            now[tool], _, _ = streams.advance(now.get(tool, (0, 0.0)), at.timestamp(), failed)
+    now = {t: 0 if as_of.timestamp() - first >= 60 else e for t, (e, first) in now.items()}
+    assert {x["tool"]: (x["errors"], x["open"]) for x in streams.breaker_states(spans, as_of, 50).collect()} == {t: (e, e >= 5) for t, e in now.items()}
+
+
 def test_empty(spark):
     store = GraphStore.of(spark)
     assert centrality.connected_components(store).count() == 0
