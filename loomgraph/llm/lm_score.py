@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +19,8 @@ from loomgraph.llm.lattice import Pieces, WordLattice, read_pieces
 #: Words of at least one HEAD-th of all training tokens, so HEAD at most, have their counts sent to every task.
 HEAD = 500_000
 ROUNDS = 2
-#: Words whose scores a task remembers, and the bytes of the longest of them.
-MEMO, LONGEST_KNOWN = 300_000, 64
+#: Words whose scores a worker remembers, and the bytes of the longest of them.
+MEMO, LONGEST_KNOWN = 500_000, 64
 
 
 @lru_cache(maxsize=1)
@@ -28,6 +29,12 @@ def vocabulary(path: str) -> tuple[Pieces, np.ndarray, np.ndarray, int]:
     return Pieces(spelled, kinds), scores, kinds, made
 
 
+@lru_cache(maxsize=1)
+def known_words(fit: str) -> dict[bytes, float]:
+    """The scores that a worker's tasks have found under one fit."""
+    return {}
+
+
 def first_weights(path: str) -> np.ndarray:
     """log p of each piece from the file's scores: a unigram model's are logarithms already; others give an order, in
     which the k-th piece weighs 1 / (k + 1). The fallback's bytes share a thousandth."""
@@ -122,26 +129,31 @@ def language_scores(docs: DataFrame, path: str, parts: int = 7, id_col: str = "d
     head = counts.where(F.col("n") * HEAD >= n).toArrow()
     frequent = dict(zip(head["word"].to_pylist(), np.log10(head["n"].to_numpy() + 1.0).tolist()))
     frequent = docs.sparkSession.sparkContext.broadcast(frequent)  # HEAD words at most
+    fit = uuid.uuid4().hex
     end_p = log_p[vocabulary(path)[2] == 2].max(initial=-np.inf)
 
     def work(batches):
         lattice, task, row = WordLattice(vocabulary(path)[0], log_p), TaskContext.get().partitionId(), 0
-        known: dict[bytes, float] = {}
-        head = frequent.value
+        known, head, none = known_words(fit), frequent.value, repeat(np.nan)
         for batch, data, places in blocks(batches, "text"):
             words, size = words_of(data, places)
             many = batch.num_rows
             doc = np.repeat(np.arange(many), size)
-            new = list({w for w in words if w not in known})
-            found = dict(zip(new, lattice.forward(*marked(new)).tolist())) if new else {}
-            value = np.array([found[w] if w in found else known[w] for w in words], float)
-            if len(known) < MEMO:
-                known.update((w, p) for w, p in found.items() if len(w) <= LONGEST_KNOWN)
-            logs = np.array([head.get(w, np.nan) for w in words], float)
-            there = ~np.isnan(logs)
-            tail = [Counter() for _ in range(many)]
-            for k in np.flatnonzero(~there).tolist():
-                tail[doc[k]][words[k]] += 1
+            new = list(set(words).difference(known))
+            if len(known) + len(new) > MEMO:
+                known.clear()
+                new = list(set(words))
+            if new:
+                known.update(zip(new, lattice.forward(*marked(new)).tolist()))
+            value = np.fromiter(map(known.__getitem__, words), float, len(words))
+            for w in [w for w in new if len(w) > LONGEST_KNOWN]:
+                del known[w]
+            logs = np.fromiter(map(head.get, words, none), float, len(words))
+            rare = np.isnan(logs)
+            there = ~rare
+            others = list(compress(words, rare.tolist()))
+            edges = np.concatenate([[0], np.cumsum(np.bincount(doc[rare], minlength=many))]).tolist()
+            tail = [Counter(others[a:b]) for a, b in zip(edges[:-1], edges[1:])]
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(t) for t in tail])]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -152,8 +164,8 @@ def language_scores(docs: DataFrame, path: str, parts: int = 7, id_col: str = "d
                     pa.array(np.bincount(doc[there], minlength=many)),
                     pa.array(np.bincount(doc[there], logs[there], many).astype(float)),  # of nothing, bincount makes integers
                     pa.array((np.bincount(doc, value, many) + end_p) / np.log(10)),
-                    pa.ListArray.from_arrays(offsets, pa.array([w for t in tail for w in t], pa.binary())),
-                    pa.ListArray.from_arrays(offsets, pa.array([n for t in tail for n in t.values()], pa.int32())),
+                    pa.ListArray.from_arrays(offsets, pa.array(list(chain.from_iterable(tail)), pa.binary())),
+                    pa.ListArray.from_arrays(offsets, pa.array(list(chain.from_iterable(t.values() for t in tail)), pa.int32())),
                 ],
                 ["row", "doc_id", "held_out", "n_tokens", "known", "logs", "score", "tail", "times"],
             )
