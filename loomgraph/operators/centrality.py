@@ -10,8 +10,6 @@ from loomgraph.operators.ordering import numbered_rows
 from loomgraph.operators.traverse import steps
 from loomgraph.store import GraphStore, settled
 
-#: Rounds of PageRank in one job.
-ROUNDS = 5
 
 
 def degree_centrality(store: GraphStore) -> DataFrame:
@@ -78,29 +76,22 @@ def betweenness(store: GraphStore) -> DataFrame:
 
 def pagerank(store: GraphStore, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
     """id, score, to 6 places: undirected, without weights; what nodes without neighbours hold is spread over all. Ends
-    with the first round that changes less than tolerance in sum. A round is a join and a sum; ROUNDS of them make
-    a job, whose results are kept side by side, so that the right one is taken."""
+    with the first round that changes less than tolerance in sum. A round is a join and a sum."""
     walk = settled(steps(store.edges), "steps")
     out = walk.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("out"))
-    ranks = settled(store.nodes.select("id").join(out, "id", "left"), "ranks")
-    n = ranks.count()
-    ranks = ranks.select("id", "out", F.lit(1 / max(1, n)).alias("r0"))
-    done = 0
-    while True:
-        now = min(ROUNDS, rounds - done)
-        for k in range(now):
-            loose = ranks.where("out is null").agg(F.coalesce(F.sum(f"r{k}"), F.lit(0.0)).alias("loose"))
-            given = walk.join(ranks.where("out is not null").select(F.col("id").alias("src"), (F.col(f"r{k}") / F.col("out")).alias("part")), "src")
-            given = given.groupBy(F.col("dst").alias("id")).agg(F.sum("part").alias("given"))
-            score = F.lit((1 - damping) / max(1, n)) + damping * (F.coalesce("given", F.lit(0.0)) + F.col("loose") / n)
-            ranks = ranks.join(given, "id", "left").join(F.broadcast(loose)).withColumn(f"r{k + 1}", score).drop("given", "loose")  # loose is a row
-        ranks = settled(ranks, "ranks")
-        changes = ranks.agg(*(F.coalesce(F.sum(F.abs(F.col(f"r{k + 1}") - F.col(f"r{k}"))), F.lit(0.0)) for k in range(now))).first()
-        done += now
-        last = next((k + 1 for k in range(now) if changes[k] < tolerance), None)
-        if last or done >= rounds:
-            return ranks.select("id", F.round(f"r{last or now}", 6).alias("score"))
-        ranks = ranks.select("id", "out", F.col(f"r{now}").alias("r0"))
+    n = store.nodes.count()
+    ranks = settled(store.nodes.select("id").join(out, "id", "left").select("id", "out", F.lit(1 / max(1, n)).alias("score")), "ranks")
+    of_loose = F.coalesce(F.sum(F.when(F.col("out").isNull(), F.col("score"))), F.lit(0.0))
+    loose = ranks.agg(of_loose).first()[0]
+    for _ in range(rounds):
+        given = walk.join(ranks.select(F.col("id").alias("src"), (F.col("score") / F.col("out")).alias("part")), "src")
+        given = given.groupBy(F.col("dst").alias("id")).agg(F.sum("part").alias("given"))
+        score = F.lit((1 - damping) / max(1, n)) + damping * (F.coalesce("given", F.lit(0.0)) + F.lit(loose / max(1, n)))
+        ranks = settled(ranks.join(given, "id", "left").select("id", "out", score.alias("score"), F.col("score").alias("old")), "ranks")
+        change, loose = ranks.agg(F.coalesce(F.sum(F.abs(F.col("score") - F.col("old"))), F.lit(0.0)), of_loose).first()
+        if change < tolerance:
+            break
+    return ranks.select("id", F.round("score", 6).alias("score"))
 
 
 def numbered_parts(part: DataFrame) -> DataFrame:
@@ -116,7 +107,7 @@ def connected_components(store: GraphStore) -> DataFrame:
     return numbered_parts(settled(joined.select(F.col("id").alias("node_id"), F.coalesce("component", "id").alias("least")), "parts"))
 
 
-def louvain(store: GraphStore, resolution: float = 1.0, passes: int = 100, strict: bool = False) -> DataFrame:
+def louvain(store: GraphStore, resolution: float = 1.0, passes: int = 20, strict: bool = False) -> DataFrame:
     """node_id, community_id, numbered by smallest member: one level of moves that raise modularity, in rounds of joins
     and sums over all nodes.
 
@@ -133,7 +124,7 @@ def louvain(store: GraphStore, resolution: float = 1.0, passes: int = 100, stric
     home = settled(walk.groupBy("src").agg(F.count(F.lit(1)).alias("k")).select(F.col("src").alias("v"), "k", F.col("src").alias("c")), "homes")
     still = 0
     for round_ in range(passes):
-        totals = settled(home.groupBy("c").agg(F.sum("k").alias("total"), F.count(F.lit(1)).alias("members")), "totals")
+        totals = home.groupBy("c").agg(F.sum("k").alias("total"), F.count(F.lit(1)).alias("members"))
         here = home.where(F.pmod(F.col("v") + round_, F.lit(2)) == 0).join(totals, "c").select("v", "k", F.col("c").alias("old"), F.col("total").alias("old_total"), F.col("members").alias("old_members"))
         into = walk.join(home.select(F.col("v").alias("dst"), "c"), "dst").groupBy(F.col("src").alias("v"), "c").agg(F.count(F.lit(1)).alias("links"))
         sides = into.join(here, "v").join(totals, "c")

@@ -6,8 +6,9 @@ import datetime as dt
 import html
 import json
 import pathlib
+import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import html_escape, redact_properties
@@ -72,7 +73,8 @@ PAGE = """<!DOCTYPE html><html><head><meta charset="utf-8"><title>{title}</title
 <meta http-equiv="Content-Security-Policy" content="default-src 'none'; style-src 'nonce-{nonce}'; script-src 'nonce-{nonce}'">
 <style nonce="{nonce}">body{{font:14px sans-serif;margin:1em}}canvas{{border:1px solid #ccc}}</style></head>
 <body><h1>{title}</h1><p>{nodes} nodes, {edges} edges, density {density}</p>
-<input id="find" placeholder="name"><select id="label"></select><select id="by"><option>community</option><option>label</option></select>
+<input id="find" placeholder="name"><select id="label"></select><select id="by"><option>community</option><option>label</option></select><select id="layout"><option>groups</option><option>circle</option><option>levels</option></select>
+<select id="provenance"><option></option><option>EXTRACTED</option><option>INFERRED</option><option>AMBIGUOUS</option></select>
 <canvas id="view" width="1000" height="700"></canvas><pre id="detail"></pre>
 <script nonce="{nonce}">
 const data = {data};
@@ -81,7 +83,13 @@ const el = x => document.getElementById(x), ctx = el("view").getContext("2d");
 for (const l of ["", ...new Set(data.nodes.map(n => n.label))]) el("label").add(new Option(l, l));
 function place() {{
   const key = n => el("by").value === "label" ? n.label : n.community ?? n.label, groups = [...new Set(data.nodes.map(key))];
+  const layout = el("layout").value, all = data.nodes.length, rows = new Map();
   for (const n of data.nodes) {{
+    if (layout === "circle") {{ n.x = 500 + 330 * Math.cos(n.k / all * 2 * Math.PI); n.y = 350 + 330 * Math.sin(n.k / all * 2 * Math.PI); continue; }}
+    if (layout === "levels") {{
+      const row = groups.indexOf(key(n)), nth = rows.get(row) ?? 0; rows.set(row, nth + 1);
+      n.x = 20 + nth * 24 % 960; n.y = 30 + row * 640 / groups.length + Math.floor(nth / 40) * 6; continue;
+    }}
     const g = groups.indexOf(key(n)) / groups.length * 2 * Math.PI, a = n.k * 2.4, r = 4 * Math.sqrt(n.k);
     n.x = 500 + 250 * Math.cos(g) + r * Math.cos(a); n.y = 350 + 220 * Math.sin(g) + r * Math.sin(a);
   }}
@@ -92,13 +100,13 @@ function draw() {{
   const shown = n => n.name.toLowerCase().includes(word) && (!label || n.label === label);
   for (const e of data.edges) {{
     const a = byId.get(e.source_id), b = byId.get(e.target_id);
-    if (!a || !b || !shown(a) || !shown(b)) continue;
+    if (!a || !b || !shown(a) || !shown(b) || (el("provenance").value && e.provenance !== el("provenance").value)) continue;
     ctx.setLineDash(JSON.parse(e.dashes) || []); ctx.lineWidth = e.width / 4; ctx.strokeStyle = "#999";
     ctx.beginPath(); ctx.moveTo(a.x, a.y); ctx.lineTo(b.x, b.y); ctx.stroke();
   }}
   for (const n of data.nodes.filter(shown)) {{ ctx.fillStyle = n.color; ctx.beginPath(); ctx.arc(n.x, n.y, n.size / 5, 0, 7); ctx.fill(); }}
 }}
-for (const x of ["find", "label", "by"]) el(x).addEventListener("input", draw);
+for (const x of ["find", "label", "by", "layout", "provenance"]) el(x).addEventListener("input", draw);
 el("view").addEventListener("click", m => {{
   const near = data.nodes.reduce((a, n) => Math.hypot(n.x - m.offsetX, n.y - m.offsetY) < Math.hypot(a.x - m.offsetX, a.y - m.offsetY) ? n : a);
   el("detail").textContent = near.label + ": " + near.name + ", degree " + near.degree;
@@ -117,7 +125,7 @@ def page(store: GraphStore, title: str = "Graph", most: int = PAGE_NODES) -> str
         raise ValueError(f"a page shows {most} nodes at most; filter the graph first")
     one = store.communities.withColumn("nth", F.row_number().over(Window.partitionBy("node_id").orderBy("algorithm"))).where("nth = 1")
     nodes = vis_nodes(store).join(one.select(F.col("node_id").alias("id"), F.col("community_id").alias("community")), "id", "left")
-    data = {"nodes": [json.loads(x) for x in nodes.toJSON().collect()], "edges": [json.loads(x) for x in vis_edges(store).toJSON().collect()]}
+    data = {"nodes": [json.loads(x) for x in nodes.toJSON().collect()], "edges": [json.loads(x) for x in vis_edges(store).join(store.edges.select("id", "provenance"), "id").toJSON().collect()]}
     text = json.dumps(data, ensure_ascii=False).replace("<", "\\u003C").replace(">", "\\u003E").replace("/", "\\/")
     return PAGE.format(title=html.escape(title), nonce=secrets.token_urlsafe(12), data=text, **totals.asDict())
 
@@ -133,7 +141,7 @@ def report(store: GraphStore, as_of: dt.datetime) -> str:
     lines += ["", "## Communities"] + [f"- {r['community_id']}: {r['size']}" for r in sizes]
     for title, df, column in (("Labels", store.nodes, "label"), ("Edge types", store.edges, "type"), ("Provenance", store.edges, "provenance")):
         lines += ["", f"## {title}"] + [f"- {r[column]}: {r['n']}" for r in counts_by(df, column).orderBy(F.desc("n"), column).collect()]
-    lines += ["", "## Questions"] + [f"- What depends on {r['name']}, and what happens without it?" for r in top]
+    lines += ["", "## Questions"] + [f"- {question(r['label'], r['name'])}" for r in top]
     return "\n".join(lines) + "\n"
 
 
@@ -160,6 +168,36 @@ def export_all(store: GraphStore, folder: str, as_of: dt.datetime) -> dict[str,
     return results
 
 
+#: What to ask about the most connected nodes, by their labels; others are asked what depends on them.
+QUESTIONS = {
+    ("Customer", "Company", "Organization", "Lead", "Contact", "Person"): "Which products, tickets and deals hang on {}?",
+    ("Product", "Service", "Contract", "Deal", "Opportunity"): "Who would be hit by a change of {}, and how soon?",
+    ("Ticket", "Issue", "Feedback"): "What do the customers behind {} have in common?",
+    ("Agent", "Department", "Channel"): "What would stop without {}?",
+    ("Article", "Topic", "Keyword", "Document", "Note", "Tag"): "What is about {}, and is it up to date?",
+    ("Project", "Module", "Folder", "File", "Config"): "Which files would have to change with {}?",
+    ("Function", "Class", "Import", "Variable", "Decorator"): "Which callers would break if {} changed?",
+}
+
+
+def question(label: str, name: str) -> str:
+    return next((q for labels, q in QUESTIONS.items() if label in labels), "What depends on {}, and what happens without it?").format(name)
+
+
+def remove_expired(spark: SparkSession, path: str, as_of: dt.datetime, days: int = 30) -> list[str]:
+    """Removes the snapshots under path that have expired and returns their versions; the newest always stays."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    names = [f.getPath().getName() for f in files.listStatus(folder)]
+    versions = sorted(n.removeprefix("version=") for n in names if re.fullmatch(r"version=\d{14}", n))
+    gone = [v for v in expired(versions, as_of, days) if v != versions[-1]]
+    for v in gone:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={v}"), True)
+    return gone
+
+
 def expired(versions: list[str], as_of: dt.datetime, days: int = 30) -> list[str]:
     """The snapshots to remove: those older than so many days, and of each day all but the last."""
     stamp = {v: dt.datetime.strptime(v, "%Y%m%d%H%M%S") for v in versions}

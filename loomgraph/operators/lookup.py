@@ -145,6 +145,30 @@ def explain_inner_edges(store: GraphStore, node: int | str, limit: int = 20) ->
     return inner.join(F.broadcast(near), F.col("target_id") == F.col("n"), "left_semi").select("id", "source_id", "target_id", "type")
 
 
+def explain_summary(store: GraphStore, node: int | str) -> str:
+    """A sentence on the node: what it is, how many edges lead out and in, and of which types most."""
+    at = node_id(store, node)
+    me = store.nodes.where(F.col("id") == at).select("label", "name").first()
+    if me is None:
+        raise ValueError("no node has this id")
+    sides = []
+    for here, word in (("source_id", "out"), ("target_id", "in")):
+        by = counts_by(store.edges.where(F.col(here) == at), "type").orderBy(F.desc("n"), "type").collect()  # one row a type
+        sides.append(f"{sum(r['n'] for r in by)} {word}" + (f" (most {by[0]['type']})" if by else ""))
+    return f"{me['name']} is a {me['label']} with edges: {', '.join(sides)}."
+
+
+def table_exists(store: GraphStore, name: str) -> bool:
+    """Whether the graph has a table of this name with rows in it."""
+    return name in store.views() and not store.views()[name].isEmpty()
+
+
+def catalog(store: GraphStore) -> DataFrame:
+    """table, column, type of every column of the graph's tables."""
+    rows = [(t, f.name, f.dataType.simpleString()) for t, df in store.views().items() for f in df.schema.fields]
+    return store.nodes.sparkSession.createDataFrame(rows, "table string, column string, type string")
+
+
 def what_if_isolated(store: GraphStore, node: int | str) -> DataFrame:
     """id, label, name of the neighbours that have no edge but to the node."""
     at = node_id(store, node)

@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomgraph.functions.text import redact_text, safe_error
 from loomgraph.operators.lookup import limited
 from loomgraph.operators.ordering import running_sum
 from loomgraph.store import settled
+from loomgraph.streaming.spans import breaker_states
+
+T = TypeVar("T")
 
 
 def recent(spans: DataFrame, as_of: dt.datetime, minutes: float, closed: bool = True) -> DataFrame:
@@ -61,6 +68,27 @@ def health(spans: DataFrame, as_of: dt.datetime, seconds: int = 60, intact: bool
     return joined.select(F.col("all").alias("n"), "p50", percent.alias("error_percent"), status.alias("status"))
 
 
+def health_with_breakers(spans: DataFrame, as_of: dt.datetime, seconds: int = 60, intact: bool = True) -> DataFrame:
+    """health with the open breakers' tools (sorted); with any of them open a healthy status is degraded."""
+    open_ = breaker_states(spans, as_of).where("open").agg(F.array_sort(F.collect_set("tool")).alias("open_breakers"))  # tools are few
+    joined = health(spans, as_of, seconds, intact).join(open_)
+    return joined.withColumn("status", F.when((F.col("status") == "healthy") & (F.size("open_breakers") > 0), "degraded").otherwise(F.col("status")))
+
+
+def emitted(spans: DataFrame | None, spark: SparkSession, tool: str, call: Callable[[], T], trace_id: str, args: str = "", parent_id: str | None = None) -> tuple[T | None, DataFrame]:
+    """Calls an operator and gives its result with the spans and one more: how long it took, what went wrong (None is
+    the result then), personal values and paths taken out."""
+    began, error, result = dt.datetime.now(dt.UTC), None, None
+    try:
+        result = call()
+    except ValueError as e:
+        error = str(e)
+    took = (dt.datetime.now(dt.UTC) - began).total_seconds() * 1000
+    row = spark.createDataFrame([(trace_id, uuid.uuid4().hex, parent_id, tool, took, error, args, began)], "trace_id string, span_id string, parent_id string, tool string, duration_ms double, error string, args_summary string, timestamp timestamp")
+    row = row.withColumn("error", F.when(F.col("error").isNotNull(), safe_error(redact_text(F.col("error"))))).withColumn("args_summary", redact_text(F.col("args_summary")))
+    return result, row if spans is None else spans.unionByName(row, allowMissingColumns=True)
+
+
 def replay(spans: DataFrame, trace_id: str, limit: int | None = 100) -> DataFrame:
     """The trace's spans in time, with a running number."""
     found = spans.where(F.col("trace_id") == trace_id)

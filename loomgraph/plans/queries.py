@@ -261,12 +261,8 @@ register(
         _pairs,
     ).replace("WITH all_nodes", "WITH RECURSIVE all_nodes"),
 )
-register(
-    "pagerank",
-    lambda s, d: centrality.pagerank(core(s, d)),
-    "WITH RECURSIVE "
-    + ", ".join((
-        CORE,
+_ranks = (
+    ", ".join((
         STEPS,
         "degree AS (SELECT a, count(*) AS k FROM steps GROUP BY a)",
         "total AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM nodes)",
@@ -276,8 +272,10 @@ register(
                 FROM (SELECT pr.*, sum(CASE WHEN k IS NULL THEN rank ELSE 0 END) OVER () AS loose FROM pr LEFT JOIN degree ON a = id WHERE change >= 1e-6 AND i < 100) c
                 CROSS JOIN total LEFT JOIN (SELECT steps.b, sum(pr.rank / k) AS given FROM pr JOIN steps ON steps.a = pr.id JOIN degree ON degree.a = pr.id GROUP BY steps.b) g ON g.b = c.id))""",
     ))
-    + " SELECT id, round(rank, 6) AS score FROM pr WHERE i = (SELECT max(i) FROM pr)",
+    + " SELECT id, round(rank, 6) AS score FROM pr WHERE i = (SELECT max(i) FROM pr)"
 )
+register("pagerank", lambda s, d: centrality.pagerank(hub(s, d)), f"WITH RECURSIVE {HUB}, {_ranks}")
+register("pagerank_core", lambda s, d: centrality.pagerank(core(s, d)), f"WITH RECURSIVE {CORE}, {_ranks}")
 _parts = "reach(id, least) USING KEY (id) AS (SELECT id, id FROM nodes UNION SELECT b, min(r.least) FROM reach r JOIN steps ON a = r.id JOIN recurring.reach k ON k.id = b WHERE r.least < k.least GROUP BY b)"
 _numbered = "parts AS (SELECT id AS node_id, dense_rank() OVER (ORDER BY least) - 1 AS community_id FROM reach)"
 register("connected_components", lambda s, d: centrality.connected_components(core(s, d)), f"WITH RECURSIVE {CORE}, {STEPS}, {_parts}, {_numbered} SELECT node_id, community_id FROM parts")

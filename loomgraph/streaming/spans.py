@@ -33,13 +33,15 @@ def advance(state: tuple[int, float], at: float, failed: bool) -> tuple[tuple[in
 
 
 def calls(spans: DataFrame) -> DataFrame:
-    return spans.select("tool", "span_id", "timestamp", F.coalesce(F.col("error") != "", F.lit(False)).alias("failed"))
+    """The calls, with the seconds of their time as `at`."""
+    at = F.col("timestamp").cast("timestamp")
+    return spans.select("tool", "span_id", at.alias("timestamp"), (F.unix_micros(at) / 1e6).alias("at"), F.coalesce(F.col("error") != "", F.lit(False)).alias("failed"))
 
 
 def run_breaker(rows: pd.DataFrame, state: tuple[int, float]) -> tuple[pd.DataFrame, tuple[int, float]]:
-    rows = rows.sort_values(["timestamp", "span_id"], kind="stable")
+    rows = rows.sort_values(["at", "span_id"], kind="stable")
     blocked, errors = [], []
-    for at, failed in zip(rows.timestamp.astype("int64") / 1e9 if rows.timestamp.dtype == "datetime64[ns]" else rows.timestamp.map(lambda t: t.timestamp()), rows.failed):
+    for at, failed in zip(rows["at"], rows.failed):
         state, b, e = advance(state, at, bool(failed))
         blocked.append(b)
         errors.append(e)
@@ -68,7 +70,7 @@ def breaker(spans: DataFrame, slice_seconds: int = SLICE) -> DataFrame:
     leaves is what the next began with. A slice forgets how it began at the first success or after 60 quiet
     seconds, so few rounds are needed; only states meet across slices, never calls. Calls without a time are left out.
     """
-    rows = calls(spans).where("timestamp is not null").withColumn("slice", F.floor(F.unix_micros("timestamp") / (1_000_000 * slice_seconds)).cast("long"))
+    rows = calls(spans).where("timestamp is not null").withColumn("slice", F.floor(F.col("at") / slice_seconds).cast("long"))
     rows = settled(rows, "calls")
     order = Window.partitionBy("tool").orderBy("slice")  # a row a slice
     slices = rows.select("tool", "slice").distinct().withColumn("before", F.lag("slice").over(order))
@@ -95,9 +97,9 @@ def breaker(spans: DataFrame, slice_seconds: int = SLICE) -> DataFrame:
             if not calls_too and at is not None:
                 yield pd.DataFrame([(*at, *held)], columns=["tool", "slice", "e", "first"])
 
-        begin = begin.select(F.col("tool").alias("of"), F.col("slice").alias("at"), "e", "first")
-        joined = rows.join(begin, rows["tool"].eqNullSafe(F.col("of")) & (rows["slice"] == F.col("at"))).drop("of", "at")
-        return joined.repartition("tool", "slice").sortWithinPartitions("tool", "slice", "timestamp", "span_id").mapInPandas(work, schema)
+        begin = begin.select(F.col("tool").alias("of"), F.col("slice").alias("nth"), "e", "first")
+        joined = rows.join(begin, rows["tool"].eqNullSafe(F.col("of")) & (rows["slice"] == F.col("nth"))).drop("of", "nth")
+        return joined.repartition("tool", "slice").sortWithinPartitions("tool", "slice", "at", "span_id").mapInPandas(work, schema)
 
     ends = settled(run(state, "tool string, slice long, e int, first double", False), "slice-ends")
     while True:

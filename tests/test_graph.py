@@ -355,3 +355,42 @@ def test_exports(spark, small, tmp_path):
             export.allowed_path(bad, str(inside), (".html", ".md"))
     old = ["20240301000000", "20240430010000", "20240430020000", "20240501000000"]
     assert export.expired(old, NOW) == ["20240301000000", "20240430010000"]
+
+
+def test_snapshots_are_removed(spark, small, tmp_path):
+    for v in ("20240101000000", "20240102000000", "20240501010000", "20240501020000"):
+        GraphStore.of(spark).save(str(tmp_path / "s"), v)
+    (tmp_path / "s" / "other").mkdir()
+    assert export.remove_expired(spark, str(tmp_path / "s"), dt.datetime(2024, 5, 2)) == ["20240101000000", "20240102000000", "20240501010000"]
+    assert sorted(p.name for p in (tmp_path / "s").iterdir() if not p.name.startswith(".")) == ["other", "version=20240501020000"]
+    assert export.remove_expired(spark, str(tmp_path / "s"), dt.datetime(2030, 1, 1)) == [] == export.remove_expired(spark, str(tmp_path / "none"), NOW)
+
+
+def test_explained_and_catalog(small):
+    assert lookup.explain_summary(small, 1) == "Acme Corp is a Customer with edges: 2 out (most bought), 0 in."
+    assert lookup.table_exists(small, "nodes") and not lookup.table_exists(small, "metadata") and not lookup.table_exists(small, "other")
+    assert ("edges", "weight", "double") in pairs(lookup.catalog(small), "table", "column", "type")
+    assert "Which products" in export.report(small, NOW)
+    for call in (lambda: lookup.explain_summary(small, 77), lambda: lookup.get_node(small, "tag:none"), lambda: traverse.shortest_path(small, "tag:a", "tag:b")):
+        with pytest.raises(ValueError):
+            call()
+
+
+def test_emitted_spans(spark):
+    _, spans = telemetry.emitted(None, spark, "count", lambda: 3, "t", '{"email": "a@b.co"}')
+
+    def fails():
+        raise ValueError("no /etc/passwd for a@b.co")
+
+    result, spans = telemetry.emitted(spans, spark, "read", fails, "t")
+    rows = {r["tool"]: r for r in spans.collect()}
+    assert result is None and rows["read"]["error"] == "no [PATH] for [EMAIL]" and rows["count"]["error"] is None
+    assert rows["count"]["args_summary"] == '{"email":"[REDACTED]"}' and telemetry.replay_summary(spans, "t").first()["errors"] == 1
+
+
+def test_health_with_breakers(spark):
+    at = dt.datetime(2024, 1, 1, tzinfo=dt.UTC)
+    rows = [("t", str(k), "up" if k % 2 else "down", 5.0, None if k % 2 else "boom", at + dt.timedelta(seconds=k)) for k in range(12)] + [("t", f"x{k}", "up", 5.0, None, at + dt.timedelta(seconds=12)) for k in range(60)]
+    spans = spark.createDataFrame(rows, "trace_id string, span_id string, tool string, duration_ms double, error string, timestamp timestamp")
+    r = telemetry.health_with_breakers(spans, at + dt.timedelta(seconds=13)).first()
+    assert (r["n"], r["status"], r["open_breakers"]) == (72, "degraded", ["down"])
