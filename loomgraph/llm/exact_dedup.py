@@ -19,7 +19,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keep: "smallest" or "largest", the id that stays. text: an expression to compare in place of
     text_col, such as a normal form. A null text counts as empty. A null id is never kept while its
     group has an id; a group without any has keep_id null and all rows kept. Rows that repeat an id and
-    a text count in group_size and share the decision. Other columns, of any name, play no part.
+    a text count in group_size and share the decision. An empty table gives an empty one. Other columns, of
+    any name, play no part.
     """
     if keep not in ("smallest", "largest"):
         raise ValueError("keep is smallest or largest")
@@ -47,7 +48,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def without_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
     """docs without the rows that exact_groups drops; the columns stay as they are. The decision holds for an id
-    together with its text, and of rows that repeat both one stays."""
+    together with its text, and of rows that repeat both one stays. A null text is an empty one; rows of a null id stay."""
     decided = exact_groups(docs, id_col, text_col, keep).where("doc_id is not null").groupBy("doc_id", "text_sha256").agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
     decided = stored(decided.where("not kept or n > 1").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), "kept"), "exact-copies")
     sha = F.sha2(F.encode(F.coalesce(docs[text_col], F.lit("")), "UTF-8"), 256)

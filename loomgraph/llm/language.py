@@ -12,8 +12,8 @@ from loomgraph.llm.common import LOWER, blocks, held_out
 #: Labelled documents that the classifiers learn from (in expectation), shared among the languages.
 SAMPLE = 3000
 ORDERS, BUCKET_BITS = (2, 3, 4), 16
-#: Positions whose weights are gathered at once.
-AT_ONCE = 1 << 18
+#: Positions whose weights are gathered at once; bytes of the longest text that the classifiers learn from.
+AT_ONCE, LEARN_BYTES = 1 << 18, 1 << 20
 IS_ASCII_LETTER = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
 
 
@@ -83,6 +83,13 @@ class LanguageCodes:
 
     def margins(self, data: np.ndarray, places: np.ndarray) -> np.ndarray:
         total = np.zeros((len(places) - 1, self.weights.shape[2]))
+        if len(places) == 2:  # one text, which may be long, in parts
+            for o, order in enumerate(ORDERS):
+                many = max(0, len(data) - order + 1)
+                for low in range(0, many, AT_ONCE):
+                    part = LOWER[data[low : min(low + AT_ONCE, many) + order - 1]]
+                    total[0] += self.weights[o][ngrams(part, np.array([0, len(part)]), order)[0]].sum(axis=0, dtype=float) / many
+            return total[:, : self.code.shape[1]] / self.usual
         data = LOWER[data]
         for o, order in enumerate(ORDERS):
             h, begins = ngrams(data, places, order)
@@ -110,9 +117,10 @@ class LanguageCodes:
 
 def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> LanguageCodes | None:
     """Classifiers learned from at most sample documents in expectation, an equal share of each value of lang_col,
-    chosen by a hash of their ids. Null ids, texts and languages and held-out ids teach nothing; None if none is left."""
+    chosen by a hash of their ids. Null ids, texts and languages, held-out ids and texts of more than LEARN_BYTES
+    teach nothing; None if none is left."""
     told = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    told = told.where("id is not null and text is not null and lang is not null").where(~held_out("id"))
+    told = told.where(F.octet_length("text") <= LEARN_BYTES).where("id is not null and text is not null and lang is not null").where(~held_out("id"))
     counts = {r["lang"]: r["n"] for r in told.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return None
@@ -126,7 +134,7 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def predicted_languages(docs: DataFrame, model: LanguageCodes | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score, ambiguous for every row of docs. A null text, one without a letter, and any text if
     there is no model get und, score 0 and are not ambiguous. Ids may be null or repeat; each row is read by
-    itself. Other columns play no part."""
+    itself. An empty table gives an empty one. Other columns, of any name, play no part."""
 
     def work(batches):
         for rows, data, places in blocks(batches, "text"):

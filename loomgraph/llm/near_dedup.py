@@ -363,6 +363,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
-    """docs with one document of each group of near copies; the columns stay as they are."""
+    """docs with one document of each group of near copies; the columns stay as they are. Rows of a null id, and null,
+    empty and blank texts, stay; rows that repeat an id share its decision."""
     dropped = stored(near_groups(docs, id_col, text_col, percent).where("not kept").select(F.col("doc_id").alias("__dropped")).distinct(), "near-copies")
     return docs.join(dropped, docs[id_col] == dropped["__dropped"], "left_anti")

@@ -16,6 +16,8 @@ CHUNK, OVERLAP = 512, 64
 #: A byte that begins a string of eight which also begins up to LAGS bytes before has a symbol of its own.
 LAGS = 32
 PAD = 512
+#: Chunks of one text that are worked on at once; bytes of the longest text that the network learns from.
+AT_ONCE, LEARN_BYTES = 2048, 1 << 20
 
 
 def symbols(data: np.ndarray, places: np.ndarray, at_once: int = 1 << 15) -> np.ndarray:
@@ -99,7 +101,16 @@ class ByteConvNet:
 
     def scores(self, data: np.ndarray, places: np.ndarray) -> np.ndarray:
         start, size, first = self.chunks(data, places)
-        logit = self.features(self.pooled(symbols(data, places), start, size), first, places).astype(np.float64) @ self.p["out"] + self.p["c"][0]
+        if len(places) > 2:
+            pooled = self.pooled(symbols(data, places), start, size)
+        else:  # one text, which may be long: some chunks at a time, with the bytes around that their symbols depend on
+            pooled = np.empty((len(start), self.filters), np.float32)
+            for k in range(0, len(start), AT_ONCE):
+                s = slice(k, k + AT_ONCE)
+                low, high = max(0, int(start[k]) - LAGS), int((start[s] + size[s]).max()) + 8
+                part = data[low:high]
+                pooled[s] = self.pooled(symbols(part, np.array([0, len(part)])), start[s] - low, size[s])
+        logit = self.features(pooled, first, places).astype(np.float64) @ self.p["out"] + self.p["c"][0]
         return 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
 
     def fit(self, texts: list[bytes], labels: np.ndarray, weights: np.ndarray, steps: int = 500, batch: int = 32, rate: float = 4e-3, decay: float = 1e-4) -> ByteConvNet:
@@ -151,7 +162,7 @@ class ByteConvNet:
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> ByteConvNet | float:
     """A network that learned label_col (0 or 1) from at most sample documents in expectation, chosen by a
     hash of their ids, half of each label; weights restore the labels' shares. Rows whose id is held out,
-    null labels and other values teach nothing. Without documents of both labels there is nothing to
+    null labels, other values and texts of more than LEARN_BYTES teach nothing (all are scored). Without documents of both labels there is nothing to
     tell apart: the result is the score that all get, 1 where no row is labelled 0, else 0."""
     told = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)").where(~held_out("id"))
     told = told.groupBy("id").agg(F.min("label").alias("label"))
@@ -161,7 +172,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     unit = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) / 1e6
     chosen = told.where(unit < F.when(F.col("label") == 0, F.lit(sample / 2 / counts[0])).otherwise(F.lit(sample / 2 / counts[1])))
     # at most about `sample` ids
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "id").select("id", "text", "label").toArrow()
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.octet_length("text") <= LEARN_BYTES).join(F.broadcast(chosen), "id").select("id", "text", "label").toArrow()
     rows = sorted(zip(rows["id"].to_pylist(), rows["label"].to_pylist(), rows["text"].to_pylist()))
     y = np.array([r[1] for r in rows], np.float32)
     if len(set(y.tolist())) < 2:
@@ -172,7 +183,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
 def quality_scores(docs: DataFrame, model: ByteConvNet | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with a column __score, the probability of label 1 for the whole text; a null text scores as an
-    empty one. All columns of docs stay, whatever their names."""
+    empty one, a row of a null or repeated id by itself, and an empty table gives an empty one. All columns
+    of docs stay, whatever their names."""
 
     def work(batches):
         for rows, data, places in blocks(batches, text_col):
@@ -183,5 +195,6 @@ def quality_scores(docs: DataFrame, model: ByteConvNet | float, id_col: str = "d
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
-    """docs without those whose score is below threshold; the columns stay as they are."""
+    """docs without those whose score is below threshold; the columns stay as they are. Each row is judged by its own text
+    (a null one as an empty one), whatever its id."""
     return quality_scores(docs, fit_quality(docs, labels), text_col=text_col).where(F.col("__score") >= threshold).drop("__score")

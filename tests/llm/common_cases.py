@@ -13,6 +13,20 @@ def prose(seed: int, n: int) -> str:
     return " ".join(r.choice(WORDS) + str(r.randrange(30)) for _ in range(n))
 
 
+def twins(bits: int = 11) -> tuple[str, str]:
+    """Two words that sums of powers of a base can not tell apart: one letter by the parity of each place's bits, and the
+    same with the letters swapped."""
+    one = "".join("ab"[k.bit_count() % 2] for k in range(1 << bits))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+def long_rows() -> list[tuple]:
+    """Texts of over a million bytes: prose, a near copy of it, one without white space, and short ones beside them."""
+    text = prose(21, 150_000)
+    unbroken = "".join(random.Random(22).choice("abcdefgh") for _ in range(40_000)) * 30
+    return [(1, text), (2, text[:-300] + prose(23, 30)), (3, unbroken), (4, "short text of a few words"), (5, text[5000:6000])]
+
+
 def cases() -> list[tuple]:
     base = prose(1, 120)
     words = base.split()

@@ -4,9 +4,10 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
-from common_cases import cases, empty, frame, prose, with_ids
+from common_cases import cases, empty, frame, long_rows, prose, twins, with_ids
 
 from loomgraph.llm import near_dedup, repeats
+from loomgraph.llm.common import run_hashes
 from loomgraph.llm.exact_dedup import exact_groups, without_exact_copies
 from loomgraph.llm.near_dedup import near_groups, without_near_copies
 from loomgraph.llm.repeats import repeated_in, text_without_repeats, without_repeats
@@ -183,3 +184,37 @@ def test_transform():
                 seen.add(c[k : k + length])
             expected.append(flags)
         assert [x.tolist() for x in repeated_in(contexts, length)] == expected
+
+
+def test_twin_words(spark):
+    a, b = twins()
+    rows = [(1, a), (2, b), (3, f"{a} {b}"), (4, f"{b} {a}"), (5, a + b), (6, "x " + a)]
+    assert {tuple(r) for r in near_groups(frame(spark, rows), percent=85).collect()} == linked(rows, 85)
+    expected = removed(rows, 100)
+    for r in without_repeats(frame(spark, rows), 100).collect():
+        assert (bytes(r["__kept"]), len(r["__spans"])) == expected[r["doc_id"]]
+
+
+def test_shared_shingles():
+    r = random.Random(8)
+    for _ in range(200):
+        a, b = ([r.choice([b"a", b"b", b"c"]) for _ in range(r.randint(1, 12))] for _ in range(2))
+        x, y = (shingle_set(b" ".join(w).decode()) for w in (a, b))
+        assert near_dedup.shared_shingles(a, b, 5) == (len(x), len(y), len(x & y))
+
+
+def test_run_hashes():
+    r = random.Random(9)
+    runs = [bytes(r.choice(b"ab\0") for _ in range(n)) for n in [0, 1, 7, 8, 9, 63, 64, 65, 200] * 30]
+    data, end = np.frombuffer(b"".join(runs), np.uint8), np.cumsum([len(x) for x in runs])
+    h = run_hashes(data, end - [len(x) for x in runs], end)
+    assert len({(x, int(k)) for x, k in zip(runs, h)}) == len(set(runs)) == len(set(h.tolist()))
+
+
+def test_long_texts(spark):
+    rows = long_rows()
+    assert {tuple(r) for r in near_groups(frame(spark, rows), percent=85).collect()} == linked(rows, 85)
+    assert {r["doc_id"]: r["keep_id"] for r in exact_groups(frame(spark, [*rows, (9, rows[0][1])])).collect()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 9: 1}
+    expected = removed(rows, 100)
+    for r in without_repeats(frame(spark, rows), 100).collect():
+        assert (bytes(r["__kept"]), len(r["__spans"])) == expected[r["doc_id"]]

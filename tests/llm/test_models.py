@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
-from common_cases import cases, empty, frame, with_ids
+from common_cases import cases, empty, frame, long_rows, twins, with_ids
 from pyspark.sql import functions as F
 
 from loomgraph.llm import language, lm_score, quality
@@ -49,8 +49,8 @@ def test_chunks_cover_documents():
         assert covered.all()
 
 
-def test_network_gradient():
-    """The loss falls on what was learned, and a step against numerical slopes."""
+def test_network_learns():
+    """What was learned is told apart."""
     texts = [b"### bad ### text" * 9, b"good plain prose here " * 9] * 8
     y = np.array([0, 1] * 8, np.float32)
     net = quality.ByteConvNet(filters=6).fit(texts, y, np.ones(16, np.float32), steps=60)
@@ -125,10 +125,13 @@ def test_top_k_prunes(spark):
     rows = [(i, [10.0 * (i % 4 == c) + r.gauss(0, 0.01) for c in range(4)]) for i in range(2000)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     topk.ANNULUS_BYTES, before = 1 << 10, topk.ANNULUS_BYTES
+    sent, best_of = [], topk.best_of
+    topk.best_of = lambda pairs, annuli, *more: sent.append((pairs.count(), annuli.count())) or best_of(pairs, annuli, *more)
     try:
         got = top_k(df, F.col("vec_id") % 500 == 0, k=5).collect()
     finally:
-        topk.ANNULUS_BYTES = before
+        topk.ANNULUS_BYTES, topk.best_of = before, best_of
+    assert sum(n for n, _ in sent) < 0.6 * 4 * sent[0][1]  # of all pairs of four queries and annuli
     grid = {i: [math.floor(1024 * x) for x in v] for i, v in rows}
     for q in range(0, 2000, 500):
         best = sorted((-sum(a * b for a, b in zip(grid[q], grid[i])), i) for i in grid if i != q)[:5]
@@ -182,3 +185,90 @@ def test_language_scores(spark, head, monkeypatch):
     assert Counter((*tuple(r)[:5], round(r["base_score"], 4)) for r in got) == expected
     assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
     assert lm_score.language_scores(empty(spark), PIECES).count() == 0
+
+
+def test_network_forward():
+    """Scores of a small network against plain Python, over texts of none to several chunks and over one text in parts."""
+    net = quality.ByteConvNet(filters=3)
+    r = random.Random(14)
+    texts = [b"", b"a", b"abcabcabcabcabcabc" * 5, bytes(r.choice(b"abcd ") for _ in range(1300))]
+    p = {k: v.astype(float) for k, v in net.p.items()}
+
+    def plain(t: bytes) -> float:
+        codes = []
+        for i in range(len(t)):
+            again = any(i >= lag and t[i - lag : i - lag + 8] == t[i : i + 8] for lag in range(1, quality.LAGS + 1)) and len(t) - i >= 8
+            codes.append(t[i] + 256 * again)
+        step, chunks = quality.CHUNK - quality.OVERLAP, []
+        for c in range(max(1, -(-(len(t) - quality.OVERLAP) // step))):
+            part = codes[c * step : c * step + quality.CHUNK]
+            padded = part + [quality.PAD] * (quality.CHUNK - len(part))
+            windows = [np.concatenate([p["embed"][x] for x in padded[i : i + 8]]) for i in range(0, quality.CHUNK - 4, 4) if i < max(1, len(part))]
+            chunks.append(np.maximum(np.max([w @ p["conv"] + p["bias"] for w in windows], axis=0), 0))
+        z = np.concatenate([np.max(chunks, axis=0), np.mean(chunks, axis=0), [math.log1p(len(t)) / 5]])
+        return 1 / (1 + math.exp(-(z @ p["out"] + p["c"][0])))
+
+    data, places = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    assert net.scores(data, places) == pytest.approx([plain(t) for t in texts], abs=1e-5)
+    before, quality.AT_ONCE = quality.AT_ONCE, 1
+    try:
+        assert net.scores(np.frombuffer(texts[3], np.uint8), np.array([0, 1300]))[0] == pytest.approx(plain(texts[3]), abs=1e-5)
+    finally:
+        quality.AT_ONCE = before
+
+
+def test_language_margins(monkeypatch):
+    """The margins of texts read together, by themselves in parts, and by plain Python."""
+    texts = [b"Alpha beta gamma " * 9, b"x", b"", b"delta epsilon zeta " * 7, b"eta theta " * 30]
+    model = language.LanguageCodes(texts, ["a", "b", "b", "b", "c"])
+    together = model.margins(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+
+    def bucket(gram: bytes) -> int:
+        h = 0
+        for x in gram:
+            h = (h * 0x01000193 + x) & 0xFFFFFFFF
+        return (h * 0x9E3779B1 & 0xFFFFFFFF) >> 32 - language.BUCKET_BITS
+
+    monkeypatch.setattr(language, "AT_ONCE", 40)
+    for t, row in zip(texts, together):
+        total = np.zeros(len(row))
+        for o, order in enumerate(language.ORDERS):
+            grams = [bucket(t.lower()[k : k + order]) for k in range(len(t) - order + 1)]
+            total += model.weights[o][grams].sum(axis=0, dtype=float)[: len(row)] / max(1, len(grams)) if grams else 0
+        assert row == pytest.approx(total / model.usual, abs=1e-5)
+        assert model.margins(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0] == pytest.approx(total / model.usual, abs=1e-5)
+
+
+def test_scores_sum_segmentations(spark):
+    """score against a sum over all segmentations in plain Python, words of twin letters and long ones among them."""
+    a, b = twins()
+    rows = [(1, "the cat the"), (2, a), (3, f"{b} zqxj"), (4, ""), (9, "Straße 日本"), (12, a + b + "tail")]
+    spelled, _, kinds, _ = lm_score.read_pieces(PIECES)
+    p = np.exp(lm_score.first_weights(PIECES))
+    text, of_byte = {spelled[k]: p[k] for k in np.flatnonzero(kinds == 0)}, {spelled[k]: p[k] for k in np.flatnonzero(kinds == 1)}
+    longest = max(map(len, text))
+
+    def log_total(w: bytes) -> float:
+        alpha, scale = [1.0], 0.0
+        for i in range(1, len(w) + 1):
+            alpha.append(sum(alpha[i - n] * text.get(w[i - n : i], 0) for n in range(1, min(i, longest) + 1)) + alpha[i - 1] * of_byte.get(w[i - 1 : i], 0))
+            if alpha[-1] < 1e-100:  # only the last places count from here on
+                alpha, scale = [x * 1e100 for x in alpha], scale - 100
+        return math.log10(alpha[-1]) + scale
+
+    got = {r["doc_id"]: r for r in lm_score.language_scores(frame(spark, rows), PIECES, rounds=0).collect()}
+    for i, t in rows:
+        assert got[i]["score"] == pytest.approx(sum(log_total(b" " + w) for w in t.encode().lower().split()) + math.log10(p[kinds == 2].max()), rel=1e-6)
+    trained = [t.encode().lower().split() for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    known = {w for t in trained for w in t}
+    assert {i: sum(w in known for w in t.encode().lower().split()) + 1 for i, t in rows} == {i: r["n_known"] for i, r in got.items()}
+
+
+def test_long_texts(spark):
+    docs = frame(spark, [(i, t if i != 3 else t[:50_000]) for i, t in long_rows()]).withColumn("lang", F.when(F.col("doc_id") > 3, "xx").otherwise("yy"))
+    labels = spark.createDataFrame([(4, 1), (5, 0)], "doc_id long, quality int")
+    scored = {r["doc_id"]: r["__score"] for r in quality.quality_scores(docs, quality.fit_quality(docs, labels)).collect()}
+    assert len(scored) == 5 and all(0 <= s <= 1 for s in scored.values())
+    assert {r["doc_id"]: r["lang_pred"] for r in language.predicted_languages(docs, language.fit_languages(docs)).collect()}.keys() == scored.keys()
+    got = {r["doc_id"]: r["n_tokens"] for r in lm_score.language_scores(docs, PIECES, rounds=1).collect()}
+    assert got == {r["doc_id"]: len(r["text"].split()) + 1 for r in docs.select("doc_id", "text").collect()}

@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
-from common_cases import cases, empty, frame, with_ids
+from common_cases import cases, empty, frame, long_rows, twins, with_ids
 from tokenizers import Tokenizer
 
 from loomgraph.llm import packing, token_counts
@@ -167,3 +167,55 @@ def test_unigram_stream():
         ids += encoder.feed("", end=True)
         assert "".join(v.text[k] for k in ids) == text
         assert sum(v.scores[k] for k in ids) == pytest.approx(best(text))
+
+
+def test_long_words():
+    """Chunk maps against the library, over tables that fill up and begin anew."""
+    library, r = Tokenizer.from_file(BYTES), random.Random(11)
+    texts = ["".join(r.choice(letters) for _ in range(n)) for letters, n in (("abcdefgh", 9000), ("ab", 5000), ("aAzZ09+/", 7000), ("日本語文章", 3000), ("=", 4500))] + [*twins(13), "ab" * 3000 + "c", "a" * 4097]
+    expected = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    counter = token_counts.TokenCounter(BYTES)
+    assert counter.count(texts).tolist() == expected
+    words = counter.words
+    words.most = 4096
+    words.clear()
+    assert counter.count(texts).tolist() == expected
+
+
+def test_long_texts(spark):
+    library, pieces, rows = Tokenizer.from_file(BYTES), sentencepiece.SentencePieceProcessor(model_file=PIECES), long_rows()
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(frame(spark, rows), BYTES).collect()}
+    assert got == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in rows}
+    short = [(i, t[:1_150_000] if i != 3 else t[:60_000]) for i, t in rows]
+    got = {r["doc_id"]: (r["n_pieces"], r["ids_crc32"], r["round_trip"]) for r in codec_summary(frame(spark, short), PIECES).collect()}
+    assert got == {i: (len(ids := pieces.encode(t)), zlib.crc32(np.array(ids, "<u4").tobytes()), True) for i, t in short}
+    words = packing.WordIds(WORDS)
+    library = Tokenizer.from_file(WORDS)
+    for _, t in rows:
+        assert np.frombuffer(words.ids(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+def test_completions():
+    r = random.Random(12)
+    for _ in range(40):
+        lengths = sorted({r.randint(3, 40) for _ in range(8)})
+        have = np.zeros(101, np.int64)
+        for n in lengths:
+            have[n] = r.randint(1, 3)
+        ways = packing.Completions(lengths, 100, 4, 100_000)
+        gap = r.randint(20, 90)
+        sums = {0}
+        for n in lengths:
+            sums = {s + n * k for s in sums for k in range(have[n] + 1)}
+        least = gap - max(s for s in sums if s <= gap)
+        found = ways.of(have, gap, gap)
+        assert gap - sum(found[0]) == least
+        assert all(max(Counter(f).values(), default=0) <= 3 and all(Counter(f)[n] <= have[n] for n in f) for f in found)
+        assert not any(packing.dominates(a, b) for a in found for b in found if sum(a) == sum(b) and a != b and found.index(a) < found.index(b))
+
+
+def test_fewest_sequences():
+    r = random.Random(13)
+    for _ in range(60):
+        items = [r.randint(10, 90) for _ in range(r.randint(1, 9))]
+        assert -(-sum(items) // 100) <= packing.fewest_sequences(dict(Counter(items)), 100) <= fewest(items, 100)
