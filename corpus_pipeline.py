@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is stored as Parquet and is the next
 stage's docs. All but the last return the columns of documents; each works on all that the one before
-kept.
+kept. In every stage a null text is an empty one, an empty table gives an empty one, and columns of any
+name are carried along.
 """
 
 from __future__ import annotations
@@ -20,22 +21,25 @@ from loomgraph.llm.repeats import text_without_repeats
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality network scores at 0.7 or more; it learns from those of docs that labels marks."""
+    """Documents that the quality network scores at 0.7 or more; it learns from those of docs that labels marks.
+    A row of a null or repeated id is judged by its own text."""
     return good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.7)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with one text, the one of the smallest id."""
+    """Of documents with one text, the one of the smallest id; of rows that repeat id and text one. Rows of a null id stay."""
     return without_exact_copies(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of a similarity of 0.8 or more join, the one of the smallest id."""
+    """Of documents that links of a similarity of 0.8 or more join, the one of the smallest id. Rows of a null id and
+    texts without words stay; rows that repeat an id share its decision."""
     return without_near_copies(docs, percent=80)
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the bytes of strings of 100 bytes that also start earlier; n_chars follows the text."""
+    """All documents, without the bytes of strings of 100 bytes that also start earlier; n_chars follows the text.
+    A row of a null id is left as it is and is no earlier place of anything; a null text stays null."""
     left = text_without_repeats(docs, 100)
     if "n_chars" not in docs.columns:
         return left
@@ -43,7 +47,7 @@ def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 4096 tokens with their places in sequences."""
+    """Pieces of at most 4096 tokens with their places in sequences; rows of a null or repeated id are packed one by one."""
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096)
 
 
