@@ -54,10 +54,10 @@ def shingle_words(text: bytes, size: int) -> Iterator[bytes]:
 
 
 def shared_shingles(one: list[bytes], other: list[bytes], size: int) -> tuple[int, int, int]:
-    """Of two texts' words: how many distinct shingles each has and how many they share, words compared as they are.
-    Words become numbers; runs of k words are ranked, then those of k + 1, so equal numbers are equal runs."""
+    """Of two texts' words: how many distinct shingles each has and how many they share, words compared as they are;
+    zeros where one has fewer words than a shingle, so that nothing is shared. Words become numbers; runs of k words are ranked, then those of k + 1, so equal numbers are equal runs."""
     if min(len(one), len(other)) < size:
-        return max(1, len(one) - size + 1), max(1, len(other) - size + 1), int(one == other)
+        return (1, 1, 1) if one == other else (0, 0, 0)
     numbers: dict[bytes, int] = {}
     a, b = (np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int64) for words in (one, other))
     windows = np.concatenate([np.lib.stride_tricks.sliding_window_view(x, size) for x in (a, b)])

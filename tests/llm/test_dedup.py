@@ -200,7 +200,7 @@ def test_shared_shingles():
     for _ in range(200):
         a, b = ([r.choice([b"a", b"b", b"c"]) for _ in range(r.randint(1, 12))] for _ in range(2))
         x, y = (shingle_set(b" ".join(w).decode()) for w in (a, b))
-        assert near_dedup.shared_shingles(a, b, 5) == (len(x), len(y), len(x & y))
+        assert near_dedup.shared_shingles(a, b, 5) == ((len(x), len(y), len(x & y)) if min(len(a), len(b)) >= 5 or a == b else (0, 0, 0))
 
 
 def test_run_hashes():
