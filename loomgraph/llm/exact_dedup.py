@@ -49,14 +49,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def without_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
     """docs without the rows that exact_groups drops; the columns stay as they are. The decision holds for an id
     together with its text, and of rows that repeat both one stays. A null text is an empty one; rows of a null id stay."""
-    decided = exact_groups(docs, id_col, text_col, keep).where("doc_id is not null").groupBy("doc_id", "text_sha256").agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    decided = stored(decided.where("not kept or n > 1").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), "kept"), "exact-copies")
-    sha = F.sha2(F.encode(F.coalesce(docs[text_col], F.lit("")), "UTF-8"), 256)
-
-    def same(some: DataFrame) -> Column:
-        return (docs[id_col] == some["__id"]) & (sha == some["__sha"])
-
-    out = docs.join(decided, same(decided), "left_anti")
-    repeated = decided.where("kept")
-    once = docs.withColumn("__sha", sha).join(repeated.select(F.col("__id"), F.col("__sha").alias("__same")), (F.col(id_col) == F.col("__id")) & (F.col("__sha") == F.col("__same")), "left_semi")
-    return out.unionAll(once.dropDuplicates([id_col, "__sha"]).select(*docs.columns))
+    groups = exact_groups(docs, id_col, text_col, keep).where("doc_id is not null")
+    # ids with a row to drop or several rows, no texts: where all rows of an id go, the id decides
+    by_id = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("kept")).alias("gone"))
+    by_id = stored(by_id.where("gone > 0 or n > 1").select(F.col("doc_id").alias("__id"), (F.col("gone") == F.col("n")).alias("all")), "exact-copies")
+    out = docs.join(by_id, docs[id_col] == by_id["__id"], "left_anti")
+    mixed = by_id.where("not all")
+    if mixed.isEmpty():
+        return out
+    kept = groups.where("kept").join(mixed, F.col("doc_id") == F.col("__id"), "left_semi").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__same")).distinct()
+    some = docs.join(mixed, docs[id_col] == mixed["__id"], "left_semi").withColumn("__sha", F.sha2(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"), 256))
+    some = some.join(kept, (F.col(id_col) == F.col("__id")) & (F.col("__sha") == F.col("__same")), "left_semi")
+    return out.unionAll(some.dropDuplicates([id_col, "__sha"]).select(*docs.columns))
