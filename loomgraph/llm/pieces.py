@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -17,6 +18,8 @@ from loomgraph.llm.lattice import MARK, read_pieces
 
 #: Words whose ids a worker remembers, the characters of the longest of them, and pairs of pieces that it has compared.
 MEMO, LONGEST_KNOWN, PAIRS = 700_000, 64, 1_000_000
+#: Places after which the window may move.
+SPAN = 64
 
 
 class Vocabulary:
@@ -75,74 +78,91 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.v, self.buffer = vocabulary, ""
-        # for each place from the window's start: score, start of the last piece, its ids; None: not reached
-        self.best: list = [(0.0, 0, (-1,))]
+        # for each place from the window's start: where the last piece begins (-1: not reached), its id (-1: none, or a
+        # character without a piece), and the path's score
+        self.best, self.ids, self.scores = [0], [-1], [0.0]
         self.at = 0
 
     def feed(self, text: str, end: bool = False) -> list[int]:
         self.buffer += text
         out: list[int] = []
-        ready = len(self.buffer) if end else len(self.buffer) - self.v.longest + 1
-        while self.at < ready:
-            self.step(self.at)
-            self.at += 1
-            if self.at & 63 == 0 and self.at < ready:
+        while True:
+            ready = len(self.buffer) if end else len(self.buffer) - self.v.longest + 1
+            if self.at >= ready:
+                break
+            stop = min(ready, self.at + SPAN)
+            room = min(len(self.buffer), stop - 1 + self.v.longest) + 1 - len(self.best)
+            self.best += [-1] * room
+            self.ids += [-1] * room
+            (self.walk_scores if self.v.made == 1 else self.walk)(stop)
+            self.at = stop
+            if stop < ready:
                 out += self.commit()
-                ready = len(self.buffer) if end else len(self.buffer) - self.v.longest + 1
         out += self.commit(end)
         return out
 
-    def step(self, i: int) -> None:
-        v, best, buffer = self.v, self.best, self.buffer
-        here = best[i]
-        if here is None:
-            return
-        if len(best) <= i + v.longest:
-            best.extend([None] * (min(len(buffer), i + v.longest) + 1 - len(best)))
-        score, _, last = here
-        last = last[-1] if last[-1] in v.text else -1
-        node, whole, unigram, pairs = v.trie, False, v.made == 1, v.pairs
-        for j in range(i + 1, len(buffer) + 1):
-            node = node.get(buffer[j - 1])
-            if node is None:
-                break
-            k = node.get("")
-            if k is None:
+    def walk(self, stop: int) -> None:
+        """The places up to stop, for a merged model."""
+        v, best, ids, buffer, n = self.v, self.best, self.ids, self.buffer, len(self.buffer)
+        trie, pairs, may_meet = v.trie, v.pairs, v.may_meet
+        for i in range(self.at, stop):
+            if best[i] < 0:
                 continue
-            whole = whole or j == i + 1
-            if unigram:
-                new = score + v.scores[k]
-                if best[j] is None or new > best[j][0]:
-                    best[j] = (new, i, (k,))
-            elif last < 0 or (pairs[last << 32 | k] if last << 32 | k in pairs else v.may_meet(last, k)):
-                best[j] = (score, i, (k,))
-        if not whole and (best[i + 1] is None or not unigram):  # a character without a piece
-            best[i + 1] = (score + v.least - 10, i, (*v.fallback(buffer[i]), -1))
+            last, node, j = ids[i], trie, i
+            while j < n and (node := node.get(buffer[j])) is not None:
+                j += 1
+                k = node.get("")
+                if k is not None and (last < 0 or (pairs[last << 32 | k] if last << 32 | k in pairs else may_meet(last, k))):
+                    best[j], ids[j] = i, k
+            if best[i + 1] < 0 and buffer[i] not in v.ids:  # a character without a piece
+                best[i + 1] = i
+
+    def walk_scores(self, stop: int) -> None:
+        """The places up to stop, for a unigram model."""
+        v, best, ids, buffer, n = self.v, self.best, self.ids, self.buffer, len(self.buffer)
+        scores = self.scores
+        scores += [-math.inf] * (len(best) - len(scores))
+        for i in range(self.at, stop):
+            if best[i] < 0:
+                continue
+            node, j = v.trie, i
+            while j < n and (node := node.get(buffer[j])) is not None:
+                j += 1
+                k = node.get("")
+                if k is not None and scores[i] + v.scores[k] > scores[j]:
+                    best[j], ids[j], scores[j] = i, k, scores[i] + v.scores[k]
+            if buffer[i] not in v.ids and scores[i] + v.least - 10 > scores[i + 1]:  # a character without a piece
+                best[i + 1], ids[i + 1], scores[i + 1] = i, -1, scores[i] + v.least - 10
 
     def path(self, place: int) -> list[int]:
         places = [place]
         while places[-1]:
-            places.append(self.best[places[-1]][1])
+            places.append(self.best[places[-1]])
         return places
 
     def commit(self, end: bool = False) -> list[int]:
         """The ids up to the last boundary on all surviving paths."""
+        best, ids, buffer = self.best, self.ids, self.buffer
         if end:
-            shared = len(self.buffer)
+            shared = len(buffer)
         else:
-            alive = [k for k in range(self.at, len(self.best)) if self.best[k] is not None]
+            alive = [k for k in range(self.at, len(best)) if best[k] >= 0]
             common = set(self.path(alive[0]))
             for k in alive[1:]:
                 common &= set(self.path(k))
             shared = max(common)
         out: list[int] = []
-        for place in self.path(shared)[-2::-1]:
-            out += [k for k in self.best[place][2] if k >= 0]
-        self.buffer = self.buffer[shared:]
-        rest = self.best[shared:]
-        self.best = [(0.0, 0, rest[0][2] if rest[0] else (-1,))] + [b and (b[0] - rest[0][0], b[1] - shared, b[2]) for b in rest[1:]]
-        self.at -= shared
-        return out
+        place = shared
+        while place:
+            k = ids[place]
+            out.append(k) if k >= 0 else out.extend(reversed(self.v.fallback(buffer[best[place]])))
+            place = best[place]
+        base = self.scores[shared] if shared < len(self.scores) else 0.0
+        self.buffer, self.at = buffer[shared:], self.at - shared
+        self.best = [0, *(b - shared if b >= 0 else b for b in best[shared + 1 :])]
+        self.ids = ids[shared:]
+        self.scores = [0.0, *(x - base for x in self.scores[shared + 1 :])]
+        return out[::-1]
 
 
 class Codec:
