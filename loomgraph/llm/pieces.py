@@ -157,6 +157,9 @@ class Encoder:
             k = ids[place]
             out.append(k) if k >= 0 else out.extend(reversed(self.v.fallback(buffer[best[place]])))
             place = best[place]
+        if end:
+            self.buffer, self.at, self.best, self.ids, self.scores = "", 0, [0], [-1], [0.0]
+            return out[::-1]
         base = self.scores[shared] if shared < len(self.scores) else 0.0
         self.buffer, self.at = buffer[shared:], self.at - shared
         self.best = [0, *(b - shared if b >= 0 else b for b in best[shared + 1 :])]
