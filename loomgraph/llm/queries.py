@@ -9,8 +9,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.llm.collocations import collocations
 from loomgraph.llm.common import documents, held_out
 from loomgraph.llm.exact_dedup import exact_groups
+from loomgraph.llm.html_extract import extracted
 from loomgraph.llm.language import fit_languages, predicted_languages
 from loomgraph.llm.lm_score import language_scores
 from loomgraph.llm.near_dedup import near_groups
@@ -20,6 +22,7 @@ from loomgraph.llm.quality import fit_quality, quality_scores
 from loomgraph.llm.repeats import without_repeats
 from loomgraph.llm.token_counts import token_counts
 from loomgraph.llm.topk import top_k
+from loomgraph.llm.whitening import whitened
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"pipeline": corpus_pipeline.run}
 SQL: dict[str, str] = {}
@@ -122,3 +125,37 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec_summary(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query()
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extracted(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "url", "text", "n_chars")
+
+
+@query(r"""
+    WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+    ), words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+    ), totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang
+    ), runs AS (SELECT lang, k, unnest([array_to_string(w[i : i + k - 1], ' ') FOR i IN range(1, len(w) - k + 2)]) AS phrase FROM words, range(1, 5) t(k) WHERE len(w) >= k
+    ), f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS a FROM runs GROUP BY ALL HAVING count(*) >= 30
+    ), cuts AS (
+        SELECT lang, k, phrase, a, j, array_to_string(string_split(phrase, ' ')[:j], ' ') AS head, array_to_string(string_split(phrase, ' ')[j + 1 :], ' ') AS tail
+        FROM f, range(1, 4) t(j) WHERE j < k
+    ), scored AS (
+        SELECT c.lang, c.phrase, c.a, c.j, h.a AS l, t.a AS r, CAST(2000000::HUGEINT * c.a // (h.a + t.a) AS BIGINT) AS score
+        FROM cuts c JOIN f h ON h.lang = c.lang AND h.phrase = c.head JOIN f t ON t.lang = c.lang AND t.phrase = c.tail
+    ), lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+    ), inner_runs AS (
+        SELECT lang, a, array_to_string(string_split(phrase, ' ')[i : i + m - 1], ' ') AS part FROM f, range(1, 4) t(i), range(2, 4) u(m) WHERE m < k AND i + m - 1 <= k
+    ), around AS (SELECT lang, part, max(a) AS most FROM inner_runs GROUP BY ALL
+    ), kept AS (SELECT s.* FROM lowest s LEFT JOIN around o ON o.lang = s.lang AND o.part = s.phrase WHERE most IS NULL OR 100 * most < 80 * s.a
+    ), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+    SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""")
+def op12_collocation_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(documents(spark, sf_dir))
+
+
+@query()
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
