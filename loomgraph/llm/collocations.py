@@ -26,27 +26,32 @@ DEALT = "shard long, block long, lang string, places binary, left binary, right
 NAMED = "block long, shard long, places binary, numbers binary, lang array<string>, word array<binary>, left array<long>, right array<long>, f array<long>"
 
 
-def packed(numbers: np.ndarray) -> bytes:
-    """Whole numbers as differences, byte by byte of all of them, compressed."""
-    numbers = np.ascontiguousarray(np.diff(numbers.astype(np.int64), prepend=0))
+CODEC = pa.Codec("zstd", 6)
+
+
+def packed(numbers: np.ndarray, rising: bool = False) -> bytes:
+    """Whole numbers byte by byte of all of them, compressed; rising ones as differences."""
+    numbers = numbers.astype(np.int64)
+    numbers = np.ascontiguousarray(np.diff(numbers, prepend=0) if rising else numbers)
     planes = numbers.view(np.uint8).reshape(-1, 8).T
-    return len(numbers).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+    return len(numbers).to_bytes(7, "little") + bytes([rising]) + CODEC.compress(planes.tobytes(), asbytes=True)
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    n = int.from_bytes(data[:8], "little")
-    planes = np.frombuffer(pa.decompress(data[8:], 8 * n, "zstd", asbytes=True), np.uint8).reshape(8, n)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.int64).ravel())
+    n = int.from_bytes(data[:7], "little")
+    planes = np.frombuffer(CODEC.decompress(data[8:], 8 * n, asbytes=True), np.uint8).reshape(8, n)
+    numbers = np.ascontiguousarray(planes.T).view(np.int64).ravel()
+    return np.cumsum(numbers) if data[7] else numbers
 
 
 def packed_words(words: list[bytes]) -> bytes:
     """Words, none of which has a line break, compressed."""
     data = b"\n".join(words)
-    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+    return len(data).to_bytes(8, "little") + CODEC.compress(data, asbytes=True)
 
 
 def unpacked_words(data: bytes) -> list[bytes]:
-    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True).split(b"\n")
+    return CODEC.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True).split(b"\n")
 
 
 def one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -72,7 +77,8 @@ def parts(text: bytes, limit: int) -> Iterator[bytes]:
 
 
 def word_codes(data: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """Words of bytes in order as numbers, -1 between pieces; the words in the order of their bytes; how many each is."""
+    """Words of bytes in order as numbers, -1 between pieces; the words, the most frequent first, then by their bytes, so that
+    numbers are small; how many each is."""
     data = LOWER[data]
     gap = BLANK[data] | END[data]
     if gap.all():
@@ -88,12 +94,15 @@ def word_codes(data: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     words = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[~gap]))])
     coded = words.dictionary_encode()
     spelled = coded.dictionary.to_pylist()
-    order = sorted(range(len(spelled)), key=spelled.__getitem__)
+    indices = coded.indices.to_numpy()
+    often = np.bincount(indices, minlength=len(spelled))
+    order = np.array(sorted(range(len(spelled)), key=spelled.__getitem__))
+    order = order[np.argsort(-often[order], kind="stable")]
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    codes = rank[coded.indices.to_numpy()]
+    codes = rank[indices]
     breaks = np.flatnonzero(np.diff(piece)) + 1
-    return np.insert(codes, breaks, -1), [spelled[k] for k in order], np.bincount(codes, minlength=len(order))
+    return np.insert(codes, breaks, -1), [spelled[k] for k in order.tolist()], often[order]
 
 
 def word_level(docs: DataFrame, text_col: str, lang_col: str | None, block: int) -> DataFrame:
@@ -101,7 +110,7 @@ def word_level(docs: DataFrame, text_col: str, lang_col: str | None, block: int)
 
     def rows(lang: str, texts: list[bytes], number: int) -> pa.RecordBatch:
         codes, words, counts = word_codes(np.frombuffer(b"\n".join(texts), np.uint8))
-        row = {"block": number, "lang": lang, "words": int(counts.sum()), "n": len(words), "codes": packed(codes), "left": packed_words(words), "right": None, "counts": packed(counts)}
+        row = {"block": number, "lang": lang, "words": int(counts.sum()), "n": len(words), "codes": packed(codes + 1), "left": packed_words(words), "right": None, "counts": packed(counts)}
         return pa.RecordBatch.from_pylist([row], SCHEMA)
 
     def work(batches):
@@ -155,8 +164,8 @@ def dealt(level: DataFrame, shards: int, first: bool) -> DataFrame:
             cuts = np.flatnonzero(np.diff(shard[order])) + 1
             out = []
             for at in np.split(order, cuts):
-                row = {"shard": int(shard[at[0]]), "block": r["block"], "lang": r["lang"], "places": packed(at), "counts": packed(counts[at])}
-                row |= {"left": packed_words([words[k] for k in at.tolist()]), "right": None} if first else {"left": packed(left[at]), "right": packed(right[at])}
+                row = {"shard": int(shard[at[0]]), "block": r["block"], "lang": r["lang"], "places": packed(at, True), "counts": packed(counts[at])}
+                row |= {"left": packed_words([words[k] for k in at.tolist()]), "right": None} if first else {"left": packed(left[at], True), "right": packed(right[at])}
                 out.append(row)
             yield pa.RecordBatch.from_pylist(out, DEALT_SCHEMA)
 
@@ -211,7 +220,7 @@ def named(level: DataFrame, least: int, first: bool, shard_pairs: int) -> DataFr
             mine = number[group[begin : begin + len(c)]]
             begin += len(c)
             if (mine >= 0).any():
-                out.append({"block": r["block"], "shard": shard, "places": packed(unpacked(r["places"])[mine >= 0]), "numbers": packed(mine[mine >= 0])})
+                out.append({"block": r["block"], "shard": shard, "places": packed(unpacked(r["places"])[mine >= 0], True), "numbers": packed(mine[mine >= 0], not first)})
         return pa.Table.from_pylist(out, NAMED_SCHEMA)
 
     return dealt(level, shards, first).groupBy("shard").applyInArrow(merge, NAMED)
@@ -227,7 +236,7 @@ def next_level(level: DataFrame, names: DataFrame) -> DataFrame:
             ids = np.full(r["n"] + 1, -1, np.int64)  # the last is for the gaps, -1
             for m in r["marks"]:
                 ids[unpacked(m["places"])] = unpacked(m["numbers"]) + (m["shard"] << 32)
-            at = ids[unpacked(r["codes"])]
+            at = ids[unpacked(r["codes"]) - 1]
             known, codes = np.unique(at[at >= 0], return_inverse=True)
             near = np.flatnonzero((at[:-1] >= 0) & (at[1:] >= 0))
             if not len(near):
@@ -238,7 +247,7 @@ def next_level(level: DataFrame, names: DataFrame) -> DataFrame:
             after[near] = new
             keep = after >= 0
             keep[1:] |= keep[:-1]  # a gap once
-            row = {"block": r["block"], "lang": r["lang"], "words": None, "n": len(pairs), "codes": packed(after[keep]), "left": packed(known[pairs // len(known)]), "right": packed(known[pairs % len(known)]), "counts": packed(counts)}
+            row = {"block": r["block"], "lang": r["lang"], "words": None, "n": len(pairs), "codes": packed(after[keep] + 1), "left": packed(known[pairs // len(known)], True), "right": packed(known[pairs % len(known)]), "counts": packed(counts)}
             yield pa.RecordBatch.from_pylist([row], SCHEMA)
 
     return joined.mapInArrow(work, LEVEL)

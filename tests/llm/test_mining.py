@@ -218,7 +218,7 @@ def test_long_texts_in_parts():
     assert b"".join(parts).replace(b".", b"") == text.replace(b".", b"") and all(len(p) >= 1000 for p in parts[:-1]) and max(map(len, parts)) < 2000
     assert list(co.parts(b"no end " * 500, 100)) == [b"no end " * 500]
     for numbers in ([], [0], [5, 3, -(2**62), 2**62, 7]):
-        assert co.unpacked(co.packed(np.array(numbers, np.int64))).tolist() == numbers
+        assert [co.unpacked(co.packed(np.array(numbers, np.int64), rising)).tolist() for rising in (True, False)] == [numbers] * 2
 
 
 def check_whitening(rows, got, k=4):
