@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.store import settled as stored
 
-__all__ = ["ByteSums", "IS_SPACE", "LOWER", "as_long", "blocks", "cut_text", "documents", "held_out", "mixed", "run_hashes", "stored", "text_bytes", "words"]
+__all__ = ["ByteSums", "IS_SPACE", "LOWER", "as_long", "blocks", "cut_text", "documents", "free", "held_out", "mixed", "run_hashes", "stored", "text_bytes", "words"]
 
 #: Bytes of text that a task works on at once; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 20
@@ -23,6 +23,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def free(columns: list[str], name: str) -> str:
+    """name, with underscores after it while a column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def held_out(doc_id: str = "doc_id", parts: int = 4) -> Column:
     """The rows that no model learns from: crc32 of the id as text leaves 2."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % parts == 2, F.lit(False))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import stored
+from loomgraph.llm.common import free, stored
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", text: Column | None = None) -> DataFrame:
@@ -52,12 +52,13 @@ def without_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str
     groups = exact_groups(docs, id_col, text_col, keep).where("doc_id is not null")
     # ids with a row to drop or several rows, no texts: where all rows of an id go, the id decides
     by_id = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("kept")).alias("gone"))
-    by_id = stored(by_id.where("gone > 0 or n > 1").select(F.col("doc_id").alias("__id"), (F.col("gone") == F.col("n")).alias("all")), "exact-copies")
-    out = docs.join(by_id, docs[id_col] == by_id["__id"], "left_anti")
+    name, sha, same = (free(docs.columns, n) for n in ("__id", "__sha", "__same"))
+    by_id = stored(by_id.where("gone > 0 or n > 1").select(F.col("doc_id").alias(name), (F.col("gone") == F.col("n")).alias("all")), "exact-copies")
+    out = docs.join(by_id, docs[id_col] == by_id[name], "left_anti")
     mixed = by_id.where("not all")
     if mixed.isEmpty():
         return out
-    kept = groups.where("kept").join(mixed, F.col("doc_id") == F.col("__id"), "left_semi").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__same")).distinct()
-    some = docs.join(mixed, docs[id_col] == mixed["__id"], "left_semi").withColumn("__sha", F.sha2(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"), 256))
-    some = some.join(kept, (F.col(id_col) == F.col("__id")) & (F.col("__sha") == F.col("__same")), "left_semi")
-    return out.unionAll(some.dropDuplicates([id_col, "__sha"]).select(*docs.columns))
+    kept = groups.where("kept").join(mixed, F.col("doc_id") == F.col(name), "left_semi").select(F.col("doc_id").alias(name), F.col("text_sha256").alias(same)).distinct()
+    some = docs.join(mixed, docs[id_col] == mixed[name], "left_semi").withColumn(sha, F.sha2(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"), 256))
+    some = some.join(kept, (F.col(id_col) == F.col(name)) & (F.col(sha) == F.col(same)), "left_semi")
+    return out.unionAll(some.dropDuplicates([id_col, sha]).select(*docs.columns))

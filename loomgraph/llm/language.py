@@ -13,7 +13,7 @@ from loomgraph.llm.common import LOWER, blocks, held_out
 SAMPLE = 3000
 ORDERS, BUCKET_BITS = (2, 3, 4), 16
 #: Positions whose weights are gathered at once; bytes of the longest text that the classifiers learn from.
-AT_ONCE, LEARN_BYTES = 1 << 18, 1 << 20
+AT_ONCE, LEARN_BYTES = 1 << 18, 1 << 16
 IS_ASCII_LETTER = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
 
 

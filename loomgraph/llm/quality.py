@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from loomgraph.llm.common import blocks, held_out
+from loomgraph.llm.common import blocks, free, held_out
 
 #: Labelled documents that the network learns from, half of each label (in expectation).
 SAMPLE = 3000
@@ -17,7 +17,7 @@ CHUNK, OVERLAP = 512, 64
 LAGS = 32
 PAD = 512
 #: Chunks of one text that are worked on at once; bytes of the longest text that the network learns from.
-AT_ONCE, LEARN_BYTES = 2048, 1 << 20
+AT_ONCE, LEARN_BYTES = 2048, 1 << 16
 
 
 def symbols(data: np.ndarray, places: np.ndarray, at_once: int = 1 << 15) -> np.ndarray:
@@ -181,20 +181,23 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     return ByteConvNet().fit([r[2].encode() for r in rows], y, weights / weights.mean())
 
 
-def quality_scores(docs: DataFrame, model: ByteConvNet | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with a column __score, the probability of label 1 for the whole text; a null text scores as an
-    empty one, a row of a null or repeated id by itself, and an empty table gives an empty one. All columns
-    of docs stay, whatever their names."""
+def quality_scores(docs: DataFrame, model: ByteConvNet | float, id_col: str = "doc_id", text_col: str = "text", score_col: str = "__score") -> DataFrame:
+    """docs with a column score_col, the probability of label 1 for the whole text; a null text scores as an
+    empty one, a row of a null or repeated id by itself, and an empty table gives an empty one. All other columns
+    of docs stay, whatever their names; one named score_col gives way."""
+    names = [c for c in docs.columns if c.lower() != score_col.lower()]
+    docs = docs.select(*(docs[c] for c in names))
 
     def work(batches):
         for rows, data, places in blocks(batches, text_col):
             scores = model.scores(data, places) if isinstance(model, ByteConvNet) else np.full(rows.num_rows, model)
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(scores)], [*rows.schema.names, "__score"])
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(scores)], [*rows.schema.names, score_col])
 
-    return docs.mapInArrow(work, StructType([*docs.schema.fields, StructField("__score", DoubleType())]))
+    return docs.mapInArrow(work, StructType([*docs.schema.fields, StructField(score_col, DoubleType())]))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
     """docs without those whose score is below threshold; the columns stay as they are. Each row is judged by its own text
     (a null one as an empty one), whatever its id."""
-    return quality_scores(docs, fit_quality(docs, labels), text_col=text_col).where(F.col("__score") >= threshold).drop("__score")
+    score = free(docs.columns, "__score")
+    return quality_scores(docs, fit_quality(docs, labels), text_col=text_col, score_col=score).where(F.col(score) >= threshold).drop(score)

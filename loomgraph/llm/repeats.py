@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from loomgraph.llm.common import ByteSums, as_long, blocks, run_hashes, stored
+from loomgraph.llm.common import as_long, blocks, ByteSums, free, run_hashes, stored
 
 #: Bytes of an anchor.
 ANCHOR = 32
@@ -360,26 +360,30 @@ def repeated_spans(docs: DataFrame, length: int, group: int = GROUP) -> DataFram
     return spans
 
 
-def without_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
-    """docs with three more columns: __kept, the bytes of the text that are left; __text, these as text,
+def without_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP, names: tuple[str, str, str] = ("__kept", "__text", "__spans")) -> DataFrame:
+    """docs with three more columns, of these names: __kept, the bytes of the text that are left; __text, these as text,
     without what is left of a character that was cut; and __spans, the maximal runs (start, end) of bytes
     that went, since a string of `length` bytes that also starts earlier covers them.
 
     Earlier means in a smaller id, or before it in the same text; all is judged on the input. A null text
     is an empty one. A row with a null id is left whole and is no earlier place of anything. Rows that
     repeat an id and its text are one document; under an id with several texts, spans found in any are
-    cut from all. An empty table gives an empty one. All columns of docs stay, whatever their names.
+    cut from all. An empty table gives an empty one. All other columns of docs stay, whatever their names; ones of these three give way.
     """
+    kept_col, left_col, spans_col = names
+    own = [c for c in docs.columns if c.lower() not in {n.lower() for n in names}]
+    docs = docs.select(*(docs[c] for c in own))
+    id_of_lists = free([*own, *names], "__id")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
     spans = repeated_spans(rows, length, group)
-    lists = stored(spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("__spans")), "spans").withColumnRenamed("doc_id", "__id")
-    types = StructType([*docs.schema.fields, *StructType.fromDDL("__kept binary, __text string, __spans array<struct<start: bigint, end: bigint>>").fields])
+    lists = stored(spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias(spans_col)), "spans").withColumnRenamed("doc_id", id_of_lists)
+    types = StructType([*docs.schema.fields, *StructType.fromDDL(f"{kept_col} binary, {left_col} string, {spans_col} array<struct<start: bigint, end: bigint>>").fields])
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def work(batches):
         for rows, data, places in blocks(batches, text_col):
             kept, spans = [], []
-            for k, cut in enumerate(rows.column("__spans").to_pylist()):
+            for k, cut in enumerate(rows.column(spans_col).to_pylist()):
                 text = data[places[k] : places[k + 1]]
                 runs: list[dict] = []
                 for x in sorted(cut or (), key=lambda x: x["start"]):
@@ -391,14 +395,14 @@ def without_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id",
                 edges = [0, *(e for r in runs for e in (r["start"], r["end"])), len(text)]
                 kept.append(b"".join(text[a:b].tobytes() for a, b in zip(edges[::2], edges[1::2])))
                 spans.append(runs)
-            columns = [rows.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(kept, pa.binary()), pa.array([b.decode("utf-8", "ignore") for b in kept]), pa.array(spans, span_type)], [*names, "__kept", "__text", "__spans"])
+            columns = [rows.column(n) for n in own]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(kept, pa.binary()), pa.array([b.decode("utf-8", "ignore") for b in kept]), pa.array(spans, span_type)], [*own, *names])
 
-    names = docs.columns
-    return docs.join(lists, docs[id_col] == lists["__id"], "left").select(*(docs[n] for n in names), "__spans").mapInArrow(work, types)
+    return docs.join(lists, docs[id_col] == lists[id_of_lists], "left").select(*(docs[n] for n in own), spans_col).mapInArrow(work, types)
 
 
 def text_without_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the repeated bytes taken out of the text (and what they leave of a cut character), the columns as they are."""
-    cleaned = without_repeats(docs, length, id_col, text_col)
-    return cleaned.withColumn(text_col, F.when(F.col(text_col).isNotNull(), F.col("__text"))).drop("__kept", "__text", "__spans")
+    names = tuple(free(docs.columns, n) for n in ("__kept", "__text", "__spans"))
+    cleaned = without_repeats(docs, length, id_col, text_col, names=names)
+    return cleaned.withColumn(text_col, F.when(F.col(text_col).isNotNull(), F.col(names[1]))).drop(*names)

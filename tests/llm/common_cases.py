@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 WORDS = "the quick brown fox jumps over a lazy dog while seven small birds sing loud songs near old stone walls under grey skies".split()
-CLASHING = ("hash", "n", "rep", "a", "b", "key", "bands", "salt", "h", "start", "end", "wanted", "spans", "length", "component", "doc", "id", "row", "tail")
+CLASHING = ("hash", "n", "rep", "a", "b", "key", "bands", "salt", "h", "start", "end", "wanted", "spans", "length", "component", "doc", "id", "row", "tail", "__score", "__spans", "__kept", "__text", "__id", "__sha", "__same", "__dropped")
 
 
 def prose(seed: int, n: int) -> str:
