@@ -109,24 +109,20 @@ def redaction_sql(name: str, most: int = 500) -> str:
 
 
 def redact_properties(c: Column) -> Column:
-    """A JSON object with the values of personal top-level keys (any case) replaced; others keep their types."""
-    kept = F.map_zip_with(F.from_json(c, "map<string,string>"), F.from_json(c, "map<string,string>"), lambda k, a, b: a)
-    # values that are no strings come back as JSON text of their own; only strings need quotes
-    quoted = F.transform(
-        F.map_entries(kept),
-        lambda e: F.concat(
-            F.to_json(F.array(e["key"])).substr(F.lit(2), F.length(F.to_json(F.array(e["key"]))) - 2),
-            F.lit(":"),
-            F.when(F.lower(e["key"]).isin(*PII_KEYS), F.lit('"[REDACTED]"')).otherwise(_json_value(c, e["key"], e["value"])),
-        ),
-    )
-    return F.when(kept.isNull(), c).otherwise(F.concat(F.lit("{"), F.array_join(quoted, ","), F.lit("}")))
-
-
-def _json_value(c: Column, key: Column, value: Column) -> Column:
-    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(c), F.concat(F.lit("$['"), key, F.lit("']")), "variant"))
-    text = F.to_json(F.array(value))
-    return F.when(value.isNull(), F.lit("null")).when(kind == "STRING", text.substr(F.lit(2), F.length(text) - 2)).otherwise(value)
+    """A JSON object with the values of personal top-level keys (any case) replaced; keys of any letters and values of all types, nulls
+    and nested objects among them, stay as they are, keys in their order. What is JSON but no object stays; of text that is no JSON, or that
+    repeats a key, pairs of a personal key and a string are replaced."""
+    parsed = F.try_parse_json(c)
+    is_object = F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False))
+    entries = F.when(is_object, parsed).cast("map<string,variant>")
+
+    def pair(k: Column) -> Column:
+        name = F.to_json(F.array(k))
+        value = F.when(F.lower(k).isin(*PII_KEYS), F.lit('"[REDACTED]"')).otherwise(F.coalesce(F.to_json(F.element_at(entries, k)), F.lit("null")))
+        return F.concat(F.substring(name, F.lit(2), F.length(name) - 2), F.lit(":"), value)
+
+    hidden = F.concat(F.lit("{"), F.array_join(F.transform(F.json_object_keys(c), pair), ","), F.lit("}"))
+    return F.when(is_object, hidden).when(parsed.isNotNull(), c).otherwise(F.regexp_replace(c, PII_PAIR, '"$1":"[REDACTED]"'))
 
 
 def html_escape(c: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,10 @@ from loomgraph.operators.ordering import numbered_rows
 from loomgraph.operators.traverse import steps
 from loomgraph.store import GraphStore, settled
 
+#: Closeness: 64-bit words of sources that walk at once.
+WORDS = 32
+#: Betweenness: steps of a graph that every task may hold (12 bytes each); source-node rows of a block beyond that.
+HELD_STEPS, PAIRS = 4_000_000, 50_000_000
 
 
 def degree_centrality(store: GraphStore) -> DataFrame:
@@ -22,11 +28,10 @@ def degree_centrality(store: GraphStore) -> DataFrame:
     return joined.select("id", F.round(F.coalesce("near", F.lit(0)) / F.col("others"), 4).alias("score"))
 
 
-def distances(store: GraphStore, sources: DataFrame | None = None) -> DataFrame:
-    """s, v, d, sigma: from every source (id; all nodes if not given) the nodes that it reaches undirected, how far they
-    are and over how many shortest paths. All sources walk at once, a layer a join."""
-    walk = settled(steps(store.edges), "steps")
-    start = (store.nodes if sources is None else sources).select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(0).alias("d"), F.lit(1.0).alias("sigma"))
+def distances(walk: DataFrame, sources: DataFrame) -> DataFrame:
+    """s, v, d, sigma: from every source (id) the nodes that walk (src, dst, both ways) leads to, how far they
+    are and over how many shortest paths. All sources walk at once, a layer a join; rows grow with sources times nodes."""
+    start = sources.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(0).alias("d"), F.lit(1.0).alias("sigma"))
     seen = frontier = before = settled(start, "layer")
     depth = 0
     while True:
@@ -40,58 +45,184 @@ def distances(store: GraphStore, sources: DataFrame | None = None) -> DataFrame:
         seen = seen.unionAll(frontier)
 
 
-def closeness(store: GraphStore) -> DataFrame:
-    """id, score: reached nodes over the sum of their distances, inside the node's component; 0 alone; to 4 places."""
-    sums = distances(store).groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.sum("d").alias("far"))
-    return sums.select(F.col("s").alias("id"), F.round(F.when(F.col("far") > 0, (F.col("n") - 1) / F.col("far")).otherwise(F.lit(0.0)), 4).alias("score"))
+def closeness(store: GraphStore, words: int = WORDS) -> DataFrame:
+    """id, score: reached nodes over the sum of their distances, inside the node's component; 0 alone; to 4 places.
+
+    Sources walk in blocks of 64 * words, a bit each: a node holds the bits of the sources that have come to it, a round ors
+    those of its neighbours, and what is new counts with the round's number. As steps go both ways, how far the sources
+    are from a node is how far the node is from them, so counts stay with the node: no row a pair of nodes, memory grows with
+    the nodes times the words. Blocks follow each other; each adds to the nodes' sums.
+    """
+    if not 1 <= words <= 128:
+        raise ValueError("words is 1 to 128")
+    walk = settled(steps(store.edges), "steps")
+    ids = settled(numbered_rows(store.nodes.select("id").distinct(), "nth", "id").withColumn("nth", F.col("nth") - 1), "numbers")
+    n, wide = ids.count(), 64 * words
+    seen, fresh = [f"s{k}" for k in range(words)], [f"f{k}" for k in range(words)]
+    zero = F.lit(0).cast("long")
+    sums = None
+    for first in range(0, n, wide):
+        mine = F.col("nth") - first
+        bits = [F.when(F.floor(mine / 64) == k, F.expr(f"shiftleft(1L, cast((nth - {first}) % 64 as int))")).otherwise(zero) for k in range(words)]
+        start = ids.where((mine >= 0) & (mine < wide))
+        state = settled(start.select("id", zero.alias("near"), zero.alias("far"), *(b.alias(c) for b, c in zip(bits, seen)), *(b.alias(c) for b, c in zip(bits, fresh))), "bits")
+        depth = 0
+        while True:
+            depth += 1
+            moving = state.where(" or ".join(f"{c} != 0" for c in fresh)).select(F.col("id").alias("src"), *fresh)
+            come = walk.join(moving, "src").groupBy(F.col("dst").alias("id")).agg(*(F.bit_or(c).alias(f"g{k}") for k, c in enumerate(fresh)))
+            joined = state.drop(*fresh).join(come, "id", "full")
+            had = {c: F.coalesce(c, zero) for c in ("near", "far", *seen)}
+            new = [F.coalesce(F.col(f"g{k}"), zero).bitwiseAND(F.bitwise_not(had[c])) for k, c in enumerate(seen)]
+            joined = joined.select("id", had["near"].alias("near"), had["far"].alias("far"), *(had[c].alias(c) for c in seen), *(x.alias(c) for x, c in zip(new, fresh)))
+            count = sum((F.bit_count(c) for c in fresh), F.lit(0)).cast("long")
+            either = [F.col(c).bitwiseOR(F.col(f)).alias(c) for c, f in zip(seen, fresh)]
+            state = settled(joined.select("id", (F.col("near") + count).alias("near"), (F.col("far") + depth * count).alias("far"), *either, *fresh), "bits")
+            if state.where(" or ".join(f"{c} != 0" for c in fresh)).isEmpty():
+                break
+        part = state.select("id", "near", "far")
+        sums = part if sums is None else sums.unionAll(part)
+    if sums is None:
+        return store.nodes.select("id", F.lit(0.0).alias("score"))
+    sums = sums.groupBy("id").agg(F.sum("near").alias("near"), F.sum("far").alias("far"))
+    score = F.when(F.col("far") > 0, F.col("near") / F.col("far")).otherwise(F.lit(0.0))
+    return ids.join(sums, "id").select("id", F.round(score, 4).alias("score"))
+
+
+def dependencies(sources: np.ndarray, first: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Brandes' dependencies of all nodes, summed over the sources. first: where each node's neighbours begin in `to`."""
+    n = len(first) - 1
+    total = np.zeros(n)
+    degree = np.diff(first)
 
+    def neighbours(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All neighbours of the nodes, and whose each is, by its place in of."""
+        k = degree[of]
+        whose = np.repeat(np.arange(len(of)), k)
+        return to[np.arange(len(whose)) - np.repeat(np.cumsum(k) - k, k) + first[of][whose]], whose
 
-def betweenness(store: GraphStore) -> DataFrame:
+    for s in sources:
+        depth = np.full(n, -1, np.int32)
+        sigma, delta = np.zeros(n), np.zeros(n)
+        depth[s], sigma[s] = 0, 1
+        layers = [np.array([s])]
+        while len(layers[-1]):
+            near, whose = neighbours(layers[-1])
+            new = depth[near] < 0
+            near, ways = near[new], sigma[layers[-1]][whose[new]]
+            sums = np.bincount(near, ways, n)
+            layers.append(np.flatnonzero(sums))
+            depth[layers[-1]] = len(layers) - 1
+            sigma[layers[-1]] = sums[layers[-1]]
+        for d in range(len(layers) - 3, -1, -1):
+            near, whose = neighbours(layers[d])
+            below = depth[near] == d + 1
+            near, whose = near[below], whose[below]
+            delta[layers[d]] = sigma[layers[d]] * np.bincount(whose, (1 + delta[near]) / sigma[near], len(layers[d]))
+        delta[s] = 0
+        total += delta
+    return total
+
+
+def betweenness(store: GraphStore, held_steps: int = HELD_STEPS, pairs: int = PAIRS) -> DataFrame:
     """id, score: over ordered pairs of other nodes the share of shortest paths through the node, divided by the
-    unordered pairs (so each pair counts twice), to 4 places. Dependencies are summed from the farthest layer
-    back to the sources, a join a layer."""
+    unordered pairs (so each pair counts twice), to 4 places.
+
+    A graph of at most held_steps steps, which are counted first, is sent to every task, and each task takes some sources: layers
+    forward, then dependencies back, in numpy, with a few numbers a node. A larger one stays where it is, and the sources
+    take turns in blocks of about `pairs` source-node rows, whose layers are joins; a block leaves a sum a node.
+    """
     walk = settled(steps(store.edges), "steps")
-    reach = settled(distances(store), "distances")
+    ids = settled(numbered_rows(store.nodes.select("id").distinct(), "nth", "id").withColumn("nth", F.col("nth") - 1), "numbers")
+    n = ids.count()
+    if walk.count() <= held_steps and n <= held_steps:
+        sums = held_betweenness(walk, ids, n)
+    else:
+        sums = None
+        for first in range(0, n, max(1, pairs // n)):
+            some = ids.where((F.col("nth") >= first) & (F.col("nth") < first + max(1, pairs // n)))
+            part = settled(back_pass(walk, settled(distances(walk, some), "distances")), "block-sums")
+            sums = part if sums is None else sums.unionAll(part)
+    ways = float(max(1, (n - 1) * (n - 2) / 2))
+    sums = sums.groupBy("id").agg(F.sum("sum").alias("sum"))
+    return ids.join(sums, "id", "left").select("id", F.round(F.coalesce("sum", F.lit(0.0)) / ways, 4).alias("score"))
+
+
+def held_betweenness(walk: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    a, b = ids.select(F.col("id").alias("src"), F.col("nth").alias("a")), ids.select(F.col("id").alias("dst"), F.col("nth").alias("b"))
+    table = walk.join(a, "src").join(b, "dst").select("a", "b").toArrow()  # at most held_steps rows
+    a, b = table["a"].to_numpy().astype(np.int64), table["b"].to_numpy().astype(np.int32)
+    order = np.argsort(a, kind="stable")
+    spark = walk.sparkSession
+    graph = spark.sparkContext.broadcast((np.searchsorted(a[order], np.arange(n + 1)), b[order]))
+
+    def work(batches):
+        total = None
+        for batch in batches:
+            part = dependencies(batch.column(0).to_numpy(), *graph.value)
+            total = part if total is None else total + part
+        if total is not None:
+            some = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["nth", "sum"])
+
+    tasks = max(1, min(n, 4 * spark.sparkContext.defaultParallelism))
+    sums = spark.range(0, n, 1, tasks).mapInArrow(work, "nth long, sum double")
+    return sums.join(ids, "nth").select("id", "sum")
+
+
+def back_pass(walk: DataFrame, reach: DataFrame) -> DataFrame:
+    """id, sum: the dependencies of some sources (reach: s, v, d, sigma), from the farthest layer back, a join a layer."""
     deepest = reach.agg(F.max("d")).first()[0] or 0
     delta = reach.where(F.col("d") == deepest).select("s", "v", "sigma", F.lit(0.0).alias("delta"))
-    parts = []
+    parts = reach.select(F.col("v").alias("id"), F.lit(0.0).alias("sum")).limit(0)
     for depth in range(deepest, 0, -1):
         delta = settled(delta, "dependencies")
-        parts.append(delta.where("s != v").select("v", "delta"))
+        parts = parts.unionAll(delta.where("s != v").select(F.col("v").alias("id"), F.col("delta").alias("sum")))
         share = delta.join(walk, delta["v"] == walk["src"]).select("s", F.col("dst").alias("v"), ((1 + F.col("delta")) / F.col("sigma")).alias("share"))
         above = reach.where(F.col("d") == depth - 1)
         sums = share.groupBy("s", "v").agg(F.sum("share").alias("share"))
         delta = above.join(sums, ["s", "v"], "left").select("s", "v", "sigma", (F.col("sigma") * F.coalesce("share", F.lit(0.0))).alias("delta"))
-    total = None
-    for p in parts:
-        total = p if total is None else total.unionAll(p)
-    n = store.nodes.count()
-    pairs = float(max(1, (n - 1) * (n - 2) / 2))
-    ids = store.nodes.select("id")
-    if total is None:
-        return ids.select("id", F.lit(0.0).alias("score"))
-    sums = total.groupBy(F.col("v").alias("id")).agg(F.sum("delta").alias("sum"))
-    return ids.join(sums, "id", "left").select("id", F.round(F.coalesce("sum", F.lit(0.0)) / pairs, 4).alias("score"))
-
-
-def pagerank(store: GraphStore, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
+    return parts.groupBy("id").agg(F.sum("sum").alias("sum"))
+
+
+def pagerank(store: GraphStore, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6, at_once: int = 8) -> DataFrame:
     """id, score, to 6 places: undirected, without weights; what nodes without neighbours hold is spread over all. Ends
-    with the first round that changes less than tolerance in sum. A round is a join and a sum."""
-    walk = settled(steps(store.edges), "steps")
-    out = walk.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("out"))
-    n = store.nodes.count()
-    ranks = settled(store.nodes.select("id").join(out, "id", "left").select("id", "out", F.lit(1 / max(1, n)).alias("score")), "ranks")
-    of_loose = F.coalesce(F.sum(F.when(F.col("out").isNull(), F.col("score"))), F.lit(0.0))
-    loose = ranks.agg(of_loose).first()[0]
-    for _ in range(rounds):
-        given = walk.join(ranks.select(F.col("id").alias("src"), (F.col("score") / F.col("out")).alias("part")), "src")
-        given = given.groupBy(F.col("dst").alias("id")).agg(F.sum("part").alias("given"))
-        score = F.lit((1 - damping) / max(1, n)) + damping * (F.coalesce("given", F.lit(0.0)) + F.lit(loose / max(1, n)))
-        ranks = settled(ranks.join(given, "id", "left").select("id", "out", score.alias("score"), F.col("score").alias("old")), "ranks")
-        change, loose = ranks.agg(F.coalesce(F.sum(F.abs(F.col("score") - F.col("old"))), F.lit(0.0)), of_loose).first()
-        if change < tolerance:
+    with the first round that changes less than tolerance in sum.
+
+    Nodes without neighbours all have one score, a number that needs no table. A round of the others is a join of their scores with their
+    steps and a sum by target, so one shuffle; at_once rounds are one job, which writes the scores of all of them, and
+    their changes come from one pass over what it wrote. Of those tables the last alone is read on.
+    """
+    walk = steps(store.edges)
+    out = walk.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
+    walk = settled(walk.join(out, "src"), "steps")
+    ids = settled(store.nodes.select("id").distinct(), "ids")
+    n = max(1, ids.count())
+    linked = settled(walk.select(F.col("src").alias("id")).distinct().join(ids, "id", "left_semi"), "linked")
+    loose = ids.count() - linked.count()
+    alone = 1 / n
+    ranks = linked.select("id", F.lit(1 / n).alias("score"))
+    done = 0
+    while done < rounds:
+        some = min(at_once, rounds - done)
+        held, singles = ranks.select("id", F.array("score").alias("scores")), [alone]
+        for _ in range(some):
+            base = (1 - damping) / n + damping * loose * singles[-1] / n
+            # base is what a node without neighbours gets, and all others at least
+            singles.append(base)
+            given = walk.join(held.select(F.col("id").alias("src"), F.element_at("scores", -1).alias("score")), "src")
+            given = given.select(F.col("dst").alias("id"), (F.col("score") / F.col("out")).alias("part"), F.lit(None).cast("array<double>").alias("scores"))
+            both = given.unionAll(held.select("id", F.lit(0.0), "scores")).groupBy("id").agg(F.sum("part").alias("given"), F.first("scores", ignorenulls=True).alias("scores"))
+            held = both.select("id", F.concat("scores", F.array(F.lit(base) + damping * F.col("given"))).alias("scores"))
+        held = settled(held, "ranks")
+        changes = held.agg(*(F.coalesce(F.sum(F.abs(F.col("scores")[k + 1] - F.col("scores")[k])), F.lit(0.0)).alias(str(k)) for k in range(some))).first()
+        changes = [c + loose * abs(singles[k + 1] - singles[k]) for k, c in enumerate(changes)]
+        last = next((k + 1 for k, c in enumerate(changes) if c < tolerance), None)
+        ranks, alone = held.select("id", F.col("scores")[last or some].alias("score")), singles[last or some]
+        done += some
+        if last:
             break
-    return ranks.select("id", F.round("score", 6).alias("score"))
+    return ids.join(ranks, "id", "left").select("id", F.round(F.coalesce("score", F.lit(alone)), 6).alias("score"))
 
 
 def numbered_parts(part: DataFrame) -> DataFrame:

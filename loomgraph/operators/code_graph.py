@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.operators.lookup import node_id
+from loomgraph.operators.components import components
+from loomgraph.operators.lookup import limited, node_id
+from loomgraph.operators.strong import shortest_cycles, strong_components
 from loomgraph.operators.traverse import cycles, impact
-from loomgraph.store import GraphStore
+from loomgraph.store import GraphStore, settled
 
 
 def functions_of(store: GraphStore, project: int | str | None) -> DataFrame | None:
@@ -67,6 +69,67 @@ def circular_imports(store: GraphStore, max_depth: int = 10, mode: str = "co_imp
     return cycles(file_links(store, mode), max_depth)
 
 
+def import_links(store: GraphStore, mode: str = "co_import", module_path: Column | None = None) -> DataFrame:
+    """src, dst: the imports as links of files and modules, a row each and never a pair of files. co_import: both ways between a file and
+    what it imports; resolved: from a file to what it imports, and from that to the file that it is. Modules are nodes as
+    -1 - id, so that they differ from all files."""
+    imports = store.edges.where("type = 'IMPORTS_FROM'").select(F.col("source_id").alias("file"), (-1 - F.col("target_id")).alias("module"))
+    if mode == "co_import":
+        ways = F.array(F.struct(F.col("file").alias("src"), F.col("module").alias("dst")), F.struct(F.col("module").alias("src"), F.col("file").alias("dst")))
+        return imports.select(F.inline(ways)).distinct()
+    if mode != "resolved":
+        raise ValueError("mode is co_import or resolved")
+    path = F.concat(F.replace(F.col("name"), F.lit("."), F.lit("/")), F.lit(".py")) if module_path is None else module_path
+    modules = store.nodes.where("label = 'Import'").select((-1 - F.col("id")).alias("src"), path.alias("path"))
+    files = store.nodes.where("label = 'File'").select(F.col("id").alias("dst"), F.col("name").alias("path"))
+    return imports.select(F.col("file").alias("src"), F.col("module").alias("dst")).unionAll(modules.join(files, "path").select("src", "dst")).distinct()
+
+
+def import_components(store: GraphStore, mode: str = "co_import", module_path: Column | None = None) -> DataFrame:
+    """file, component, files: of every file in an import cycle its strong component (the smallest file) and how many files that has.
+    A module that all files import is one node with a link each."""
+    links = import_links(store, mode, module_path)
+    if mode == "co_import":  # both ways, so connected is strongly connected
+        found = components(links.where("src >= 0"), "src", "dst").select("node", "component")
+    else:
+        found = strong_components(links).select("node", "component")
+    files = found.where("node >= 0")
+    by = files.groupBy("component").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("files")).where("files > 1")
+    return files.join(by, "component").select(F.col("node").alias("file"), F.col("least").alias("component"), "files")
+
+
+def import_cycles(store: GraphStore, max_depth: int = 10, mode: str = "resolved", limit: int = 50, module_path: Column | None = None) -> DataFrame:
+    """component, files, cycle: for up to `limit` files, those of the smallest ids of the cycles' components, a shortest cycle of 2 to
+    max_depth files that the file is on. Each cycle is given once, by its smallest such file; components are whole however large."""
+    if not 2 <= max_depth <= 20:
+        raise ValueError("max_depth is 2 to 20")
+    parts = settled(import_components(store, mode, module_path), "import-components")
+    starts = parts.orderBy("component", "file").limit(limited(limit, 1000)).select(F.col("file").alias("node"))
+    links = import_links(store, mode, module_path)
+    mine = parts.select(F.col("file").alias("f"), F.col("component").alias("c"))
+    inside = links.where("src >= 0").join(mine, F.col("src") == F.col("f"), "left_semi")
+    into = links.where("src < 0").join(mine, F.col("dst") == F.col("f"), "left_semi")
+    if mode == "co_import":
+        walks = co_import_cycles(inside, starts)
+    else:  # a step goes from a file over a module to another file
+        walks = shortest_cycles([settled(inside, "imports"), settled(into, "modules")], starts, max_depth)
+    files = walks.select("start", "cycle")
+    once = files.groupBy(F.array_sort("cycle").alias("nodes")).agg(F.min_by("cycle", "start").alias("cycle"), F.min("start").alias("start"))
+    return once.join(parts, F.col("start") == F.col("file")).select("component", "files", "cycle")
+
+
+def co_import_cycles(links: DataFrame, starts: DataFrame) -> DataFrame:
+    """start, cycle: two files that import one module are a cycle; of each start with the smallest other such file. Of a module only its
+    two smallest files are needed."""
+    links = settled(links, "co-imports")
+    small = links.groupBy("dst").agg(F.min("src").alias("one"))
+    second = links.join(small, "dst").where("src != one").groupBy("dst").agg(F.min("src").alias("two"))
+    near = links.join(starts, F.col("src") == F.col("node"), "left_semi").join(small, "dst").join(second, "dst")
+    other = F.when(F.col("src") == F.col("one"), F.col("two")).otherwise(F.col("one"))
+    best = near.groupBy(F.col("src").alias("start")).agg(F.min(other).alias("other"))
+    return best.select("start", F.array("start", "other").alias("cycle"))
+
+
 def code_impact(store: GraphStore, function: int | str, max_depth: int = 3) -> DataFrame:
     """The functions within max_depth calls of the function, either way."""
     at = node_id(store, function)

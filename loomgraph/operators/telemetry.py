@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import uuid
 from collections.abc import Callable
 from typing import TypeVar
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -75,16 +77,23 @@ def health_with_breakers(spans: DataFrame, as_of: dt.datetime, seconds: int = 60
     return joined.withColumn("status", F.when((F.col("status") == "healthy") & (F.size("open_breakers") > 0), "degraded").otherwise(F.col("status")))
 
 
-def emitted(spans: DataFrame | None, spark: SparkSession, tool: str, call: Callable[[], T], trace_id: str, args: str = "", parent_id: str | None = None) -> tuple[T | None, DataFrame]:
+def emitted(spans: DataFrame | None, spark: SparkSession, tool: str, call: Callable[[], T], trace_id: str, args: str = "", parent_id: str | None = None, agent_id: str | None = None, cost_usd: float | None = None) -> tuple[T | None, DataFrame]:
     """Calls an operator and gives its result with the spans and one more: how long it took, what went wrong (None is
-    the result then), personal values and paths taken out."""
-    began, error, result = dt.datetime.now(dt.UTC), None, None
+    the result then; errors of every kind leave a span), personal values and paths taken out. A DataFrame is computed inside the span and comes back
+    as a stored table, so the time is of the work and not of its plan; result_size is its rows."""
+    began, error, result, size = dt.datetime.now(dt.UTC), None, None, None
     try:
         result = call()
-    except ValueError as e:
-        error = str(e)
+        if isinstance(result, DataFrame):
+            result = settled(result, "result")
+            size = result.count()
+    except Exception as e:
+        error, result = str(e) or type(e).__name__, None
     took = (dt.datetime.now(dt.UTC) - began).total_seconds() * 1000
-    row = spark.createDataFrame([(trace_id, uuid.uuid4().hex, parent_id, tool, took, error, args, began)], "trace_id string, span_id string, parent_id string, tool string, duration_ms double, error string, args_summary string, timestamp timestamp")
+    row = spark.createDataFrame(
+        [(trace_id, uuid.uuid4().hex, parent_id, tool, took, error, args, size, began, agent_id, cost_usd)],
+        "trace_id string, span_id string, parent_id string, tool string, duration_ms double, error string, args_summary string, result_size long, timestamp timestamp, agent_id string, cost_usd double",
+    )
     row = row.withColumn("error", F.when(F.col("error").isNotNull(), safe_error(redact_text(F.col("error"))))).withColumn("args_summary", redact_text(F.col("args_summary")))
     return result, row if spans is None else spans.unionByName(row, allowMissingColumns=True)
 
@@ -123,6 +132,61 @@ def replay_tree(spans: DataFrame, trace_id: str) -> DataFrame:
     return up.select("span_id", F.col("up").alias("root"), F.col("depth").cast("int").alias("depth"))
 
 
+def replay_nested(spans: DataFrame, trace_id: str | None = None) -> DataFrame:
+    """trace_id, span_id, root, depth, path, tree of every span of the trace, or of all traces: path leads from the root to the span; tree, of
+    roots only, is JSON of the root with its children in `children`, theirs in theirs, each by time and then id. Fields: span_id,
+    tool, duration_ms, error (where there is one), children. Roots, rings and repeated ids are as in replay_tree. A
+    tree is one value, so a trace is one task's work."""
+    found = spans if trace_id is None else spans.where(F.col("trace_id") == trace_id)
+    found = found.where(F.col("span_id").isNotNull()).groupBy("trace_id", "span_id")
+    columns = ("parent_id", "tool", "duration_ms", "error", "timestamp", "id")
+    first = found.agg(F.min_by(F.struct(*columns), F.struct("timestamp", "id")).alias("s")).select("trace_id", "span_id", *(f"s.{c}" for c in columns))
+    rows = first.select("trace_id", "span_id", "parent_id", "tool", "duration_ms", "error", F.unix_micros(F.col("timestamp").cast("timestamp")).alias("at"), "id")
+    return rows.groupBy("trace_id").applyInPandas(nested, "trace_id string, span_id string, root string, depth int, path array<string>, tree string")
+
+
+def nested(rows: pd.DataFrame) -> pd.DataFrame:
+    """One trace's spans, each with its way from the root; roots with their trees. Loops over stacks: chains may be long."""
+    rows = rows.sort_values(["at", "id", "span_id"], kind="stable", na_position="first")
+    up = {s: p for s, p in zip(rows["span_id"], rows["parent_id"])}
+    parent = {s: p if p in up else None for s, p in up.items()}
+    state: dict[str, int] = {}  # 1: on the way that is being walked, 2: done
+    for s in parent:
+        way = []
+        while s is not None and s not in state:
+            state[s] = 1
+            way.append(s)
+            s = parent[s]
+        if s is not None and state[s] == 1:
+            parent[min(way[way.index(s) :])] = None  # a ring begins at its smallest span
+        state.update(dict.fromkeys(way, 2))
+    children: dict[str | None, list[str]] = {}
+    for s in rows["span_id"]:
+        children.setdefault(parent[s], []).append(s)
+    about = {
+        r.span_id: json.dumps({"span_id": r.span_id, "tool": r.tool, "duration_ms": None if pd.isna(r.duration_ms) else r.duration_ms} | ({"error": r.error} if r.error else {}), ensure_ascii=False)[:-1]
+        for r in rows.itertuples()
+    }
+    out, path = [], []
+    for root in children.get(None, []):
+        text, at = [], len(out)
+        todo: list[tuple[str, int, bool]] = [(root, 0, True)]
+        while todo:
+            s, depth, enter = todo.pop()
+            if not enter:
+                text.append("]}")
+                continue
+            if depth and text[-1] != "[":
+                text.append(", ")
+            text += [about[s], ', "children": ', "["]
+            path = [*path[:depth], s]
+            out.append([rows["trace_id"].iloc[0], s, root, depth, list(path), None])
+            todo.append((s, depth, False))
+            todo += [(c, depth + 1, True) for c in reversed(children.get(s, []))]
+        out[at][-1] = "".join(text)
+    return pd.DataFrame(out, columns=["trace_id", "span_id", "root", "depth", "path", "tree"])
+
+
 def climbed(up: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
     """span_id, up, depth, least after the pointers doubled their reach until none moved, for so many rounds at most; and
     the rows that still moved. least: the smallest span on the way up, the span itself not counted."""

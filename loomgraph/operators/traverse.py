@@ -72,6 +72,8 @@ def hops(store: GraphStore, source: int | str, max_hops: int = 10) -> DataFrame:
 def simple_paths(store: GraphStore, source: int | str, target: int | str, max_paths: int | None = 3, max_hops: int = 8) -> DataFrame:
     """hops, path: undirected paths that visit no node twice, the shortest first, then by their ids; max_paths None:
     all. A path is only grown where the target still is within the hops left."""
+    if max_paths is not None:
+        return first_paths(store, source, target, limited(max_paths, 10), max_hops)
     a, b, most = node_id(store, source), node_id(store, target), limited(max_hops, 15)
     walk = settled(steps(store.edges), "steps")
     left = layers(walk, single(store, b), most).select(F.col("id").alias("dst"), F.col("depth").alias("left"))
@@ -90,8 +92,48 @@ def simple_paths(store: GraphStore, source: int | str, target: int | str, max_pa
     every = done[0]
     for d in done[1:]:
         every = every.unionAll(d)
-    every = every.select((F.size("path") - 1).alias("hops"), "path")
-    return every if max_paths is None else every.orderBy("hops", "path").limit(limited(max_paths, 10))
+    return every.select((F.size("path") - 1).alias("hops"), "path")
+
+
+def first_paths(store: GraphStore, source: int | str, target: int | str, k: int = 3, max_hops: int = 8, chunk: int = 10_000) -> DataFrame:
+    """hops, path: the first k of simple_paths, without growing all of them.
+
+    How far each node is from the target comes first; a path goes only where the target still is within the hops left. Lengths are
+    taken one by one from the shortest on. Of one length, paths grow in the order of their ids: the first `chunk` beginnings of a
+    length are grown to their ends before the others, which wait in their tables, as all that comes of an earlier beginning
+    comes earlier. It ends with the k-th path, so nothing is left out, and no table has more than chunk times a node's steps.
+    """
+    a, b, most = node_id(store, source), node_id(store, target), limited(max_hops, 15)
+    spark = store.nodes.sparkSession
+    schema = "hops int, path array<long>"
+    if a == b:
+        return spark.createDataFrame([(0, [a])], schema)
+    walk = settled(steps(store.edges), "steps")
+    left = settled(layers(walk, single(store, b), most).select(F.col("id").alias("dst"), F.col("depth").alias("left")), "left")
+    walk = settled(walk.join(left, "dst"), "steps")
+    nearest = left.where(F.col("dst") == a).select("left").first()
+    found: list[list[int]] = []
+    for length in range(nearest["left"], most + 1) if nearest else ():
+        waiting = [(0, single(store, a).select(F.array("id").alias("path")))]
+        while waiting and len(found) < k:
+            depth, paths = waiting.pop()
+            begun = paths.orderBy("path").limit(chunk + 1).agg(F.count(F.lit(1)).alias("n"), F.max("path").alias("last")).first()
+            if begun["n"] > chunk:
+                edge = F.lit(begun["last"])
+                waiting.append((depth, paths.where(F.col("path") >= edge)))
+                paths = paths.where(F.col("path") < edge)
+            grown = paths.select("path", F.element_at("path", -1).alias("src")).join(walk, "src")
+            grown = grown.where(~F.array_contains("path", F.col("dst")) & (F.col("left") <= length - depth - 1))
+            if depth + 1 == length:
+                ends = grown.where(F.col("dst") == b).select(F.concat("path", F.array("dst")).alias("path")).orderBy("path").limit(k - len(found))
+                found += [r["path"] for r in ends.collect()]  # at most k
+                continue
+            grown = settled(grown.where(F.col("dst") != b).select(F.concat("path", F.array("dst")).alias("path")), "paths")
+            if not grown.isEmpty():
+                waiting.append((depth + 1, grown))
+        if len(found) == k:
+            break
+    return spark.createDataFrame([(len(p) - 1, p) for p in found], schema)
 
 
 def cycles(walk: DataFrame, max_depth: int = 10) -> DataFrame:

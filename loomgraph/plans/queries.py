@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import html_escape, normalize_name, redact_text, tokens
-from loomgraph.operators import centrality, code_graph, export, lookup, mutate, telemetry, traverse
+from loomgraph.operators import centrality, code_graph, export, fulltext, lookup, mutate, strong, telemetry, traverse
 from loomgraph.plans import gate
+from loomgraph.snapshots import Snapshots
 from loomgraph.sources import projection
 from loomgraph.sources.projection import table
-from loomgraph.store import GraphStore
+from loomgraph.store import GraphStore, scratch
 from loomgraph.streaming.spans import breaker
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,7 +45,7 @@ NODES = " UNION ALL ".join(
         node_sql(100_000_000, "o_orderkey", "Deal", "'order ' || o_orderkey", "orders", "orders"),
     ]
 )
-SELLS = f"(SELECT DISTINCT l_suppkey AS s, {BRAND} AS b FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 49 AND l_discount >= 0.1)"
+SELLS = f"(SELECT DISTINCT l_suppkey AS s, {BRAND} AS b FROM lineitem JOIN part ON l_partkey = p_partkey)"
 EDGES = " UNION ALL ".join(
     [
         edge_sql("1000000000000 + n_nationkey", "1000 + n_nationkey", "1 + n_regionkey", "part_of", "n_nationkey", "nation"),
@@ -139,6 +140,49 @@ register(
     "SELECT doc_id AS id FROM documents WHERE list_has_all(string_split_regex(strip_accents(lower(text)), '[^\\p{L}\\p{N}]+'), ['und', 'der'])",
 )
 
+# the stored index: built in the folder of checkpoints, as a query leaves nothing else behind
+_words = "string_split_regex(lower(name || ' ' || qualified_name || ' ' || properties), '[^a-z0-9]+')"
+
+
+@query(with_core(f"SELECT id, label, name FROM nodes WHERE list_has_all({_words}, ['red', 'widget'])"))
+def fts_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = core(spark, sf_dir)
+    return fulltext.search(fulltext.index_nodes(store, scratch(spark, "fts")), store, "red widget", None, None).select("id", "label", "name")
+
+
+@query("SELECT doc_id AS id FROM documents WHERE list_has_all(string_split_regex(strip_accents(lower(text)), '[^\\p{L}\\p{N}]+'), ['und', 'der'])")
+def fts_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fulltext.index_documents(table(spark, sf_dir, "documents"), scratch(spark, "fts")).matches("der und")
+
+
+@query(
+    with_core(
+        """SELECT 100000 + s_suppkey AS id, s_name AS name FROM supplier WHERE 100000 + s_suppkey NOT BETWEEN 100000 AND 100010 AND list_contains(string_split_regex(lower(s_name), '[^a-z0-9]+'), 'supplier')
+        UNION ALL SELECT (SELECT max(id) FROM nodes) + k, s_name FROM (SELECT s_name, row_number() OVER (ORDER BY s_suppkey) AS k FROM supplier) WHERE list_contains(string_split_regex(lower(s_name), '[^a-z0-9]+'), 'supplier')"""
+    )
+)
+def fts_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers' contacts are added, suppliers get a property, some are deleted; the index follows each change."""
+    store = core(spark, sf_dir)
+    index = fulltext.index_nodes(store, scratch(spark, "fts"))
+    s = table(spark, sf_dir, "supplier")
+    store, result = mutate.add_nodes(store, s.select(F.col("s_suppkey").alias("nth"), F.lit("Contact").alias("label"), F.col("s_name").alias("name")), _stamp, most=None)
+    index = fulltext.follow(index, store, result)
+    moved = s.select(F.col("s_suppkey").alias("nth"), F.lit("Company").alias("label"), F.col("s_name").alias("name"), F.lit('{"state":"moved"}').alias("properties"))
+    store, result = mutate.upsert_nodes(store, moved, _stamp)
+    index = fulltext.follow(index, store, result)
+    store, result = mutate.delete_nodes(store, spark.range(100_000, 100_011), _stamp)
+    index = fulltext.follow(index, store, result)
+    hits = fulltext.search(index, store, "supplier moved", None, None).unionAll(fulltext.search(index, store, "supplier", "Contact", None))
+    return hits.select("id", "name")
+
+
+register(
+    "sql_fts",
+    lambda s, d: gate.query(core(s, d), "SELECT f.rowid AS id, n.label AS label FROM nodes_fts f JOIN nodes n ON f.rowid = n.id WHERE nodes_fts MATCH 'red widget' AND n.provenance <> 'AMBIGUOUS' ORDER BY id LIMIT 10000", 10_000),
+    with_core(f"SELECT id, label FROM nodes WHERE list_has_all({_words}, ['red', 'widget']) AND provenance <> 'AMBIGUOUS'"),
+)
+
 # nodes and their surroundings
 _node_edges = "SELECT e.id, e.type, e.weight, e.provenance, n.id AS neighbor_id, n.label AS neighbor_label, n.name AS neighbor_name FROM edges e JOIN nodes n ON n.id = e.{} WHERE e.{} = {}"
 register("get_node_out", lambda s, d: lookup.node_edges(core(s, d), SUPPLIER, "out"), with_core(_node_edges.format("target_id", "source_id", SUPPLIER)))
@@ -227,7 +271,7 @@ register("export_edges", lambda s, d: core(s, d).edges.select("id", "source_id",
 _gated = {
     "sql_groupby": "SELECT label, count(*) AS n, min(id) AS least FROM nodes GROUP BY label HAVING count(*) > 5 ORDER BY n DESC LIMIT 100",
     "sql_join": "SELECT n.name AS nation, count(*) AS n FROM edges e JOIN nodes n ON e.target_id = n.id WHERE e.type = 'belongs_to' GROUP BY n.name ORDER BY nation LIMIT 100",
-    "sql_except": "SELECT id FROM nodes WHERE label = 'Product' EXCEPT SELECT target_id FROM edges WHERE type = 'about' AND weight > 20",
+    "sql_except": "SELECT id FROM nodes WHERE label = 'Product' EXCEPT SELECT target_id FROM edges WHERE type = 'about' AND weight >= 50",
     "sql_window": "SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY id DESC) AS nth FROM nodes WHERE label IN ('Company', 'Tag') ORDER BY id LIMIT 10000",
 }
 _gated |= {
@@ -235,8 +279,23 @@ _gated |= {
     "sql_full_join": "SELECT e.type AS type, n.label AS label, count(*) AS n FROM edges e FULL JOIN nodes n ON e.target_id = n.id AND e.type = 'about' GROUP BY e.type, n.label ORDER BY type, label LIMIT 1000",
     "sql_intersect": "SELECT target_id AS id FROM edges WHERE type = 'part_of' INTERSECT SELECT id FROM nodes WHERE provenance <> 'AMBIGUOUS' ORDER BY id LIMIT 1000",
 }
+_gated |= {
+    "sql_between": "SELECT id, name FROM nodes WHERE id BETWEEN 100001 AND 100050 OR name = 'Exists list# BETWEEN' ORDER BY id LIMIT 1000",
+    "sql_like": "SELECT id, name FROM nodes WHERE label = 'Product' AND name LIKE 'RED%' ORDER BY id LIMIT 10000",
+    "sql_json": "SELECT json_extract(properties, '$.mktsegment') AS segment, count(*) AS n FROM nodes WHERE label = 'Customer' GROUP BY 1 ORDER BY 1 LIMIT 1000",
+    "sql_group_concat": "SELECT label, group_concat(DISTINCT provenance) AS kinds FROM nodes WHERE label IN ('Organization', 'Department') GROUP BY label ORDER BY label LIMIT 100",
+    "sql_time": "SELECT strftime('%Y-%m', datetime('2024-03-31 10:00:00', '-1 month')) AS month, extract(YEAR FROM DATE '2024-05-01') AS year, count(*) AS n FROM nodes GROUP BY 1, 2 LIMIT 10",
+    "sql_offset": "SELECT id FROM nodes WHERE provenance = 'AMBIGUOUS' ORDER BY id DESC LIMIT 40 OFFSET 13",
+}
+#: The same in DuckDB's words.
+_in_duckdb = {
+    "sql_like": lambda t: t.replace("LIKE", "ILIKE"),
+    "sql_json": lambda t: t.replace("json_extract(", "json_extract_string("),
+    "sql_group_concat": lambda t: t.replace("DISTINCT provenance)", "DISTINCT provenance, ',' ORDER BY provenance)"),
+    "sql_time": lambda t: t.replace("strftime('%Y-%m', datetime('2024-03-31 10:00:00', '-1 month'))", "strftime(TIMESTAMP '2024-03-31 10:00:00' - INTERVAL 1 MONTH, '%Y-%m')").replace("extract(YEAR FROM DATE '2024-05-01')", "CAST(extract(YEAR FROM DATE '2024-05-01') AS INTEGER)"),
+}
 for _name, _text in _gated.items():
-    register(_name, lambda s, d, t=_text: gate.query(core(s, d), t, 10_000), with_core(_text.replace("row_number()", "CAST(row_number()").replace("DESC) AS nth", "DESC) AS INTEGER) AS nth") if "row_number" in _text else _text))
+    register(_name, lambda s, d, t=_text: gate.query(core(s, d), t, 10_000), with_core(_in_duckdb[_name](_text)) if _name in _in_duckdb else with_core(_text.replace("row_number()", "CAST(row_number()").replace("DESC) AS nth", "DESC) AS INTEGER) AS nth") if "row_number" in _text else _text))
 
 # centrality and communities
 _near = "near AS (SELECT a AS id, count(*) AS k FROM (SELECT source_id AS a, target_id AS b FROM edges UNION SELECT target_id, source_id FROM edges) GROUP BY 1)"
@@ -284,6 +343,8 @@ register(
     lambda s, d: centrality.community_sizes(centrality.connected_components(_about(s, d))),
     f"WITH RECURSIVE all_core AS (SELECT 1), nodes AS (SELECT * FROM ({NODES}) WHERE label IN ('Company', 'Tag')), edges AS (SELECT * FROM ({EDGES}) WHERE type = 'related_to'), {STEPS}, {_parts}, {_numbered} SELECT community_id, count(*) AS size FROM parts GROUP BY 1",
 )
+register("closeness_core", lambda s, d: centrality.closeness(core(s, d)))
+register("betweenness_core", lambda s, d: centrality.betweenness(core(s, d)))
 register("louvain", lambda s, d: centrality.louvain(hub(s, d), strict=True))
 
 
@@ -330,6 +391,15 @@ register(
     f"""WITH RECURSIVE {SPANS}, mine AS (SELECT * FROM spans WHERE trace_id = '7'), tree AS (SELECT span_id, span_id AS root, 0 AS depth FROM mine WHERE parent_id IS NULL OR parent_id NOT IN (SELECT span_id FROM mine)
         UNION ALL SELECT m.span_id, t.root, t.depth + 1 FROM mine m JOIN tree t ON m.parent_id = t.span_id) SELECT span_id, root, depth FROM tree""",
 )
+register(
+    "replay_paths",
+    lambda s, d: telemetry.replay_nested(spans(s, d)).select("trace_id", "span_id", "root", "depth", F.array_join("path", ">").alias("path"), F.length("tree").alias("tree_chars")),
+    f"""WITH RECURSIVE {SPANS}, tree AS (SELECT trace_id, span_id, span_id AS root, 0 AS depth, span_id AS path FROM spans WHERE parent_id IS NULL
+            UNION ALL SELECT m.trace_id, m.span_id, t.root, t.depth + 1, t.path || '>' || m.span_id FROM spans m JOIN tree t ON m.trace_id = t.trace_id AND m.parent_id = t.span_id),
+        -- a chain of n spans: each has its fields, a list of one child and the brackets
+        sizes AS (SELECT trace_id, CAST(sum(length('{{"span_id": "' || span_id || '", "tool": "' || tool || '", "duration_ms": ' || replace(CAST(duration_ms AS VARCHAR), 'e', 'e') || CASE WHEN error <> '' THEN ', "error": ' || to_json(error) ELSE '' END || ', "children": []}}')) AS INTEGER) AS n FROM spans GROUP BY trace_id)
+        SELECT trace_id, span_id, root, depth, path, CASE WHEN depth = 0 THEN n END AS tree_chars FROM tree JOIN sizes USING (trace_id)""",
+)
 register(
     "circuit_breaker",
     lambda s, d: breaker(spans(s, d)).select("tool", "span_id", "failed", "blocked", "errors"),
@@ -393,6 +463,33 @@ register(
     f"WITH sells AS (FROM {SELLS}) SELECT DISTINCT 100000 + x.s AS a, 100000 + y.s AS b FROM sells x JOIN sells y ON x.b = y.b AND x.s < y.s",
 )
 
+register(
+    "import_components",
+    lambda s, d: code_graph.import_components(projection.code(s, d)),
+    f"""WITH RECURSIVE sells AS (FROM {SELLS}), steps AS (SELECT 100000 + s AS a, -1 - b AS b FROM sells UNION SELECT -1 - b, 100000 + s FROM sells),
+        reach(id, least) USING KEY (id) AS (SELECT DISTINCT a, CASE WHEN a < 0 THEN 1000000000 + a ELSE a END FROM steps UNION SELECT b, min(r.least) FROM reach r JOIN steps ON a = r.id JOIN recurring.reach k ON k.id = b WHERE r.least < k.least GROUP BY b)
+        SELECT id AS file, min(id) OVER (PARTITION BY least) AS component, count(*) OVER (PARTITION BY least) AS files FROM reach WHERE id >= 0 QUALIFY files > 1""",
+)
+register(
+    "import_cycles",
+    lambda s, d: code_graph.import_cycles(projection.code(s, d), 10, "co_import").select("component", "files", F.col("cycle")[0].alias("a"), F.col("cycle")[1].alias("b")),
+    f"""WITH RECURSIVE sells AS (FROM {SELLS}), steps AS (SELECT 100000 + s AS a, -1 - b AS b FROM sells UNION SELECT -1 - b, 100000 + s FROM sells),
+        reach(id, least) USING KEY (id) AS (SELECT DISTINCT a, CASE WHEN a < 0 THEN 1000000000 + a ELSE a END FROM steps UNION SELECT b, min(r.least) FROM reach r JOIN steps ON a = r.id JOIN recurring.reach k ON k.id = b WHERE r.least < k.least GROUP BY b),
+        parts AS (SELECT id AS file, min(id) OVER (PARTITION BY least) AS component, count(*) OVER (PARTITION BY least) AS files FROM reach WHERE id >= 0 QUALIFY files > 1),
+        starts AS (SELECT * FROM parts ORDER BY component, file LIMIT 50),
+        near AS (SELECT p.component, p.files, p.file AS a, min(100000 + y.s) AS b FROM starts p JOIN sells x ON 100000 + x.s = p.file JOIN sells y ON y.b = x.b AND y.s <> x.s GROUP BY ALL)
+        SELECT any_value(component) AS component, any_value(files) AS files, min(a) AS a, arg_min(b, a) AS b FROM near GROUP BY least(a, b), greatest(a, b)""",
+)
+register(
+    "call_components",
+    lambda s, d: strong.strong_components(projection.code(s, d).edges.where("type = 'CALLS_FUNC'"), "source_id", "target_id"),
+    f"""WITH RECURSIVE {CODE_CALLS}, reach(a, b) USING KEY (a, b) AS (SELECT source_id, target_id FROM calls UNION
+            SELECT DISTINCT r.a, c.target_id FROM reach r JOIN calls c ON c.source_id = r.b LEFT JOIN recurring.reach k ON k.a = r.a AND k.b = c.target_id WHERE k.a IS NULL),
+        both AS (SELECT x.a, x.b FROM reach x JOIN reach y ON y.a = x.b AND y.b = x.a),
+        parts AS (SELECT a AS node, least(a, min(b)) AS component, count(*) FILTER (b <> a) + 1 AS size FROM both GROUP BY a)
+        SELECT node, component, size FROM parts WHERE size > 1""",
+)
+
 # viewer
 register(
     "vis_nodes",
@@ -448,6 +545,19 @@ def delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.project_stats(new).select("nodes", "edges")
 
 
+@query(with_core("SELECT id, label, name, CASE WHEN label = 'Company' THEN 'INFERRED' ELSE provenance END AS provenance FROM nodes WHERE id NOT BETWEEN 100000 AND 100010"))
+def snapshot_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph saved, suppliers merged into the files that hold them, some deleted, and the last version read."""
+    store = core(spark, sf_dir)
+    snaps = Snapshots(spark, scratch(spark, "snapshots"))
+    version = snaps.save(store)
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("nth"), F.lit("Company").alias("label"), F.col("s_name").alias("name"), F.lit("INFERRED").alias("provenance"))
+    store, result = mutate.upsert_nodes(snaps.load(version), s, _stamp)
+    version = snaps.merge_nodes(version, store, result)
+    store, result = mutate.delete_nodes(snaps.load(version), spark.range(100_000, 100_011), _stamp)
+    return snaps.load(snaps.merge_deleted(version, store, result)).nodes.select("id", "label", "name", "provenance")
+
+
 @query("SELECT CAST(100000 + s_suppkey AS BIGINT) AS node_id, CAST(s_nationkey AS BIGINT) AS community_id, 'manual' AS algorithm FROM supplier WHERE s_suppkey > 0")
 def set_community(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier").where("s_suppkey > 0")

@@ -5,10 +5,12 @@ from __future__ import annotations
 import ast
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from loomgraph.operators.mutate import add_edges, add_nodes
+from loomgraph.sources.files import below
 from loomgraph.store import GraphStore, settled
 
 FACTS = "path string, kind string, name string, owner string, line int, names array<string>"
@@ -54,32 +56,49 @@ class Facts(ast.NodeVisitor):
 def source_files(spark: SparkSession, root: str, exclude: tuple[str, ...] = ("__pycache__", ".git", "node_modules", ".venv")) -> DataFrame:
     """path (below root), text of every .py file."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.py").format("binaryFile").load(root)
-    path = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^" + root.rstrip("/") + "/", "")
+    path = below(root)
     files = files.select(path.alias("path"), F.col("content"))
     for part in exclude:
         files = files.where(~F.concat(F.lit("/"), "path").contains(f"/{part}/"))
     return files
 
 
+def facts_of(path: str, content: bytes) -> list[tuple]:
+    """The facts of a file, first that it is there; one that is no Python gives a row of kind `unparsed`."""
+    facts = Facts()
+    try:
+        facts.visit(ast.parse((content or b"").decode("utf-8", "replace")))
+    except (SyntaxError, ValueError, RecursionError):
+        facts.rows = [("unparsed", path, None, 0, [])]
+    return [(path, "file", path, None, 0, []), *((path, *r) for r in facts.rows)]
+
+
 def parse(files: DataFrame) -> DataFrame:
-    """The facts of every file; one that is no Python gives a row of kind `unparsed`."""
+    """The facts of every file (path, content)."""
 
     def work(frames):
         for pdf in frames:
-            rows = []
-            for path, content in zip(pdf.path, pdf.content):
-                rows.append((path, "file", path, None, 0, []))
-                facts = Facts()
-                try:
-                    facts.visit(ast.parse(content.decode("utf-8", "replace")))
-                except (SyntaxError, ValueError):
-                    facts.rows = [("unparsed", path, None, 0, [])]
-                rows.extend((path, *r) for r in facts.rows)
+            rows = [r for path, content in zip(pdf.path, pdf.content) for r in facts_of(path, content)]
             yield pd.DataFrame(rows, columns=["path", "kind", "name", "owner", "line", "names"])
 
     return files.mapInPandas(work, FACTS)
 
 
+class ParsePython:
+    """A table function: the facts of the file that its arguments, or a row of its table argument, give as path and content."""
+
+    def eval(self, path, content=None):
+        if isinstance(path, Row):
+            path, content = path["path"], path["content"]
+        yield from facts_of(path, bytes(content or b""))
+
+
+def register_parse(spark: SparkSession, name: str = "parse_python") -> None:
+    """parse_python for the session's SQL: `FROM files, LATERAL parse_python(path, content)` beside each file's columns, or
+    `FROM parse_python(TABLE(files) PARTITION BY path)`, which deals the files out by their paths first."""
+    spark.udtf.register(name, udtf(ParsePython, returnType=FACTS))
+
+
 def scan(store: GraphStore, root: str, project: str, max_files: int | None = None) -> tuple[GraphStore, DataFrame]:
     """The store with the tree's project, files, functions, classes and imports and their edges; and the facts. What the
     graph has stays as it is. A call is an edge to the functions of its name, in the same file if it defines

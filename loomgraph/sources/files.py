@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The label of a file by the ending of its name.
 LABEL_OF = {"py": "Module", "sql": "Module", "sh": "Module", "md": "Document", "txt": "Document", "json": "Config", "yml": "Config", "yaml": "Config", "toml": "Config", "html": "File", "csv": "File"}
 
 
+def below(root: str) -> Column:
+    """The column path of a file without its scheme and the folder root, which is text and no pattern."""
+    whole = F.regexp_replace("path", "^[a-z]+:/*", "/")
+    first = re.sub("^[a-z]+:/*", "/", root).rstrip("/") + "/"
+    return F.when(whole.startswith(first), F.substring(whole, len(first) + 1, 1 << 20)).otherwise(whole)
+
+
 def tree(spark: SparkSession, root: str, project: str, max_depth: int = 3, ignore: tuple[str, ...] = (".git", "__pycache__", "node_modules")) -> tuple[DataFrame, DataFrame]:
     """Items for add_nodes and add_edges: project, folders and files down to max_depth, with sizes and line counts."""
     files = spark.read.option("recursiveFileLookup", True).format("binaryFile").load(root)
-    path = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^" + root.rstrip("/") + "/", "")
+    path = below(root)
     lines = F.length(F.regexp_replace(F.decode(F.col("content"), "ISO-8859-1"), "[^\n]", ""))
     files = files.select(path.alias("path"), F.col("length").alias("size"), lines.alias("lines"))
     for part in ignore:

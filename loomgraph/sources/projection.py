@@ -64,8 +64,8 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, big = F.col, 10**12
     lines = table(spark, sf_dir, "lineitem")
     about = lines.groupBy("l_orderkey", "l_partkey").agg(F.sum("l_quantity").alias("weight"))
-    # of the brands the distinct pairs with a supplier are few; the parts are joined to the filtered lines
-    sells = lines.where("l_quantity >= 49 and l_discount >= 0.1").join(table(spark, sf_dir, "part"), c("l_partkey") == c("p_partkey"))
+    # a supplier sells few brands, so pairs are made distinct before the parts are joined and once more after
+    sells = lines.select("l_suppkey", "l_partkey").distinct().join(table(spark, sf_dir, "part"), c("l_partkey") == c("p_partkey"))
     sells = sells.select("l_suppkey", brand_number(c("p_brand")).alias("brand")).distinct()
     return (
         kind(table(spark, sf_dir, "nation"), c("n_nationkey") + big, 1000 + c("n_nationkey"), 1 + c("n_regionkey"), "part_of", c("n_nationkey"))

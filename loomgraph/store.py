@@ -50,19 +50,35 @@ class GraphStore:
         return cls.of(spark, **{name: spark.read.schema(schema).parquet(f"{path}/version={version}/{name}") for name, schema in TABLES.items()})
 
 
-def settled(df: DataFrame, name: str = "round") -> DataFrame:
-    """df as a table in the folder that spark.checkpoint.dir names, read back: the lineage of a loop's rounds ends there,
-    and no executor's loss undoes them. It goes when the session ends. Where the setting is unset, one machine
-    uses its temporary folder; on a cluster that is an error."""
-    spark = df.sparkSession
+def shared_place(spark: SparkSession, name: str) -> str:
+    """A path of its own in the folder that spark.checkpoint.dir names. Where the setting is unset, one machine uses its temporary
+    folder; on a cluster that is an error."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         folder = os.path.join(tempfile.gettempdir(), "checkpoints")
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def until_the_end(spark: SparkSession, path: str) -> str:
+    """Marks a folder that is there to go when the session ends."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(schema).parquet(path)
+    return path
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new empty folder that all machines share, until the session ends."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(shared_place(spark, name))
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(place)
+    return until_the_end(spark, place.toString())
+
+
+def settled(df: DataFrame, name: str = "round") -> DataFrame:
+    """df as a table in a shared folder of its own, read back: the lineage of a loop's rounds ends there, and no executor's loss undoes them.
+    It goes when the session ends."""
+    spark, schema = df.sparkSession, df.schema
+    path = shared_place(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(schema).parquet(until_the_end(spark, path))
