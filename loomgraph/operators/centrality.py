@@ -200,6 +200,9 @@ def pagerank(store: GraphStore, damping: float = 0.85, rounds: int = 100, tolera
     n = max(1, ids.count())
     linked = settled(walk.select(F.col("src").alias("id")).distinct().join(ids, "id", "left_semi"), "linked")
     loose = ids.count() - linked.count()
+    # a step of each node to itself hands on the scores of the rounds before, so a round reads the last one once
+    own = linked.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(None).cast("long").alias("out"))
+    walk = settled(walk.select("src", "dst", "out").unionAll(own), "walk")
     alone = 1 / n
     ranks = linked.select("id", F.lit(1 / n).alias("score"))
     done = 0
@@ -210,9 +213,10 @@ def pagerank(store: GraphStore, damping: float = 0.85, rounds: int = 100, tolera
             base = (1 - damping) / n + damping * loose * singles[-1] / n
             # base is what a node without neighbours gets, and all others at least
             singles.append(base)
-            given = walk.join(held.select(F.col("id").alias("src"), F.element_at("scores", -1).alias("score")), "src")
-            given = given.select(F.col("dst").alias("id"), (F.col("score") / F.col("out")).alias("part"), F.lit(None).cast("array<double>").alias("scores"))
-            both = given.unionAll(held.select("id", F.lit(0.0), "scores")).groupBy("id").agg(F.sum("part").alias("given"), F.first("scores", ignorenulls=True).alias("scores"))
+            handed = walk.join(held.select(F.col("id").alias("src"), "scores"), "src")
+            part = F.coalesce(F.element_at("scores", -1) / F.col("out"), F.lit(0.0))
+            handed = handed.select(F.col("dst").alias("id"), part.alias("part"), F.when(F.col("out").isNull(), F.col("scores")).alias("scores"))
+            both = handed.groupBy("id").agg(F.sum("part").alias("given"), F.first("scores", ignorenulls=True).alias("scores"))
             held = both.select("id", F.concat("scores", F.array(F.lit(base) + damping * F.col("given"))).alias("scores"))
         held = settled(held, "ranks")
         changes = held.agg(*(F.coalesce(F.sum(F.abs(F.col("scores")[k + 1] - F.col("scores")[k])), F.lit(0.0)).alias(str(k)) for k in range(some))).first()

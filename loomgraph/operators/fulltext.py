@@ -14,7 +14,7 @@ from loomgraph.operators.lookup import limited
 from loomgraph.store import GraphStore
 
 #: Ids of a block share all bits but the last so many; parts of the vocabulary, a folder each.
-BLOCK_BITS, SHARDS = 12, 64
+BLOCK_BITS, SHARDS = 12, 16
 #: Blocks of the rarest term whose numbers go into the scan's filter; of more only their least and largest.
 NAMED_BLOCKS = 512
 #: Segments that a search reads at most; with one more, an update merges them.
