@@ -86,7 +86,7 @@ def test_near_large_groups(spark, monkeypatch):
     expected = linked(rows, 85)
     assert {tuple(r) for r in near_groups(frame(spark, rows), percent=85).collect()} == expected
     monkeypatch.setattr(near_dedup, "SMALL", 3)
-    monkeypatch.setattr(near_dedup, "GROUP", 12)  # buckets are split by further bands
+    monkeypatch.setattr(near_dedup, "GROUP", 12)  # larger buckets are compared with their hubs
     assert {tuple(r) for r in near_groups(frame(spark, rows), percent=85).collect()} == expected
 
 
