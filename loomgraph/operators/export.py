@@ -17,7 +17,7 @@ from loomgraph.operators.lookup import counts_by, cross_label_edges, degrees, to
 from loomgraph.schema import LABELS
 from loomgraph.store import GraphStore
 
-PAGE_NODES = 5000
+PAGE_NODES, PAGE_EDGES = 5000, 50_000
 #: A hue for each label, far from its neighbours' hues, in three shades.
 COLORS = {label: f"hsl({k * 137 % 360}, 55%, {40 + k % 3 * 12}%)" for k, label in enumerate(LABELS)}
 # The shape and dashes of each provenance.
@@ -35,19 +35,24 @@ def export_json(store: GraphStore) -> tuple[DataFrame, DataFrame]:
 
 
 def vis_nodes(store: GraphStore) -> DataFrame:
-    """id, label, name, color, shape, size (15 and up to 25 more by the logarithm of the degree), degree, tooltip."""
+    """id, label, name, color, shape, size (15 and up to 25 more by the logarithm of the degree), degree, tooltip: label, name, provenance,
+    source, communities by algorithm, degree and properties, personal ones redacted; all as HTML text."""
     degree = degrees(store.edges)
     most = degree.agg(F.coalesce(F.max("degree"), F.lit(0)).alias("most"))
     n = store.nodes.join(degree, "id", "left").join(F.broadcast(most)).withColumn("degree", F.coalesce("degree", F.lit(0)))
     size = F.round(15 + 25 * F.ln(F.col("degree") + 1.0) / F.greatest(F.ln(F.col("most") + 1.0), F.lit(1e-9)), 1)
-    tip = F.concat_ws("\n", html_escape(F.concat_ws(": ", "label", "name")), html_escape(F.coalesce(redact_properties(F.col("properties")), F.lit(""))))
+    groups = store.communities.groupBy("node_id").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(" ", "algorithm", "community_id"))), ", ").alias("groups"))  # one an algorithm
+    n = n.join(groups, F.col("id") == F.col("node_id"), "left")
+    about = [(word, F.col(c)) for word, c in (("provenance", "provenance"), ("source", "source"), ("community", "groups"), ("degree", "degree"))]
+    lines = [F.concat_ws(": ", "label", "name"), *(F.when(c.isNotNull(), F.concat(F.lit(f"{word} "), c.cast("string"))) for word, c in about), F.coalesce(redact_properties(F.col("properties")), F.lit(""))]
+    tip = F.concat_ws("\n", *(html_escape(x) for x in lines))
     return n.select("id", "label", "name", lookup(COLORS, "label", "hsl(0, 0%, 60%)").alias("color"), lookup(SHAPES, "provenance", "dot").alias("shape"), size.alias("size"), "degree", tip.alias("tooltip"))
 
 
-def vis_edges(store: GraphStore) -> DataFrame:
-    """id, source_id, target_id, type, dashes, width (the weight, 1 to 4)."""
+def vis_edges(store: GraphStore, *more: str) -> DataFrame:
+    """id, source_id, target_id, type, dashes, width (the weight, 1 to 4), and more columns of the edges."""
     width = F.least(F.lit(4.0), F.greatest(F.lit(1.0), F.col("weight")))
-    return store.edges.select("id", "source_id", "target_id", "type", lookup(DASHES, "provenance", "false").alias("dashes"), width.alias("width"))
+    return store.edges.select("id", "source_id", "target_id", "type", lookup(DASHES, "provenance", "false").alias("dashes"), width.alias("width"), *more)
 
 
 def density(store: GraphStore) -> DataFrame:
@@ -109,23 +114,25 @@ function draw() {{
 for (const x of ["find", "label", "by", "layout", "provenance"]) el(x).addEventListener("input", draw);
 el("view").addEventListener("click", m => {{
   const near = data.nodes.reduce((a, n) => Math.hypot(n.x - m.offsetX, n.y - m.offsetY) < Math.hypot(a.x - m.offsetX, a.y - m.offsetY) ? n : a);
-  el("detail").textContent = near.label + ": " + near.name + ", degree " + near.degree;
+  el("detail").textContent = new DOMParser().parseFromString(near.tooltip, "text/html").documentElement.textContent;
 }});
 draw();
 </script></body></html>
 """
 
 
-def page(store: GraphStore, title: str = "Graph", most: int = PAGE_NODES) -> str:
-    """The graph as one HTML file without anything from outside; more than most nodes are refused."""
+def page(store: GraphStore, title: str = "Graph", most: int = PAGE_NODES, most_edges: int = PAGE_EDGES) -> str:
+    """The graph as one HTML file without anything from outside; more than most nodes or most_edges edges are refused."""
     import secrets
 
     totals = density(store).first()
     if totals["nodes"] > most:
         raise ValueError(f"a page shows {most} nodes at most; filter the graph first")
+    if totals["edges"] > most_edges:
+        raise ValueError(f"a page shows {most_edges} edges at most; filter the graph first")
     one = store.communities.withColumn("nth", F.row_number().over(Window.partitionBy("node_id").orderBy("algorithm"))).where("nth = 1")
     nodes = vis_nodes(store).join(one.select(F.col("node_id").alias("id"), F.col("community_id").alias("community")), "id", "left")
-    data = {"nodes": [json.loads(x) for x in nodes.toJSON().collect()], "edges": [json.loads(x) for x in vis_edges(store).join(store.edges.select("id", "provenance"), "id").toJSON().collect()]}
+    data = {"nodes": [json.loads(x) for x in nodes.toJSON().collect()], "edges": [json.loads(x) for x in vis_edges(store, "provenance").toJSON().collect()]}
     text = json.dumps(data, ensure_ascii=False).replace("<", "\\u003C").replace(">", "\\u003E").replace("/", "\\/")
     return PAGE.format(title=html.escape(title), nonce=secrets.token_urlsafe(12), data=text, **totals.asDict())
 

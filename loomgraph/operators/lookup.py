@@ -111,7 +111,10 @@ def inverted_index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def index_search(index: DataFrame, pattern: str) -> DataFrame:
+    """id of what has all the pattern's tokens; without any, all that the index has."""
     terms = search_terms(pattern)
+    if not terms:
+        return index.select("id").distinct()
     hits = index.where(F.col("token").isin(*terms)).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     return hits.where(F.col("n") == len(terms)).select("id")
 

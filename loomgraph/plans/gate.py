@@ -26,7 +26,7 @@ FUNCTIONS = set(
     lpad rpad reverse repeat regexp_like regexp_extract regexp_replace regexp_count like ilike
     abs sign round bround floor ceil ceiling sqrt power pow exp ln log log10 mod pmod
     array size element_at array_contains array_distinct array_sort array_min array_max array_size array_join
-    between not and or in isnotnull concat_ws string_agg listagg
+    between string_agg listagg
     get_json_object json_array_length json_object_keys json_extract
     current_timestamp current_date now extract date_part date_format make_date make_timestamp timestampadd timestampdiff months_between last_day strftime datetime
     date year month day dayofweek hour minute second date_trunc trunc datediff date_add date_sub to_date to_timestamp unix_timestamp timestamp string int bigint double boolean

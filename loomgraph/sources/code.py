@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
+from loomgraph.functions.text import last_segment
 from loomgraph.operators.mutate import add_edges, add_nodes
 from loomgraph.sources.files import below
 from loomgraph.store import GraphStore, settled
@@ -139,7 +140,7 @@ def scan(store: GraphStore, root: str, project: str, max_files: int | None = Non
     edges = edges.unionAll(calls.select("source", "target", F.lit("CALLS_FUNC").alias("type"), F.lit("{}").alias("properties"), F.lit("EXTRACTED").alias("provenance")))
     classes = facts.where("kind = 'class'")
     by_name = classes.select(F.col("name").alias("base"), class_name.alias("target")).groupBy("base").agg(F.min("target").alias("target"))
-    bases = classes.select(class_name.alias("source"), F.explode("names").alias("base")).select("source", F.element_at(F.split("base", r"\."), -1).alias("base")).join(by_name, "base")
+    bases = classes.select(class_name.alias("source"), F.explode("names").alias("base")).select("source", last_segment(F.col("base")).alias("base")).join(by_name, "base")
     edges = edges.unionAll(bases.where("source != target").select("source", "target", F.lit("INHERITS_FROM").alias("type"), F.lit("{}").alias("properties"), F.lit("INFERRED").alias("provenance")))
     edges = edges.withColumn("nth", F.xxhash64("source", "target", "type"))
     store, _ = add_edges(store, edges, most=None)

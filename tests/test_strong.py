@@ -267,3 +267,23 @@ def test_community_after_removal(spark):
     store = GraphStore.of(spark, nodes=spark.createDataFrame([(1,), (2,)], "id long"), communities=spark.createDataFrame([(1, 5, "a"), (2, 5, "a"), (1, 6, "b"), (2, 7, "b")], "node_id long, community_id long, algorithm string"))
     got = {(r["algorithm"], r["community_id"]): (r["size_before"], r["size_after"]) for r in lookup.community_after_removal(store, 1).collect()}
     assert got == {("a", 5): (2, 1), ("b", 6): (1, 0)}
+
+
+def test_tooltips_and_page_limits(spark):
+    nodes = [(1, "Tag", "a<b", "EXTRACTED", "scan", '{"email":"x@y.zz"}'), (2, "Tag", "b", None, None, None)]
+    members = [(1, 4, "louvain"), (1, 2, "components")]
+    store = GraphStore.of(
+        spark,
+        nodes=spark.createDataFrame(nodes, "id long, label string, name string, provenance string, source string, properties string"),
+        edges=spark.createDataFrame([(1, 1, 2, "about"), (2, 1, 2, "targets")], "id long, source_id long, target_id long, type string"),
+        communities=spark.createDataFrame(members, "node_id long, community_id long, algorithm string"),
+    )
+    tips = {r["id"]: r["tooltip"] for r in export.vis_nodes(store).collect()}
+    assert tips[1] == "Tag: a&lt;b\nprovenance EXTRACTED\nsource scan\ncommunity components 2, louvain 4\ndegree 2\n{&quot;email&quot;:&quot;[REDACTED]&quot;}"
+    assert tips[2] == "Tag: b\ndegree 2\n"
+    assert "x@y.zz" not in export.page(store)
+    with pytest.raises(ValueError):
+        export.page(store, most_edges=1)
+    rows = spark.createDataFrame([("a.b.C", "</script>"), ("C", None)], "n string, s string")
+    got = rows.select(text.last_segment(F.col("n")).alias("n"), text.script_escape(F.col("s")).alias("s")).collect()
+    assert [tuple(r) for r in got] == [("C", "\\u003C\\/script\\u003E"), ("C", None)]
