@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,10 +47,10 @@ def distances(walk: DataFrame, sources: DataFrame) -> DataFrame:
         seen = seen.unionAll(frontier)
 
 
-def closeness(store: GraphStore, words: int = WORDS) -> DataFrame:
+def closeness(store: GraphStore, words: int = WORDS, held_steps: int = HELD_STEPS) -> DataFrame:
     """id, score: reached nodes over the sum of their distances, inside the node's component; 0 alone; to 4 places.
 
-    Sources walk in blocks of 64 * words, a bit each: a node holds the bits of the sources that have come to it, a round ors
+    A graph of at most held_steps steps, which are counted first, is sent to every task, as in betweenness. On a larger one sources walk in blocks of 64 * words, a bit each: a node holds the bits of the sources that have come to it, a round ors
     those of its neighbours, and what is new counts with the round's number. As steps go both ways, how far the sources
     are from a node is how far the node is from them, so counts stay with the node: no row a pair of nodes, memory grows with
     the nodes times the words. Blocks follow each other; each adds to the nodes' sums.
@@ -58,6 +60,9 @@ def closeness(store: GraphStore, words: int = WORDS) -> DataFrame:
     walk = settled(steps(store.edges), "steps")
     ids = settled(numbered_rows(store.nodes.select("id").distinct(), "nth", "id").withColumn("nth", F.col("nth") - 1), "numbers")
     n, wide = ids.count(), 64 * words
+    if walk.count() <= held_steps and n <= held_steps:
+        sums = held(walk, ids, n, layer_sums, "near double, far double")
+        return closeness_of(ids, sums)
     seen, fresh = [f"s{k}" for k in range(words)], [f"f{k}" for k in range(words)]
     zero = F.lit(0).cast("long")
     sums = None
@@ -84,11 +89,33 @@ def closeness(store: GraphStore, words: int = WORDS) -> DataFrame:
         sums = part if sums is None else sums.unionAll(part)
     if sums is None:
         return store.nodes.select("id", F.lit(0.0).alias("score"))
-    sums = sums.groupBy("id").agg(F.sum("near").alias("near"), F.sum("far").alias("far"))
+    return closeness_of(ids, sums.groupBy("id").agg(F.sum("near").alias("near"), F.sum("far").alias("far")))
+
+
+def closeness_of(ids: DataFrame, sums: DataFrame) -> DataFrame:
     score = F.when(F.col("far") > 0, F.col("near") / F.col("far")).otherwise(F.lit(0.0))
     return ids.join(sums, "id").select("id", F.round(score, 4).alias("score"))
 
 
+def layer_sums(sources: np.ndarray, first: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Of every node of sources how many nodes it reaches, and how far they are in sum; 0 for the other nodes."""
+    n = len(first) - 1
+    out = np.zeros((n, 2))
+    for s in sources:
+        seen = np.zeros(n, bool)
+        seen[s] = True
+        layer, depth = np.array([s]), 0
+        while len(layer):
+            k = first[layer + 1] - first[layer]
+            near = to[np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(first[layer], k)]
+            mark = np.zeros(n, bool)
+            mark[near] = True
+            layer, depth = np.flatnonzero(mark & ~seen), depth + 1
+            seen[layer] = True
+            out[s] += len(layer), depth * len(layer)
+    return out
+
+
 def dependencies(sources: np.ndarray, first: np.ndarray, to: np.ndarray) -> np.ndarray:
     """Brandes' dependencies of all nodes, summed over the sources. first: where each node's neighbours begin in `to`."""
     n = len(first) - 1
@@ -136,7 +163,7 @@ def betweenness(store: GraphStore, held_steps: int = HELD_STEPS, pairs: int = PA
     ids = settled(numbered_rows(store.nodes.select("id").distinct(), "nth", "id").withColumn("nth", F.col("nth") - 1), "numbers")
     n = ids.count()
     if walk.count() <= held_steps and n <= held_steps:
-        sums = held_betweenness(walk, ids, n)
+        sums = held(walk, ids, n, dependencies, "sum double")
     else:
         sums = None
         for first in range(0, n, max(1, pairs // n)):
@@ -148,26 +175,29 @@ def betweenness(store: GraphStore, held_steps: int = HELD_STEPS, pairs: int = PA
     return ids.join(sums, "id", "left").select("id", F.round(F.coalesce("sum", F.lit(0.0)) / ways, 4).alias("score"))
 
 
-def held_betweenness(walk: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+def held(walk: DataFrame, ids: DataFrame, n: int, count: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], columns: str) -> DataFrame:
+    """id and the columns (doubles) that count gives for every node, summed over all sources; each task holds the graph and takes
+    some of the sources. count: sources, where each node's neighbours begin, neighbours."""
     a, b = ids.select(F.col("id").alias("src"), F.col("nth").alias("a")), ids.select(F.col("id").alias("dst"), F.col("nth").alias("b"))
     table = walk.join(a, "src").join(b, "dst").select("a", "b").toArrow()  # at most held_steps rows
     a, b = table["a"].to_numpy().astype(np.int64), table["b"].to_numpy().astype(np.int32)
     order = np.argsort(a, kind="stable")
     spark = walk.sparkSession
     graph = spark.sparkContext.broadcast((np.searchsorted(a[order], np.arange(n + 1)), b[order]))
+    names = [c.split()[0] for c in columns.split(", ")]
 
     def work(batches):
-        total = None
+        total = np.zeros((n, len(names)))
         for batch in batches:
-            part = dependencies(batch.column(0).to_numpy(), *graph.value)
-            total = part if total is None else total + part
-        if total is not None:
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["nth", "sum"])
+            total += count(batch.column(0).to_numpy(), *graph.value).reshape(n, -1)
+        some = np.flatnonzero(total.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(total[some, k]) for k in range(len(names)))], ["nth", *names])
 
     tasks = max(1, min(n, 4 * spark.sparkContext.defaultParallelism))
-    sums = spark.range(0, n, 1, tasks).mapInArrow(work, "nth long, sum double")
-    return sums.join(ids, "nth").select("id", "sum")
+    parts = spark.range(0, n, 1, tasks).mapInArrow(work, f"nth long, {columns}")
+    sums = parts.groupBy("nth").agg(*(F.sum(c).alias(c) for c in names))
+    every = ids.join(sums, "nth", "left")
+    return every.select("id", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in names))
 
 
 def back_pass(walk: DataFrame, reach: DataFrame) -> DataFrame:
