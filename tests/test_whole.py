@@ -2,10 +2,17 @@
 
 import random
 
+import itertools
+import random
+from collections import Counter
+
 import pytest
 from oracle import TABLES, connect, rows
 
+from loomgraph.operators import centrality, traverse
+from loomgraph.operators.twins import twins
 from loomgraph.plans.queries import QUERIES, SQL
+from loomgraph.store import GraphStore
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,3 +32,77 @@ def many_parts(tmp_path_factory):
 def test_gate_gives_all_rows(spark, many_parts, name):
     got, expected = QUERIES[name](spark, many_parts).toPandas(), connect(many_parts).execute(SQL[name]).df()
     assert len(expected) > 10_000 and rows(got) == rows(expected)
+
+
+@pytest.fixture(scope="module")
+def doubled(spark):
+    """A random graph of which many nodes have copies with the same neighbours, and its neighbours in plain Python."""
+    r = random.Random(5)
+    links = {(a, b) for a, b in ((r.randrange(9), r.randrange(9)) for _ in range(11)) if a != b}
+    copies = {k: [k, *range(20 + 10 * k, 20 + 10 * k + (0, 1, 3)[k % 3])] for k in range(9)}
+    every = sorted({(x, y) for a, b in links for x in copies[a] for y in copies[b]} | {(200, 201), (202, 202)})
+    nodes = spark.createDataFrame([(k, "Tag", str(k)) for k in [*itertools.chain(*copies.values()), 200, 201, 202]], "id long, label string, name string")
+    edges = spark.createDataFrame([(k, a, b, "about") for k, (a, b) in enumerate(every)], "id long, source_id long, target_id long, type string")
+    near = {n["id"]: set() for n in nodes.collect()}
+    for a, b in every:
+        if a != b:
+            near[a].add(b)
+            near[b].add(a)
+    return GraphStore.of(spark, nodes=nodes, edges=edges), near
+
+
+def reached(near, s):
+    depth, ways, layer = {s: 0}, Counter({s: 1}), [s]
+    while layer:
+        after = Counter()
+        for u in layer:
+            for v in near[u]:
+                if v not in depth:
+                    after[v] += ways[u]
+        depth.update({v: depth[layer[0]] + 1 for v in after})
+        ways.update(after)
+        layer = list(after)
+    return depth, ways
+
+
+def test_twins(spark, doubled):
+    store, near = doubled
+    of = {r["id"]: (r["rep"], r["size"]) for r in twins(traverse.steps(store.edges)).collect()}
+    assert of.keys() == {v for v in near if near[v]}
+    for v, (rep, size) in of.items():
+        alike = [u for u in of if near[u] == near[v]]
+        assert (rep, size) == (min(alike), len(alike))
+    assert len({rep for rep, _ in of.values()}) < len(of) / 2
+    assert {r["id"]: r["size"] for r in twins(traverse.steps(store.edges), tuple(of)).collect()} == dict.fromkeys(of, 1)
+
+
+def test_centrality_with_twins(doubled):
+    store, near = doubled
+    reach = {s: reached(near, s) for s in near}
+    close = {s: (len(d) - 1) / sum(d.values()) if len(d) > 1 else 0 for s, (d, _) in reach.items()}
+    assert {r["id"]: r["score"] for r in centrality.closeness(store).collect()} == pytest.approx(close, abs=6e-5)
+    n, between = len(near), dict.fromkeys(near, 0.0)
+    for s, t in itertools.permutations(near, 2):
+        (d, w), (e, u) = reach[s], reach[t]
+        for v in d.keys() & e.keys() - {s, t}:
+            if d[v] + e[v] == d[t]:
+                between[v] += w[v] * u[v] / w[t]
+    got = {r["id"]: r["score"] for r in centrality.betweenness(store).collect()}
+    assert got == pytest.approx({v: b / ((n - 1) * (n - 2) / 2) for v, b in between.items()}, abs=6e-5)
+    for rounds in (3, 100):
+        rank = dict.fromkeys(near, 1 / n)
+        for _ in range(rounds):
+            loose = sum(rank[v] for v in near if not near[v])
+            new = {v: (0.15 + 0.85 * loose) / n + 0.85 * sum(rank[u] / len(near[u]) for u in near[v]) for v in near}
+            change, rank = sum(abs(new[v] - rank[v]) for v in near), new
+            if change < 1e-6:
+                break
+        assert {r["id"]: r["score"] for r in centrality.pagerank(store, rounds=rounds).collect()} == pytest.approx(rank, abs=6e-7)
+
+
+def test_paths_by_hops(doubled):
+    store, _ = doubled
+    for source, target, most in ((1, 8, 5), (30, 8, 4), (2, 40, 4), (7, 7, 3), (1, 201, 4)):
+        paths = traverse.simple_paths(store, source, target, None, most).collect()
+        got = {r["hops"]: r["n"] for r in traverse.simple_paths_by_hops(store, source, target, most).collect()}
+        assert got == Counter(r["hops"] for r in paths)
