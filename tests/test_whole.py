@@ -9,7 +9,7 @@ from collections import Counter
 import pytest
 from oracle import TABLES, connect, rows
 
-from loomgraph.operators import centrality, traverse
+from loomgraph.operators import centrality, code_graph, traverse
 from loomgraph.operators.twins import twins
 from loomgraph.plans.queries import QUERIES, SQL
 from loomgraph.store import GraphStore
@@ -106,3 +106,17 @@ def test_paths_by_hops(doubled):
         paths = traverse.simple_paths(store, source, target, None, most).collect()
         got = {r["hops"]: r["n"] for r in traverse.simple_paths_by_hops(store, source, target, most).collect()}
         assert got == Counter(r["hops"] for r in paths)
+
+
+def test_co_import_pairs(spark):
+    r = random.Random(2)
+    kinds = [r.sample(range(6), k) for k in (1, 1, 2, 2, 3)]
+    imports = {(f, m) for f in range(40) for m in r.choice(kinds)} | {(50, 99), (51, None)}
+    pairs = {(a, b) for (a, m), (b, n) in itertools.product(imports, imports) if m == n and m is not None and a < b}
+    rows = spark.createDataFrame([*imports, *list(imports)[:30]], "file long, module long")
+    got = [tuple(x) for x in code_graph.co_import_pairs(rows, 3).collect()]
+    assert sorted(got) == sorted(pairs)
+    store = GraphStore.of(spark, nodes=spark.createDataFrame([], "id long"), edges=rows.selectExpr("file as source_id", "module as target_id", "'IMPORTS_FROM' as type"))
+    for most in (2, 3):
+        cycles = [tuple(x["cycle"]) for x in code_graph.circular_imports(store, most).collect()]
+        assert len(cycles) == len(set(cycles)) and {c for c in cycles if len(c) == 2} == pairs
