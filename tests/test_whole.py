@@ -9,9 +9,10 @@ from collections import Counter
 import pytest
 from oracle import TABLES, connect, rows
 
-from loomgraph.operators import centrality, code_graph, traverse
+from loomgraph.operators import centrality, code_graph, lookup, traverse
 from loomgraph.operators.twins import twins
 from loomgraph.plans.queries import QUERIES, SQL
+from loomgraph.sources import projection
 from loomgraph.store import GraphStore
 
 SF = "/root/testdata/sf0.001"
@@ -120,3 +121,18 @@ def test_co_import_pairs(spark):
     for most in (2, 3):
         cycles = [tuple(x["cycle"]) for x in code_graph.circular_imports(store, most).collect()]
         assert len(cycles) == len(set(cycles)) and {c for c in cycles if len(c) == 2} == pairs
+
+
+def test_parts_grow_with_the_files(spark):
+    """Lines are grouped in parts whose number follows the files, not a fixed setting."""
+    plan = projection.edges(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    splits = spark.read.parquet(f"{SF}/lineitem.parquet").rdd.getNumPartitions()
+    assert plan.count("RepartitionByExpression [l_orderkey") == 1 and f", {8 * splits}" in plan
+
+
+def test_missing_ends(spark):
+    nodes = spark.createDataFrame([(1,), (2,)], "id long")
+    edges = spark.createDataFrame([(1, 1, 9), (2, 1, 9), (3, 8, 2), (4, 1, 2), (5, None, 2)], "id long, source_id long, target_id long")
+    got = {r["check"]: r["n"] for r in lookup.integrity(GraphStore.of(spark, nodes=nodes, edges=edges)).collect()}
+    assert (got["missing_source"], got["missing_target"]) == (2, 2)
+    assert lookup.integrity(GraphStore.of(spark)).where("n != 0").count() == 0
