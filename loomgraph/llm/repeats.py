@@ -21,6 +21,8 @@ ANCHOR = 32
 SEPARATOR = 0xFF
 #: Bytes of contexts that one transform is made of, and distinct contexts of an anchor that go to one.
 BLOCK, GROUP = 1 << 19, 1000
+#: Bytes of the anchors, one after the other, by which the contexts of an anchor of more distinct ones meet again.
+FINER = (64, 82, 91)
 #: Bytes of text whose contexts are found at once.
 SEGMENT = 1 << 19
 #: Anchors are salted if a sample of one document in SAMPLED has them this often; at most HOT of them.
@@ -44,24 +46,24 @@ def byte_sums() -> ByteSums:
 class Contexts:
     """The strings of `length` bytes of a block of texts, grouped by their anchors.
 
-    A string's anchor is its ANCHOR bytes of least hash, so equal strings have equal anchors wherever
+    A string's anchor is its `anchor` bytes of least hash, so equal strings have equal anchors wherever
     they are. Consecutive strings of one anchor make a context, the bytes that they cover. Two strings
     can only be equal if their contexts have one anchor; equal contexts hold equal strings in the same
     places.
     """
 
-    def __init__(self, data: np.ndarray, places: np.ndarray, length: int, most: int = 1 << 15):
+    def __init__(self, data: np.ndarray, places: np.ndarray, length: int, most: int = 1 << 15, anchor: int = ANCHOR):
         none = np.zeros(0, np.int64)
         self.start = self.size = self.doc = none
         self.anchor = self.content = none.astype(np.uint64)
         self.self_like = none.astype(bool)
-        n, width = len(data) - length + 1, length - ANCHOR + 1
+        n, width = len(data) - length + 1, length - anchor + 1
         if n <= 0:
             return
         hashes = byte_sums()
         sums = hashes.sums(data)
-        m = len(data) - ANCHOR + 1
-        key = (sums[ANCHOR:] - sums[:m]) * hashes.down[:m] * np.uint64(0x9FB21C651E98DF25)
+        m = len(data) - anchor + 1
+        key = (sums[anchor:] - sums[:m]) * hashes.down[:m] * np.uint64(0x9FB21C651E98DF25)
         key ^= key >> np.uint64(29)
         least = slid(np.minimum, key, width, np.uint64(2**64 - 1))
         edge = places[1:-1]  # strings across these are in no document
@@ -243,27 +245,63 @@ def bytes_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def work(batches):
         for rows, data, places in blocks(batches, "text"):
             out: list[tuple] = []
-            for doc_id, at, contexts in zip(rows.column("doc_id").to_pylist(), places.tolist(), rows.column("wanted").to_pylist()):
-                out.extend((x["h"], doc_id, x["start"], data[at + x["start"] : at + x["start"] + x["size"]].tobytes()) for x in contexts)
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in zip(*out)], ["h", "doc_id", "start", "bytes"])
+            for doc_id, at, end, contexts in zip(rows.column("doc_id").to_pylist(), places.tolist(), places[1:].tolist(), rows.column("wanted").to_pylist()):
+                there = (x for x in contexts if at + x["start"] + x["size"] <= end)  # an id may have several texts
+                out.extend((x["h"], doc_id, x["start"], data[at + x["start"] : at + x["start"] + x["size"]].tobytes()) for x in there)
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], ["h", "doc_id", "start", "bytes"])
 
     return with_wanted(docs, wanted).mapInArrow(work, "h long, doc_id long, start long, bytes binary")
 
 
-def strings_of(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """a, b (a name of 128 bits), doc_id, start of each string of the wanted contexts."""
+def finer_contexts(contexts: DataFrame, length: int, anchor: int) -> DataFrame:
+    """h, c, doc_id, start, size, own, bytes: as contexts_of, of the strings of contexts (doc_id, start, bytes), by anchors of that many bytes."""
 
     def work(batches):
-        for rows, data, places in blocks(batches, "text", SEGMENT):
-            for doc_id, at, contexts in zip(rows.column("doc_id").to_pylist(), places.tolist(), rows.column("wanted").to_pylist()):
-                start, many = np.array([x["start"] for x in contexts]), np.array([x["size"] for x in contexts]) - length + 1
-                start = np.repeat(start - np.cumsum(many) + many, many) + np.arange(many.sum())
-                for low in range(0, len(start), SEGMENT):
-                    part = start[low : low + SEGMENT]
-                    a, b = string_names(data, at + part, length)
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array([doc_id] * len(part), pa.int64()), pa.array(part)], ["a", "b", "doc_id", "start"])
+        for rows, data, places in blocks(batches, "bytes", SEGMENT):
+            found = Contexts(data, places, length, anchor=anchor)
+            raw, at = data.tobytes(), places[found.doc] + found.start
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(as_long(found.anchor)),
+                    pa.array(as_long(found.content)),
+                    rows.column("doc_id").take(pa.array(found.doc)),
+                    pa.array(rows.column("start").to_numpy()[found.doc] + found.start),
+                    pa.array(found.size.astype(np.int32)),
+                    pa.array(found.self_like),
+                    pa.array([raw[a:b] for a, b in zip(at.tolist(), (at + found.size).tolist())], pa.binary()),
+                ],
+                ["h", "c", "doc_id", "start", "size", "own", "bytes"],
+            )
+
+    return contexts.select("doc_id", "start", "bytes").mapInArrow(work, "h long, c long, doc_id long, start long, size int, own boolean, bytes binary")
+
+
+def met_apart(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of finer contexts, without bringing those of an anchor together: those that an equal one comes before, and of the others
+    (h, doc_id, start, bytes, n: distinct contexts of the anchor) those that may share strings."""
+    alike = ["h", "c", "size"]
+    first = found.groupBy(*alike).agg(F.min(F.struct("doc_id", "start", "bytes")).alias("first"), F.max("own").alias("own"))
+    places = first.select(*alike, F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_start"))
+    later = found.drop("bytes").join(places, alike).where("doc_id != first_doc or start != first_start")
+    n = first.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    distinct = first.join(n, "h").where("n > 1 or own")
+    return later, distinct.select("h", "first.doc_id", "first.start", "first.bytes", "n")
+
+
+def strings_of(contexts: DataFrame, length: int) -> DataFrame:
+    """a, b (a name of 128 bits), doc_id, start of each string of contexts (doc_id, start, bytes)."""
+
+    def work(batches):
+        for rows, data, places in blocks(batches, "bytes", SEGMENT):
+            many = np.diff(places) - length + 1
+            row = np.repeat(np.arange(len(many)), many)
+            nth = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            a, b = string_names(data, places[row] + nth, length)
+            doc_id, start = rows.column("doc_id").take(pa.array(row)), rows.column("start").to_numpy()[row] + nth
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), doc_id, pa.array(start)], ["a", "b", "doc_id", "start"])
 
-    return with_wanted(docs, wanted).mapInArrow(work, "a long, b long, doc_id long, start long")
+    return contexts.select("doc_id", "start", "bytes").mapInArrow(work, "a long, b long, doc_id long, start long")
 
 
 def spans_among(contexts: DataFrame, length: int) -> DataFrame:
@@ -325,7 +363,8 @@ def repeated_spans(docs: DataFrame, length: int, group: int = GROUP) -> DataFram
     Contexts meet by anchor, an anchor that a sample shows to be frequent in salted groups first. Of equal
     contexts, all but the first are covered whole. What is left are distinct contexts of one anchor;
     their bytes are fetched, and the transform finds the strings that they share. Where an anchor has more
-    than `group` distinct contexts, their strings meet one by one, by hash and pre-aggregated, dealt over all
+    than `group` distinct contexts, their strings take longer anchors (FINER) and meet as contexts of these. What has as many
+    contexts under the longest anchor meets string by string, by hash and pre-aggregated, dealt over all
     tasks. Contexts are held equal if anchor, a BLAKE2b hash of the bytes and size are.
     """
     found = contexts_of(docs, length)
@@ -355,8 +394,16 @@ def repeated_spans(docs: DataFrame, length: int, group: int = GROUP) -> DataFram
     spans = spans.unionAll(spans_among(few, length))
     many = distinct.where(F.col("n") > group)
     if not many.isEmpty():
-        one_by_one = stored(strings_of(docs, many, length), "strings")
-        spans = spans.unionAll(spans_by_string(one_by_one, length))
+        many = stored(bytes_of(docs, many), "many-contexts")
+        for anchor in FINER:
+            if anchor >= length:
+                break
+            covered, distinct = met_apart(stored(finer_contexts(many, length, anchor), "finer-contexts"))
+            distinct = stored(distinct, "distinct-contexts")
+            spans = spans.unionAll(covered.select("doc_id", "start", (F.col("start") + F.col("size")).alias("end")))
+            spans = spans.unionAll(spans_among(distinct.where(F.col("n") <= group).drop("n"), length))
+            many = distinct.where(F.col("n") > group)
+        spans = spans.unionAll(spans_by_string(stored(strings_of(many, length), "strings"), length))
     return spans
 
 

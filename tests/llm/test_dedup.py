@@ -162,6 +162,25 @@ def test_repeats_hot(spark, monkeypatch):
         assert (bytes(r["__kept"]), len(r["__spans"])) == expected[r["doc_id"]]
 
 
+def test_repeats_of_a_common_passage(spark, monkeypatch):
+    """Its contexts meet by longer anchors, not as a row a string; some repeat what stands beside it too."""
+    r, made, stored = random.Random(3), [], repeats.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        made.append(out.count() if name == "strings" else 0)
+        return out
+
+    monkeypatch.setattr(repeats, "stored", counted)
+    text = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage, ends = text(80), [text(90) for _ in range(3)]
+    rows = [(k, (ends[k % 3] if k % 5 == 0 else text(90)) + passage + (ends[k % 2] if k % 4 == 0 else text(90))) for k in range(40)]
+    expected = removed(rows, 100)
+    for x in without_repeats(frame(spark, rows), 100, group=10).collect():
+        assert (bytes(x["__kept"]), len(x["__spans"])) == expected[x["doc_id"]]
+    assert sum(made) == 0
+
+
 def test_repeats_text(spark):
     out = text_without_repeats(frame(spark), 100)
     assert out.columns == frame(spark).columns and out.count() == len(cases())
