@@ -6,20 +6,21 @@ import os
 import re
 import zlib
 from bisect import bisect_left, insort
-from collections import Counter, defaultdict
+from collections import ChainMap, Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import cut_text, stored
 
 #: Distinct words whose ids a task keeps; others are encoded when they come.
-MEMO = 450_000
+MEMO = 900_000
 #: Steps of the search for the fillings of one sum.
 EACH = 400
 #: Pieces of one length that are numbered together.
@@ -30,7 +31,7 @@ class WordIds:
     """Ids of whole texts under word_bpe_49k.json, as bytes of little-endian unsigned 32-bit numbers.
 
     The tokenizer reads a text as lower-case words, single digits and runs of other signs, each encoded
-    on its own; a word's ids are looked up, and the library encodes the words met first. A text with
+    on its own; a word's ids are looked up, and the library encodes the words met first, those of many texts as one text. A text with
     anything else than printable ASCII, white space and Latin-1 letters, or with the beginning of a
     special token, goes to the library whole, as its normal form may differ from lower case.
     """
@@ -49,21 +50,30 @@ class WordIds:
 
     def ids(self, text: str) -> bytes:
         """A long text in parts, cut where words end for certain."""
-        return b"".join(map(self.part_ids, cut_text(text)))
-
-    def part_ids(self, text: str) -> bytes:
-        if not self.PLAIN.fullmatch(text) or "<|" in text:
-            return self.encode(text)
-        parts = self.PART.findall(text.lower())
-        try:
-            return b"".join(map(self.memo.__getitem__, parts))
-        except KeyError:
-            new = [w for w in set(parts) if w not in self.memo]
-            found = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False))}
-            if len(self.memo) < self.most:
-                self.memo.update(found)
-                return b"".join(map(self.memo.__getitem__, parts))
-            return b"".join([found.get(w) or self.memo[w] for w in parts])
+        return b"".join(x for part in cut_text(text) for x in self.of([part]))
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; what none before had is encoded for all together."""
+        parts = [self.PART.findall(t.lower()) if self.PLAIN.fullmatch(t) and "<|" not in t else None for t in texts]
+        new: set[str] = set()
+        for words in parts:
+            new.update(set(words or ()).difference(self.memo))
+        memo = self.memo
+        if new:
+            found = self.encoded(list(new))
+            if len(memo) < self.most:
+                memo.update(found)
+            else:
+                memo = ChainMap(found, memo)
+        return [self.encode(t) if words is None else b"".join(map(memo.__getitem__, words)) for t, words in zip(texts, parts)]
+
+    def encoded(self, words: list[str]) -> dict[str, bytes]:
+        whole = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        ids, word = np.array(whole.ids, "<u4").tobytes(), np.array(whole.word_ids, np.int64)
+        edges = (4 * np.append(np.flatnonzero(np.diff(word, prepend=-1)), len(word))).tolist()
+        if len(edges) != len(words) + 1:  # not each a word to the library
+            return {w: self.encode(w) for w in words}
+        return {w: ids[a:b] for w, a, b in zip(words, edges, edges[1:])}
 
 
 @lru_cache(maxsize=1)
@@ -72,6 +82,17 @@ def word_ids(vocabulary: str) -> WordIds:
     return WordIds(vocabulary)
 
 
+def ids_of_all(words: WordIds, texts: pa.Array, most: int = 1 << 20) -> Iterator[bytes]:
+    """The ids of every text (null: empty), short ones about `most` bytes at a time."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, row = np.cumsum(sizes), 0
+    while row < len(sizes):
+        last = max(row + 1, int(np.searchsorted(ends, ends[row] - sizes[row] + most, "right")))
+        some = [t or "" for t in texts.slice(row, last - row).to_pylist()]
+        yield from words.of(some) if len(some) > 1 else map(words.ids, some)
+        row = last
+
+
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:
     """Best-fit decreasing over a count of each length: (filling, how many sequences), a filling being (length, times) pairs."""
     open_bins: dict[int, list] = defaultdict(list)
@@ -268,8 +289,8 @@ def token_pieces(docs: DataFrame, vocabulary: str, limit: int, end_id: int = 1,
         words = word_ids(vocabulary)
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = words.ids(text.as_py() or "") + end_id.to_bytes(4, "little")
+            for doc_id, ids in zip(batch.column(0).to_pylist(), ids_of_all(words, batch.column(1))):
+                ids += end_id.to_bytes(4, "little")
                 for piece, at in enumerate(range(0, len(ids), 4 * limit)):
                     part = ids[at : at + 4 * limit]
                     for k, v in zip(out, (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part))):

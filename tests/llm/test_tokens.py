@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from common_cases import cases, empty, frame, long_rows, twins, with_ids
@@ -53,6 +54,30 @@ def test_word_ids():
         assert np.frombuffer(words.ids(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
 
 
+def test_words_of_many_texts():
+    """New words of many texts are one call of the library, not a row of it each."""
+    calls = []
+
+    class Counted:
+        def __init__(self, library):
+            self.library = library
+
+        def encode(self, text, **kw):
+            calls.append(text)
+            return self.library.encode(text, **kw)
+
+        def encode_batch(self, texts, **kw):
+            calls.extend(texts)
+            return self.library.encode_batch(texts, **kw)
+
+    library, words = Tokenizer.from_file(WORDS), packing.WordIds(WORDS)
+    words.tokenizer = Counted(library)
+    texts = [f"It's word{k}, said no {k}: don't!' ''s !'s \xe9t\xe9 {'x' * k}" for k in range(50)]
+    got = list(packing.ids_of_all(words, pa.array([*texts, None, ""])))
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in [*texts, "", ""]]
+    assert len(calls) == 1
+
+
 def test_packing(spark):
     library, expected = Tokenizer.from_file(WORDS), Counter()
     for i, t in with_ids():
