@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.commits import Commits
 from loomgraph.schema import TABLES
-from loomgraph.store import GraphStore
+from loomgraph.store import GraphStore, settled
 
 #: Tables that are dealt into buckets by a key; the others only grow, each change adds a folder.
 KEYS = {"nodes": "id", "edges": "id", "communities": "node_id", "metadata": "key"}
@@ -39,8 +39,8 @@ class Snapshots:
         rows = rows.select(*(f.name for f in TABLES[name]))
         key = KEYS[name]
         dealt = rows.withColumn("bucket", self.bucket(key, buckets))
-        # by ranges of bucket and key, so that a large bucket is more than one file
-        dealt.repartitionByRange("bucket", key).write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
+        # by buckets, of which adaptive execution makes more files where they are large; ranges would take a sample, and so make the rows twice
+        dealt.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
         there = {n.removeprefix("bucket=") for n in self.commits.listed(f"{self.path}/{folder}") if n.startswith("bucket=")}
         return {str(b): f"{folder}/bucket={b}" if str(b) in there else "" for b in (range(buckets) if only is None else only)}
 
@@ -86,7 +86,7 @@ class Snapshots:
                     continue
                 key, n = KEYS[name], manifest["buckets"]
                 keys = [df.select(F.col(key).alias("__key")) for df in (changed.get(name), gone.get(name)) if df is not None]
-                keys = reduce(DataFrame.unionAll, keys).distinct()
+                keys = settled(reduce(DataFrame.unionAll, keys).distinct(), "keys")
                 touched = sorted(r["b"] for r in keys.select(self.bucket("__key", n).alias("b")).distinct().collect())  # numbers below the buckets
                 old = self.read(name, manifest, touched)
                 rows = old.join(keys, old[key] == keys["__key"], "left_anti")

@@ -34,6 +34,27 @@ def files(path):
     return {str(p) for p in Path(path).rglob("*.parquet")}
 
 
+def test_rows_are_made_once(spark, tmp_path, store):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(df):
+        def work(batches):
+            for b in batches:
+                made.add(b.num_rows)
+                yield b
+
+        return df.mapInArrow(work, df.schema)
+
+    snaps = Snapshots(spark, str(tmp_path / "s"), buckets=8)
+    one = snaps.save(store.with_(edges=counted(store.edges)))
+    assert made.value == 500
+    same(snaps.load(one), store)
+    gone = counted(spark.range(40, 50))
+    two = snaps.merge(one, gone={"nodes": gone})
+    assert made.value == 510
+    assert sorted(r["id"] for r in snaps.load(two).nodes.collect()) == [k for k in range(500) if not 40 <= k < 50]
+
+
 def test_changes_rewrite_what_they_touch(spark, tmp_path, store):
     path = str(tmp_path / "s")
     snaps = Snapshots(spark, path, buckets=32)
