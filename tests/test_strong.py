@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text
-from loomgraph.operators import centrality, code_graph, export, lookup, strong, telemetry, traverse
+from loomgraph.operators import blocks, centrality, code_graph, export, lookup, strong, telemetry, traverse
 from loomgraph.operators.traverse import steps
 from loomgraph.sources import code, files
 from loomgraph.store import GraphStore
@@ -183,6 +183,20 @@ def test_pagerank_rounds(spark):
     assert {x["id"]: x["score"] for x in centrality.pagerank(store).collect()} == pytest.approx(rank, abs=1e-6)
 
 
+def test_pagerank_blocks(spark, monkeypatch):
+    """A graph of many blocks, some of whose nodes no edge has and one of whose edges leads to no node; the rounds read packed blocks, not the steps."""
+    monkeypatch.setattr(blocks, "BLOCK_STEPS", 9)
+    links = sorted(graph(random.Random(4), 60, 90)) + [(3, 999)]
+    store = GraphStore.of(spark, nodes=spark.createDataFrame([(k,) for k in range(66)], "id long"), edges=spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(links)], "id long, source_id long, target_id long"))
+    walk = {(a, b) for a, b in map(tuple, steps(store.edges).collect())}
+    rank, out = dict.fromkeys(range(66), 1 / 66), {v: sum(a == v for a, _ in walk) for v in range(66)}
+    for _ in range(6):
+        loose = sum(rank[v] for v in rank if not out[v])
+        rank = {v: 0.15 / 66 + 0.85 * (sum(rank[a] / out[a] for a, b in walk if b == v and a in rank) + loose / 66) for v in rank}
+    assert blocks.blocks_of(len(walk)) > 10
+    assert {x["id"]: x["score"] for x in centrality.pagerank(store, rounds=6, at_once=4).collect()} == pytest.approx(rank, abs=6e-7)
+
+
 @pytest.mark.parametrize("seed, n, m", [(1, 11, 20)])
 def test_first_paths(spark, seed, n, m):
     links = graph(random.Random(seed), n, m)
