@@ -4,6 +4,7 @@ import datetime as dt
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,6 +165,25 @@ def test_centralities(spark, seed, n, m):
         assert got == pytest.approx(between, abs=6e-5)
 
 
+def test_layer_sums(monkeypatch):
+    """Of every node how many sources reach it and how far they are, with more sources than two words a node hold at once."""
+    monkeypatch.setattr(centrality, "HELD_WORDS", 2)
+    monkeypatch.setattr(centrality, "ROWS", 7)
+    r, n = random.Random(9), 400
+    links = graph(r, n, 380) | {(0, v) for v in range(1, 60)}
+    near = {v: sorted({b for a, b in links if a == v} | {a for a, b in links if b == v}) for v in range(n)}
+    first = np.cumsum([0, *(len(near[v]) for v in range(n))])
+    to, size = np.array([w for v in range(n) for w in near[v]], np.int32), np.array([r.choice((1, 1, 1, 4)) for _ in range(n)], float)
+    sources, want = np.array(r.sample(range(n), 390)), np.zeros((n, 2))
+    for s in map(int, sources):
+        depth, order = {s: 0}, [s]
+        for v in order:
+            order += [w for w in near[v] if depth.setdefault(w, depth[v] + 1) == depth[v] + 1 and w not in order]
+        for v, d in depth.items():
+            want[v] += (size[s], d * size[s]) if v != s else ((size[s] - 1, 2 * (size[s] - 1)) if near[s] else (0, 0))
+    assert (centrality.layer_sums(sources, first, to, size) == want).all()
+
+
 def test_pagerank_rounds(spark):
     r = random.Random(3)
     links = [(k, a, b) for k, (a, b) in enumerate(sorted(graph(r, 40, 60)))]
