@@ -9,7 +9,7 @@ from collections import Counter
 import pytest
 from oracle import TABLES, connect, rows
 
-from loomgraph.operators import centrality, code_graph, lookup, traverse
+from loomgraph.operators import centrality, code_graph, lookup, ordering, traverse
 from loomgraph.operators.twins import twins
 from loomgraph.plans.queries import QUERIES, SQL
 from loomgraph.sources import projection
@@ -136,3 +136,19 @@ def test_missing_ends(spark):
     got = {r["check"]: r["n"] for r in lookup.integrity(GraphStore.of(spark, nodes=nodes, edges=edges)).collect()}
     assert (got["missing_source"], got["missing_target"]) == (2, 2)
     assert lookup.integrity(GraphStore.of(spark)).where("n != 0").count() == 0
+
+
+def test_components_in_parts(spark, monkeypatch):
+    """Links of a node with many neighbours do not meet in one part, and parts grow with the links."""
+    monkeypatch.setattr(ordering, "PART_ROWS", 40)
+    monkeypatch.setattr(ordering, "MANY", 6)
+    assert [ordering.parts_of(k) for k in (0, 40, 41, 400)] == [1, 1, 2, 10]
+    r = random.Random(8)
+    links = [(r.randrange(300), r.randrange(300)) for _ in range(140)] + [(7, v) for v in range(0, 300, 9)] + [(301 + k, 300 + k) for k in range(20)]
+    least = {v: v for v in range(330)}
+    for _ in least:
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    number = {p: k for k, p in enumerate(sorted(set(least.values())))}
+    store = GraphStore.of(spark, nodes=spark.range(330), edges=spark.createDataFrame(links, "source_id long, target_id long"))
+    assert {x["node_id"]: x["community_id"] for x in centrality.connected_components(store).collect()} == {v: number[p] for v, p in least.items()}
