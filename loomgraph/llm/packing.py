@@ -6,7 +6,7 @@ import os
 import re
 import zlib
 from bisect import bisect_left, insort
-from collections import ChainMap, Counter, defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.common import cut_text, stored
 
-#: Distinct words whose ids a task keeps; others are encoded when they come.
-MEMO = 900_000
+#: Distinct words whose ids a worker keeps, those met last; others are encoded when they come. New words that the library takes at once.
+MEMO, AT_ONCE = 400_000, 4096
 #: Steps of the search for the fillings of one sum.
 EACH = 400
 #: Pieces of one length that are numbered together.
@@ -31,7 +31,8 @@ class WordIds:
     """Ids of whole texts under word_bpe_49k.json, as bytes of little-endian unsigned 32-bit numbers.
 
     The tokenizer reads a text as lower-case words, single digits and runs of other signs, each encoded
-    on its own; a word's ids are looked up, and the library encodes the words met first, those of many texts as one text. A text with
+    on its own; a word's ids are looked up, and the library encodes the words met first, those of many texts as one text. Words are kept
+    in two tables: when the newer one is half of `memo`, it becomes the older one, whose words are forgotten unless they were met since. A text with
     anything else than printable ASCII, white space and Latin-1 letters, or with the beginning of a
     special token, goes to the library whole, as its normal form may differ from lower case.
     """
@@ -43,7 +44,7 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo, self.most = Tokenizer.from_file(path), {}, memo
+        self.tokenizer, self.memo, self.older, self.most = Tokenizer.from_file(path), {}, {}, memo
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -58,14 +59,15 @@ class WordIds:
         new: set[str] = set()
         for words in parts:
             new.update(set(words or ()).difference(self.memo))
-        memo = self.memo
-        if new:
-            found = self.encoded(list(new))
-            if len(memo) < self.most:
-                memo.update(found)
-            else:
-                memo = ChainMap(found, memo)
-        return [self.encode(t) if words is None else b"".join(map(memo.__getitem__, words)) for t, words in zip(texts, parts)]
+        again = new & self.older.keys()
+        self.memo.update((w, self.older[w]) for w in again)
+        unmet = list(new - again)
+        for k in range(0, len(unmet), AT_ONCE):
+            self.memo.update(self.encoded(unmet[k : k + AT_ONCE]))
+        found = [self.encode(t) if words is None else b"".join(map(self.memo.__getitem__, words)) for t, words in zip(texts, parts)]
+        if 2 * len(self.memo) >= self.most:
+            self.memo, self.older = {}, self.memo
+        return found
 
     def encoded(self, words: list[str]) -> dict[str, bytes]:
         whole = self.tokenizer.encode(" ".join(words), add_special_tokens=False)

@@ -54,6 +54,32 @@ def test_word_ids():
         assert np.frombuffer(words.ids(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
 
 
+def test_words_met_last_are_kept():
+    """A full table keeps the words that are met again, and forgets those that are not; the library takes few words at once."""
+    calls = []
+
+    class Counted:
+        def __init__(self, library):
+            self.library = library
+
+        def encode(self, text, **kw):
+            calls.append(text.split())
+            return self.library.encode(text, **kw)
+
+    r, letters = random.Random(5), "abcdefghijklmnopqrstuvwxyz"
+    library, words = Tokenizer.from_file(WORDS), packing.WordIds(WORDS, memo=200)
+    words.tokenizer = Counted(library)
+    for k in range(30):
+        text = " ".join([*["often"] * (k >= 10), *("".join(r.choices(letters, k=9)) for _ in range(40))])
+        assert [np.frombuffer(x, "<u4").tolist() for x in words.of([text])] == [library.encode(text, add_special_tokens=False).ids]
+    assert sum(c.count("often") for c in calls) == 1
+    assert len(words.memo) + len(words.older) < 250
+    calls.clear()
+    text = " ".join("".join(r.choices(letters, k=9)) for _ in range(20_000))
+    assert [np.frombuffer(x, "<u4").tolist() for x in words.of([text])] == [library.encode(text, add_special_tokens=False).ids]
+    assert max(map(len, calls)) <= 4096
+
+
 def test_words_of_many_texts():
     """New words of many texts are one call of the library, not a row of it each."""
     calls = []
