@@ -28,6 +28,21 @@ def same(index, store, patterns=PATTERNS):
         assert sorted(r["id"] for r in fulltext.search(index, store, p, None, None).collect()) == expected, p
 
 
+def test_pairs_that_come_again(spark, tmp_path):
+    """A segment holds each id of a token once, however often its pair comes; the first and last are ids, negative ones too."""
+    r = random.Random(7)
+    pairs = [(r.randint(-9000, 9000), r.choice("abc")) for _ in range(600)]
+    pairs += pairs[::2] + [(5000, "a")] * 50
+    TextIndex(spark, str(tmp_path / "fts")).write_postings("segment", spark.createDataFrame(pairs, "id long, token string"))
+    got = spark.read.parquet(str(tmp_path / "fts" / "segment" / "postings")).collect()
+    expected = {}
+    for i, t in set(pairs):
+        expected.setdefault((t, i >> 12), []).append(i)
+    assert {(x["token"], x["block"]): (x["n"], x["first_id"], x["last_id"], x["offsets"]) for x in got} == {(t, b): (len(ids), min(ids), max(ids), sorted(i - (b << 12) for i in ids)) for (t, b), ids in expected.items()}
+    terms = spark.read.parquet(str(tmp_path / "fts" / "segment" / "terms")).collect()
+    assert {x["token"]: x["n"] for x in terms} == {t: len({i for i, u in pairs if u == t}) for t in "abc"}
+
+
 def test_index_follows_changes(spark, tmp_path):
     store = store_of(spark)
     index = fulltext.index_nodes(store, str(tmp_path / "fts"))
