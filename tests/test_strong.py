@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -217,6 +218,24 @@ def test_pagerank_blocks(spark, monkeypatch):
     assert {x["id"]: x["score"] for x in centrality.pagerank(store, rounds=6, at_once=4).collect()} == pytest.approx(rank, abs=6e-7)
 
 
+def test_pagerank_leaves_no_rounds(spark):
+    """Of all rounds the disk keeps the last scores, and no shuffle of theirs; whether a job guessed the last round or went too far, the scores are that round's."""
+    folder = Path(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
+    kept = lambda: {p.name for p in folder.iterdir()}
+    shuffles = lambda: {f for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").split() if "shuffle_" in f}
+    links = [(k, a, b) for k, (a, b) in enumerate(sorted(graph(random.Random(5), 40, 60)))]
+    store = GraphStore.of(spark, nodes=spark.createDataFrame([(k,) for k in range(44)], "id long"), edges=spark.createDataFrame(links, "id long, source_id long, target_id long"))
+    results = []
+    for at_once in (4, 20):
+        tables, files = kept(), shuffles()
+        ranks = centrality.pagerank(store, tolerance=0.05, at_once=at_once)
+        left = [name for name in kept() - tables if not name.startswith((".", "ids", "linked", "reps", "plan"))]
+        assert len(left) == 1 and left[0].startswith("scores")
+        assert len(shuffles() - files) < 40
+        results.append({x["id"]: x["score"] for x in ranks.collect()})
+    assert results[0] == results[1]
+
+
 @pytest.mark.parametrize("seed, n, m", [(1, 11, 20)])
 def test_first_paths(spark, seed, n, m):
     links = graph(random.Random(seed), n, m)
