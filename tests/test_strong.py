@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text
-from loomgraph.operators import blocks, centrality, code_graph, export, lookup, strong, telemetry, traverse
+from loomgraph.operators import apart, blocks, centrality, code_graph, export, lookup, strong, telemetry, traverse
 from loomgraph.operators.traverse import steps
 from loomgraph.sources import code, files
 from loomgraph.store import GraphStore
@@ -185,6 +185,49 @@ def test_layer_sums(monkeypatch):
     assert (centrality.layer_sums(sources, first, to, size) == want).all()
 
 
+def bunches(r, count, each):
+    """Steps of bunches of nodes (some of more pieces) that meet only in nodes 0 to 2."""
+    links = set()
+    for first in range(3, 3 + count * each, each):
+        links |= {(first + r.randrange(each), first + r.randrange(each)) for _ in range(int(each * r.uniform(0.6, 1.6)))}
+        links |= {(r.randrange(3), first + r.randrange(each)) for _ in range(each)}
+    return links
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_parts_of_hubs(monkeypatch, seed):
+    """Where three hubs part the graph, sources walk in their part alone; sums are those of walks through all of it, also where a way leaves a part and comes back."""
+    monkeypatch.setattr(apart, "PAIRS", 10**9)
+    r, n = random.Random(seed), 3 + 4 * 25 + 5
+    links = bunches(r, 4, 25)
+    near = {v: sorted({b for a, b in links if a == v != b} | {a for a, b in links if b == v != a}) for v in range(n)}
+    first = np.cumsum([0, *(len(near[v]) for v in range(n))])
+    to, size = np.array([w for v in range(n) for w in near[v]], np.int32), np.array([r.choice((1, 1, 1, 4)) for _ in range(n)], float)
+    whole = apart.parted(first, to, size)
+    assert max(len(x[0]) for x in whole["inner"]) <= n / 2
+    got = apart.by_hubs(whole["far"], whole["hubs"], size)
+    nodes = np.flatnonzero(whole["kind"] >= 0)
+    sums, kind = apart.across(whole["kinds"], whole["weight"], 0, len(whole["kinds"]), 7, 11), whole["kind"][nodes]
+    got[nodes] += sums.sum(axis=1)[kind] - sums[kind, whole["part"][nodes]]
+    for nodes, *inner in whole["inner"]:
+        got[nodes] += centrality.layer_sums(np.arange(len(nodes)), *inner)[: len(nodes)]
+    assert (got == centrality.layer_sums(np.arange(n), first, to, size)).all()
+
+
+def test_closeness_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(apart, "PAIRS", 10**9)
+    links = bunches(random.Random(8), 3, 30)
+    store = GraphStore.of(
+        spark,
+        nodes=spark.createDataFrame([(k,) for k in range(95)], "id long"),
+        edges=spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(sorted(links))], "id long, source_id long, target_id long"),
+    )
+    whole = []
+    monkeypatch.setattr(centrality, "parted", lambda *graph: whole.append(apart.parted(*graph)) or whole[-1])
+    assert {r["id"]: r["score"] for r in centrality.closeness(store).collect()} == pytest.approx(brandes(range(95), links)[1], abs=1e-9)
+    assert whole[0] is not None
+
+
 def test_pagerank_rounds(spark):
     r = random.Random(3)
     links = [(k, a, b) for k, (a, b) in enumerate(sorted(graph(r, 40, 60)))]
