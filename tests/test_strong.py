@@ -185,6 +185,23 @@ def test_layer_sums(monkeypatch):
     assert (centrality.layer_sums(sources, first, to, size) == want).all()
 
 
+def test_dependencies_together(monkeypatch):
+    """Five sources at once, whose layers differ: as one by one, and a node of size 3 as three nodes of the same neighbours."""
+    r, n = random.Random(10), 120
+    links = {(a, b) for a, b in graph(r, n, 150) | {(0, v) for v in range(1, 50)} if a != b}
+    near = {v: sorted({b for a, b in links if a == v} | {a for a, b in links if b == v}) for v in range(n)}
+    first, to = np.cumsum([0, *(len(near[v]) for v in range(n))]), np.array([w for v in range(n) for w in near[v]], np.int32)
+    size = np.array([3.0 if v % 10 == 3 else 1.0 for v in range(n)])
+    more = {(v, k): v if k == 0 else n + 2 * v + k for v in range(n) for k in range(int(size[v]))}
+    copies = {(more[a, i], more[b, j]) for a, b in links for i in range(int(size[a])) for j in range(int(size[b]))}
+    between, _ = brandes(sorted(more.values()), copies)
+    pairs = (len(more) - 1) * (len(more) - 2) / 2
+    monkeypatch.setattr(centrality, "ROWS", 7)
+    for at_once in (1, 5):
+        monkeypatch.setattr(centrality, "HELD_SOURCES", at_once)
+        assert centrality.dependencies(np.arange(n), first, to, size) == pytest.approx([between[v] * pairs for v in range(n)])
+
+
 def bunches(r, count, each):
     """Steps of bunches of nodes (some of more pieces) that meet only in nodes 0 to 2."""
     links = set()
